@@ -109,13 +109,15 @@ def find_items(items: Items, parts: _text.Words) -> list[tuple[int, int, float,
         return []
     count = items.first[gram + 1] - items.first[gram]
     place = np.repeat(items.first[gram] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+    if not len(place):
+        return []
     at, item = np.repeat(at, count), items.owner[place]
     doc = np.searchsorted(parts.bounds, at, side="right") - 1
     order = np.lexsort((at, item, doc))
     at, item, doc = at[order], item[order], doc[order]
     size = np.array([len(w) for w in items.words])[item]
     # Hits of one text and item that lie within twice the item's length of one another belong together.
-    new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(at) > 2 * size[1:]))[: len(at)]
+    new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(at) > 2 * size[1:]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
