@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import age_days
 
-_newest = W.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("episode_id"))
-_oldest = W.partitionBy("session_id").orderBy("created_at", "episode_id")
+
+def _newest():
+    return W.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("episode_id"))
+
+
+def _oldest():
+    return W.partitionBy("session_id").orderBy("created_at", "episode_id")
 
 
 def processable(episodes: DataFrame) -> DataFrame:
@@ -31,12 +36,12 @@ def episode_filter(episodes: DataFrame, roles: list[str], tags_any: list[str] |
 
 def thread_head(episodes: DataFrame) -> DataFrame:
     """The newest episode of each session, and the version: how many there are."""
-    ranked = episodes.withColumns({"rank": F.row_number().over(_newest), "version": F.count("*").over(W.partitionBy("session_id"))})
+    ranked = episodes.withColumns({"rank": F.row_number().over(_newest()), "version": F.count("*").over(W.partitionBy("session_id"))})
     return ranked.where("rank = 1").select("session_id", F.col("episode_id").alias("head_episode_id"), F.col("created_at").alias("head_at"), "version")
 
 
 def messages_page(episodes: DataFrame, first: int, size: int) -> DataFrame:
-    index = F.row_number().over(_oldest) - 1
+    index = F.row_number().over(_oldest()) - 1
     return episodes.withColumn("idx", index).where((F.col("idx") >= first) & (F.col("idx") < first + size)).select("session_id", "idx", "episode_id")
 
 
@@ -46,7 +51,7 @@ def retention_split(episodes: DataFrame, now: Column, days: dict[str, int]) -> D
 
 
 def summary_trigger(episodes: DataFrame, every: int = 10) -> DataFrame:
-    n = F.row_number().over(_oldest)
+    n = F.row_number().over(_oldest())
     return episodes.withColumn("n", n).where(F.col("n") % every == 0).select("session_id", "episode_id", "n")
 
 

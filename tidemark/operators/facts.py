@@ -11,21 +11,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT = ("user_id", "source", "label")
-_ingested = W.partitionBy(*SLOT).orderBy("ingested_at", "edge_id")
 
 
 def valid_at(t: Column) -> Column:
     return (F.col("valid_at") <= t) & (F.col("invalid_at").isNull() | (t < F.col("invalid_at")))
 
 
+def _ingested():
+    return W.partitionBy(*SLOT).orderBy("ingested_at", "edge_id")
+
+
 def supersede(assertions: DataFrame) -> DataFrame:
     """Each assertion with the time and the episode that closed it; one window by slot."""
-    return assertions.withColumns({"invalid_at": F.lead("ingested_at").over(_ingested), "invalidated_by": F.lead("source_episode_id").over(_ingested)})
+    return assertions.withColumns({"invalid_at": F.lead("ingested_at").over(_ingested()), "invalidated_by": F.lead("source_episode_id").over(_ingested())})
 
 
 def belief_changes(assertions: DataFrame, newest: int = 1000) -> DataFrame:
     """Where the object of a slot changes, ignoring case: old and new; the newest of each user."""
-    before = assertions.withColumns({"old_target": F.lag("target").over(_ingested), "old_edge_id": F.lag("edge_id").over(_ingested)})
+    before = assertions.withColumns({"old_target": F.lag("target").over(_ingested()), "old_edge_id": F.lag("edge_id").over(_ingested())})
     changed = before.where(F.lower("old_target") != F.lower("target"))
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ingested_at"), F.desc("edge_id")))
     changed = changed.withColumn("rank", rank).where(F.col("rank") <= newest)
