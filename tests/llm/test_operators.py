@@ -1,0 +1,192 @@
+"""Each operator against a brute-force version on rows with nulls, empty and repeated texts, ties and odd bytes."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemark.llm import decontamination, lines, lm_scoring, near, packing, phrases, quality, secrets, toxicity, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text, lower=False):
+    text = text or ""
+    return WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}) if lower else text)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)] + ["The", "thé", "a.", "ÿ"]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage = make(60)
+    out = [None, "", " \n\t", "one", "one two", "ONE two", "x y z", "a " * 200, "x" * 5000]
+    out += [make(rng.randrange(30, 200)) for _ in range(20)]
+    out += [f"{make(40)} {passage} {make(30)}" for _ in range(3)] + [out[-1], out[-1], passage]
+    base = make(300).split()
+    for _ in range(6):
+        copy = list(base)
+        copy[rng.randrange(300)] = "edited"
+        out.append(" ".join(copy))
+    return list(enumerate(out)) + [(3, "one"), (None, "a row without an id"), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{n % 3}", 0, 1.0) for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int, score double")
+
+
+def test_phrases(docs, texts):
+    count = Counter(tuple(w[k : k + 35]) for _, t in texts for w in [words(t)] for k in range(len(w) - 34))
+    want = []
+    for i, t in texts:
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - 34):
+            if count[tuple(w[k : k + 35])] > 1:
+                gone |= set(range(k, k + 35))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    found = phrases.drop_repeated_phrases(docs, with_text=False).collect()
+    assert Counter(map(tuple, found)) == Counter(want) and sum(x[2] for x in want)
+
+
+def test_near_duplicates(docs, texts):
+    sets = defaultdict(list)
+    for i, t in texts:
+        w = words(t, lower=True)
+        sets[i].append(frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+    ids = [i for i in sets if i is not None]
+    root = {i: i for i in ids}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in ids:
+        for b in ids:
+            x, y = sets[a][0], sets[b][0]
+            if a < b and x and y and 100 * len(x & y) >= 85 * len(x | y):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    for row in near.near_components(docs).collect():
+        if row["doc_id"] is None:
+            assert row["component_id"] is None and row["kept"]
+        else:
+            assert (row["n_shingles"], row["component_id"], row["kept"]) == (len(sets[row["doc_id"]][0]), find(row["doc_id"]), find(row["doc_id"]) == row["doc_id"])
+
+
+def test_components_of_a_path(spark):
+    found = near.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()
+    assert {r["id"] for r in found} == set(range(31)) and {r["component"] for r in found} == {0}
+
+
+def test_quality(docs, texts):
+    rows = {}
+    for i, t in texts:
+        t = t or ""
+        w = words(t)
+        count = Counter(zip(w, w[1:], w[2:]))
+        again = {p for k in range(len(w) - 2) if count[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        rows[i, len(w)] = (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(full) - len(set(full)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w))
+    for r in quality.quality_verdicts(docs).collect():
+        assert rows[r["doc_id"], r["n_words"]] == (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_urls(spark):
+    rows = [(0, None), (1, "no scheme"), (2, "http://A.Org/x?y"), (3, "https://example.org/es/1#t"), (4, "http://www.spam-farm.net/de/"), (5, "http://b.com/de/1"), (6, "http://borg/"), (7, "http://x.net"), (7, "http://x.net")]
+    rows += [(100 + n, f"http://{'spam-farm' if n % 7 == 0 else f'h{n}'}.net/p{n}") for n in range(400)]
+    found = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (found[0]["host"], found[0]["path"], found[0]["rule"], found[0]["verdict"]) == ("", "", None, "allow")
+    assert (found[2]["host"], found[2]["rule"]) == ("a.org", "org/")
+    assert found[3]["verdict"] == "block" and found[4]["verdict"] == "block" and found[5]["rule"] == "com/de/" and found[6]["rule"] is None
+    assert all((found[100 + n]["verdict"] == "block") == (n % 7 == 0) for n in range(400))
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_secret_ledger_grows_by_unseen_blobs_only(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = spark.createDataFrame([("a", 'Password: "abcdefgh1"'), ("b", 'Password: "abcdefgh1"'), ("c", None), ("d", "é AKIA" + "X" * 12 + " " + "0f" * 16)], "path string, text string")
+    rows = {r["path"]: r for r in secrets.scan_secrets(first, path).collect()}
+    assert rows["a"]["spans"] == rows["b"]["spans"] == "assign:0:20" and rows["d"]["spans"] == "access:2:18,hex:19:51"
+    assert rows["c"]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secrets.read_ledger(spark, path).count() == 3
+    secrets.scan_secrets(first.union(spark.createDataFrame([("e", "new")], "path string, text string")), path)
+    assert secrets.read_ledger(spark, path).count() == 4
+    secrets.scan_secrets(first, path, "next")
+    assert secrets.read_ledger(spark, path).count() == 7
+
+
+def test_scores(docs, texts):
+    from pyspark.sql import functions as F
+
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for i, t in texts if not held(i) for w in [*words(t, True), None])
+    n, v = sum(count.values()), len(count)
+    want = Counter()
+    for i, t in texts:
+        w = [*words(t, True), None]
+        want[i, len(w), sum(x in count for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
+    found = lm_scoring.score_texts(docs, ~lm_scoring.held_out(F.col("doc_id"))).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
+    assert all(r["score"] < 0 for r in found)
+
+
+def test_trie_rows_are_distributions():
+    rng = np.random.default_rng(1)
+    data = rng.choice(np.frombuffer(b"abcdef \xff", dtype=np.uint8), 5000)
+    context, symbol, _ = lm_scoring.contexts(data, np.array([0, 2000, 5000]))
+    three = np.unique((context << np.uint32(8)) | symbol, return_counts=True)
+    two = np.unique(three[0] & 0xFFFFFF, return_inverse=True)
+    trie = lm_scoring.Trie((two[0], np.bincount(two[1], three[1])), three)
+    used = np.unique(trie.index()[context])
+    assert np.allclose((10 ** trie.table[used].astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_lines_keep_copies_and_drop_boilerplate(spark):
+    rows = [(n, f"own {n} line\nAll rights reserved.\nmore {n}", f"s{n % 8}") for n in range(40)] + [(100 + n, "first of a copy\nsecond of a copy\nthird of a copy", f"s{n}") for n in range(8)] + [(200, None, None), (201, "", "s1")]
+    found = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found[3] == "own 3 line\nmore 3" and found[104] == rows[44][1] and found[200] is None and found[201] == ""
+
+
+def test_packing(docs, texts):
+    found = packing.pack_documents(docs, (64, 128)).collect()
+    fill, tokens = Counter(), Counter()
+    for r in found:
+        fill[r["shard"], r["bin"], r["capacity"]] += r["n_tokens"]
+        tokens[r["doc_id"]] += r["n_tokens"]
+    assert all(f <= c and c in (64, 128) and (c == 64 or f > 64) for (_, _, c), f in fill.items())
+    want = Counter()
+    for i, t in texts:
+        want[i] += -(-len((t or "").encode()) // 4) + 1
+    assert tokens == want
+
+
+def test_decontamination(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(500)]
+    item = [rng.choice(vocabulary) for _ in range(40)]
+    edited = [w for k, w in enumerate(item) if k % 9 != 4]
+    noise = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [(1, " ".join(noise(50) + item + noise(50)).upper()), (2, " ".join(noise(30) + edited + noise(10))), (3, " ".join(noise(300))), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, ", ".join(item)), (10, "too short"), (11, None)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.find_copies(docs, bench).collect()}
+    assert set(found) == {1, 2} and found[1]["score"] == 1 and (found[1]["first_word"], found[1]["end_word"]) == (50, 90)
+    assert decontamination.find_copies(docs, bench.where("false")).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    rows = [(n, " ".join([f"w{rng.randrange(400)}" for _ in range(60)] + ["vile"] * (n % 8 == 0)), int(n % 8 == 0)) for n in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    found = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == ("vile" in (r["text"] or "")) for r in found)
+    assert toxicity.score_toxicity(docs, toxicity.train(docs, labels.where("false"))).count() == len(found)
