@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._tables import shared_path
+from tidemark.llm._tables import shared_path, written
 
 RULE_VERSION = "2024-01"
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
@@ -93,6 +93,7 @@ def scan_secrets(versions: DataFrame, ledger_path: str, rule_version: str = RULE
     paths = update_ledger(versions, ledger_path, rule_version)
     # Repeated rows elect the same row hash, so a blob may be scanned twice: its findings are equal.
     found = read_ledger(versions.sparkSession, ledger_path).where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+    found = written(found, "findings")  # so that the join below can split a blob with many paths
     return paths.join(found, "blob")
 
 
