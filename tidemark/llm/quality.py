@@ -95,3 +95,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with its measures and verdict."""
     out = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_CLASS = r"[ \t\n\x0B\f\r]"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_CLASS}+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
+j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS k FROM j GROUP BY source),
+moments AS (SELECT sum(k) / sum(n) AS mean, var_pop(k / n) AS var, avg(1 / n) AS noise FROM hosts),
+prior AS (SELECT mean, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * noise, 1e-6) - 1, 1.0) AS strength FROM moments),
+bad AS (SELECT source FROM hosts, prior WHERE (k + mean * strength) / (n + strength) > {MAX_RATE})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM j.source) AS kept FROM j"""

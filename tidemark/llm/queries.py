@@ -15,4 +15,4 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
-ORACLES = {"op1_url_filters": urls.ORACLE}
+ORACLES = {"op1_url_filters": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
