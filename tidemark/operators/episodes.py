@@ -58,3 +58,14 @@ def summary_trigger(episodes: DataFrame, every: int = 10) -> DataFrame:
 def contract_filter(episodes: DataFrame) -> DataFrame:
     """support_safe: what users have said."""
     return episodes.where("role = 'user'")
+
+
+def page_numbers(rows: DataFrame, owner: str, ts: str, ident: str, size: int) -> DataFrame:
+    """Newest first, the page of each row among its owner's: keyset pagination for all owners at once."""
+    rank = F.row_number().over(W.partitionBy(owner).orderBy(F.desc(ts), F.desc(ident)))
+    return rows.withColumn("page", F.floor((rank - 1) / size))
+
+
+def expire(rows: DataFrame, now: Column, ts: str, days: int) -> DataFrame:
+    """Rows that are not older than so many days."""
+    return rows.where(age_days(now, F.col(ts)) < days)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import analytics as A
+from tidemark.operators import crdt
 from tidemark.operators import episodes as E
 from tidemark.operators import facts as K
 from tidemark.operators import graph as G
@@ -330,3 +331,51 @@ def _(spark, d):
 @query("scl9_estimate_tokens", f"WITH {X.EPISODES_SQL} SELECT episode_id, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS tokens FROM episodes")
 def _(spark, d):
     return X.episodes(spark, d).select("episode_id", S.estimate_tokens(F.col("content")).alias("tokens"))
+
+
+@query("jn1_resolve_fact_names", f"""WITH {X.FACTS_OPEN_SQL}{X.ENTITIES_SQL} SELECT edge_id, coalesce(s.name, 'Unknown') AS source_name, coalesce(t.name, 'Unknown') AS target_name
+FROM facts_open f LEFT JOIN entities s ON s.user_id = f.user_id AND s.name = f.source LEFT JOIN entities t ON t.user_id = f.user_id AND t.name = f.target""")
+def _(spark, d):
+    return K.resolve_fact_names(X.facts_open(spark, d), X.entities(spark, d)).select("edge_id", "source_name", "target_name")
+
+
+@query("win7_edge_reinforcement", "SELECT event_id % 500 AS edge_id, count(*) AS accesses, max(ts) AS last_access FROM events GROUP BY 1")
+def _(spark, d):
+    log = X.table(spark, d, "events").select((F.col("event_id") % 500).alias("edge_id"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    return K.edge_reinforcement(log)
+
+
+@query("flt20_page_after", "SELECT event_id, user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1) // 10 AS BIGINT) AS page FROM events")
+def _(spark, d):
+    return E.page_numbers(X.table(spark, d, "events"), "user_id", "ts", "event_id", 10).select("event_id", "user_id", "page")
+
+
+@query("flt21_expire", f"SELECT event_id, user_id FROM events WHERE {_age('ts')} < 7")
+def _(spark, d):
+    return E.expire(X.table(spark, d, "events"), at(X.NOW), "ts", 7).select("event_id", "user_id")
+
+
+_DELTAS = "deltas AS (SELECT user_id AS resource, event_type AS field, 'n' || (event_id % 3) AS node, epoch_ms(ts) AS wall, event_id % 5 AS counter, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events)"
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    e = X.table(spark, d, "events")
+    return e.select(
+        F.col("user_id").alias("resource"), F.col("event_type").alias("field"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("wall"), (F.col("event_id") % 5).alias("counter"), F.get_json_object("props", "$.k").cast("long").alias("value"),
+    )
+
+
+@query("agg24_merge_counters", f"WITH {_DELTAS}, n AS (SELECT resource, field, node, max(value) AS v FROM deltas GROUP BY ALL) SELECT resource, field, CAST(sum(v) AS BIGINT) AS total FROM n GROUP BY resource, field")
+def _(spark, d):
+    return crdt.merge_counters(_deltas(spark, d))
+
+
+@query("agg24_merge_registers", f"WITH {_DELTAS} SELECT resource, field, arg_max(value, (wall, counter, node, value)) AS value, arg_max(node, (wall, counter, node, value)) AS node FROM deltas GROUP BY resource, field")
+def _(spark, d):
+    return crdt.merge_registers(_deltas(spark, d))
+
+
+@query("agg25_merge_clocks", f"WITH {_DELTAS} SELECT resource, node, max(counter) AS counter FROM deltas GROUP BY resource, node")
+def _(spark, d):
+    return crdt.merge_clocks(_deltas(spark, d))
