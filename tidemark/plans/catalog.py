@@ -16,6 +16,7 @@ from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import at
+from tidemark.streaming import windows as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -379,3 +380,12 @@ def _(spark, d):
 @query("agg25_merge_clocks", f"WITH {_DELTAS} SELECT resource, node, max(counter) AS counter FROM deltas GROUP BY resource, node")
 def _(spark, d):
     return crdt.merge_clocks(_deltas(spark, d))
+
+
+# Streams, run over the files that are there
+
+
+@query("str13_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    stream = Z.stream_files(spark, d, "events.parquet")
+    return Z.run_to_end(Z.window_counts(stream, "ts", "event_type", "1 hour", "10 minutes"))
