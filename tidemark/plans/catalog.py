@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,37 +12,21 @@ from tidemark.operators import episodes as E
 from tidemark.operators import facts as K
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
+from tidemark.plans import policies  # noqa: F401
+from tidemark.plans.registry import AS_OF as _AS_OF
+from tidemark.plans.registry import NOW as _NOW
+from tidemark.plans.registry import ORACLES, QUERIES, query
+from tidemark.plans.registry import T1 as _T1
+from tidemark.plans.registry import T2 as _T2
+from tidemark.plans.registry import age as _age
+from tidemark.plans.registry import valid as _valid
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import at
 from tidemark.streaming import windows as Z
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-_NOW, _T1, _AS_OF, _T2 = (f"TIMESTAMP '{t}'" for t in (X.NOW, X.T1, X.AS_OF, X.T2))
 _DAYS = {"message": 28, "text": 26, "json": 30}
 
 
-def _valid(t: str, p: str = "") -> str:
-    return f"({p}valid_at <= {t} AND ({p}invalid_at IS NULL OR {t} < {p}invalid_at))"
-
-
-def _age(t: str) -> str:
-    """Whole days from t to NOW."""
-    return f"greatest(0, CAST(floor((epoch_us({_NOW}) - epoch_us({t})) / 86400000000.0) AS BIGINT))"
-
-
 # Temporal core
 
 
