@@ -47,7 +47,7 @@ def upsert_vectors(log: DataFrame) -> DataFrame:
 def hyperbolic_rerank(candidates: DataFrame, c: float = 1.0, alpha: float = 0.3) -> DataFrame:
     """Candidates (query_id, id, q, vector) by cosine blended with closeness in the ball."""
     candidates = candidates.withColumns({"fq": ball_factor(F.col("q"), c), "fv": ball_factor(F.col("vector"), c)})
-    inside = {f"ball_{v}": F.transform(v, lambda x, f=f: x.cast("double") * F.col(f)) for v, f in (("q", "fq"), ("vector", "fv"))}
+    inside = {"ball_q": F.transform("q", lambda x: x.cast("double") * F.col("fq")), "ball_vector": F.transform("vector", lambda x: x.cast("double") * F.col("fv"))}
     candidates = candidates.withColumns(inside).withColumn("gap", poincare_distance(F.col("ball_q"), F.col("ball_vector"), c))
     gap = F.col("gap")
     score = (1 - alpha) * cosine(F.col("q"), F.col("vector")) + alpha / (1 + gap)
