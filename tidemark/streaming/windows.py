@@ -22,8 +22,47 @@ def window_counts(events: DataFrame, ts: str, kind: str, width: str, lateness: s
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), kind, "n")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """The full result after all present files: each batch writes its own version, the last one is read."""
+def tumbling_rate(deliveries: DataFrame, ts: str, width: str, most: int, lateness: str = "10 minutes") -> DataFrame:
+    """Deliveries of each webhook by window, and whether they exceed what is allowed."""
+    return window_counts(deliveries, ts, "webhook_id", width, lateness).withColumn("throttled", F.col("n") > most)
+
+
+def sliding_failure_rate(deliveries: DataFrame, ts: str, width: str, step: str, lateness: str = "10 minutes") -> DataFrame:
+    """The share of failures of each webhook in overlapping windows."""
+    timed = deliveries.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    out = timed.groupBy(F.window(ts, width, step).alias("w"), "webhook_id").agg(F.count("*").alias("n"), F.count_if(~F.col("delivered")).alias("failed"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "webhook_id", "n", F.round(F.col("failed") / F.col("n"), 6).alias("failure_rate"))
+
+
+def activity_sessions(events: DataFrame, ts: str, owner: str, gap: str, lateness: str = "1 hour") -> DataFrame:
+    """Stretches of activity of each owner that end after a gap without events."""
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    out = timed.groupBy(F.session_window(ts, gap).alias("w"), owner).agg(F.count("*").alias("n"))
+    return out.select(owner, F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("w.end").cast("timestamp_ntz").alias("closes"), "n")
+
+
+def stream_heads(episodes: DataFrame) -> DataFrame:
+    """Head and version of each session; of equal times the larger id."""
+    head = F.max(F.struct("created_at", "episode_id")).alias("head")
+    return episodes.groupBy("session_id").agg(head, F.count("*").alias("version")).select("session_id", F.col("head.episode_id").alias("head_episode_id"), F.col("head.created_at").alias("head_at"), "version")
+
+
+def stream_dedupe(imports: DataFrame, ts: str, keys: list[str], lateness: str) -> DataFrame:
+    """The first import of each key; repeats inside the watermark are dropped."""
+    return imports.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def event_fanout(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Each event with the enabled subscriptions of its user that want its type: a stream joined with a table."""
+    live = subscriptions.where("enabled").select("user_id", "subscription_id", "types")
+    return events.join(live, "user_id").where(F.array_contains("types", F.col("event_type"))).select("event_id", "subscription_id")
+
+
+def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The full result after all present files. Each batch writes a version of its own, so that a repeated batch overwrites itself.
+
+    In complete mode the last version is the result, in append mode all of them are.
+    """
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -33,8 +72,9 @@ def run_to_end(stream: DataFrame) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
         last.append(epoch)
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/version={max(last)}")
+    versions = [max(last)] if mode == "complete" else sorted(set(last))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/version={v}" for v in versions])
