@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import age_days, experience_weight
+from tidemark.functions.scalars import age_days, episode_backoff_ms, experience_weight
 from tidemark.operators import analytics as A
 from tidemark.operators.facts import facts_current
 
@@ -211,3 +211,15 @@ def ranking_metrics(ranked: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") <= 5, hit / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("g5"),
     )
     return each.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("a1", "accuracy_1"), ("p3", "precision_3"), ("g5", "ndcg_5"))])
+
+
+def attachment_counts(attachments: DataFrame, kinds: list[str]) -> DataFrame:
+    """Attachments of each user by kind, a column each; the kinds are given, so no pass is needed to find them."""
+    return attachments.groupBy("user_id").pivot("kind", kinds).count().na.fill(0)
+
+
+def retry_state(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """Each delivery after its attempts: delivered, dead_letter, or pending with the wait before the next one."""
+    out = attempts.groupBy("delivery_id").agg(F.count("*").alias("attempts"), F.max("success").alias("delivered"))
+    status = F.when(F.col("delivered"), "delivered").when(F.col("attempts") >= most, "dead_letter").otherwise("pending")
+    return out.select("delivery_id", "attempts", status.alias("status"), F.when(status == "pending", episode_backoff_ms(F.col("attempts"), most)).alias("wait_ms"))

@@ -194,3 +194,14 @@ SELECT count(*) AS queries, round(avg(a), 6) AS accuracy_1, round(avg(p), 6) AS
 def _(spark, d):
     v = X.vectors(spark, d)
     return U.ranking_metrics(R.cosine_topk(v.where("vec_id % 20 = 0"), v, 5).withColumn("hit", F.col("id") % 3 == F.col("query_id") % 3))
+
+
+@query("agg20_attachment_counts", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click FROM events GROUP BY user_id")
+def _(spark, d):
+    return U.attachment_counts(X.table(spark, d, "events").select("user_id", F.col("event_type").alias("kind")), ["view", "click"])
+
+
+@query("str8_retry_dead_letter", """WITH g AS (SELECT l_orderkey AS delivery_id, count(*) AS attempts, bool_or(l_linenumber = 5) AS delivered FROM lineitem GROUP BY 1)
+SELECT delivery_id, attempts, CASE WHEN delivered THEN 'delivered' WHEN attempts >= 3 THEN 'dead_letter' ELSE 'pending' END AS status, CASE WHEN NOT delivered AND attempts < 3 THEN CAST(500 * pow(2, attempts - 1) AS BIGINT) END AS wait_ms FROM g""")
+def _(spark, d):
+    return U.retry_state(X.table(spark, d, "lineitem").selectExpr("l_orderkey AS delivery_id", "l_linenumber = 5 AS success"))
