@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontamination, lines, lm_scoring, near, packing, phrases, quality, secrets, toxicity, urls
+from tidemark.llm import decontamination, lines, lm_scoring, near, oracles, packing, phrases, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -15,4 +15,7 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
-ORACLES = {"op1_url_filters": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
+ORACLES = {
+    "op1_url_filters": urls.ORACLE, "op3_repeated_phrases": oracles.REPEATED_PHRASES, "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op5_line_spread": oracles.LINE_SPREAD, "op7_quality_rules": quality.ORACLE,
+}
