@@ -182,6 +182,40 @@ def test_decontamination(spark):
     assert decontamination.find_copies(docs, bench.where("false")).count() == 0
 
 
+def test_edited_copies_as_by_plain_alignment(spark):
+    """Words substituted, left out and put in; each pair of text and item scored by the full matrix."""
+
+    def plain(item, text):
+        row, best = [0] * (len(text) + 1), 0
+        for w in item:
+            new = [0]
+            for k, x in enumerate(text):
+                new.append(max(0, row[k] + (2 if w == x else -1), row[k + 1] - 1, new[k] - 1))
+            row, best = new, max(best, *new)
+        return best / (2 * len(item))
+
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(12)]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else f"r{rng.randrange(3000)}"
+    items = [[word() for _ in range(n)] for n in [*range(3, 16), 20, 20, 30, 38, 38, 60]]
+    rows = []
+    for item in items:
+        for share in (0, 0.1, 0.15, 0.2, 0.25, 0.3):
+            for how in "sdi":
+                copy = []
+                for w in item:
+                    edit = rng.random() < share
+                    copy += [word()] if edit and how == "s" else [] if edit and how == "d" else [w, word()] if edit else [w]
+                rows.append([word() for _ in range(rng.randrange(60))] + copy + [word() for _ in range(rng.randrange(60))])
+        rows.append([x for w in item for x in (w, word())])
+        rows.append([word() if k % 3 == 2 else w for k, w in enumerate(item)])
+    docs = spark.createDataFrame([(n, " ".join(r)) for n, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.find_copies(docs, bench).collect()}
+    want = {(d, i): s for d, r in enumerate(rows) for i, item in enumerate(items) if (s := plain(item, r)) >= decontamination.MIN_SCORE}
+    assert found == want
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows = [(n, " ".join([f"w{rng.randrange(400)}" for _ in range(60)] + ["vile"] * (n % 8 == 0)), int(n % 8 == 0)) for n in range(1200)]

@@ -1,14 +1,19 @@
 """Benchmark decontamination: rare word sequences as seeds, then local alignment.
 
-Words are lower-cased in A-Z, and punctuation counts as blank. The GRAM-word sequences of the test
-items are counted in all training texts. Each item keeps the rarer half of its sequences as seeds (at
-least MIN_SEEDS), so an item that is copied into many texts still has seeds. Where two seeds of an
-item hit close together, the passage around them is aligned with the item by Smith-Waterman over
-words (match 2, mismatch and gap -1); the score is the alignment's share of the item's full score, and
-MIN_SCORE marks a copy, edited or not.
+Words are lower-cased in A-Z, and punctuation counts as blank. A copy is a passage whose local
+alignment with the item by Smith-Waterman over words (match 2, mismatch and gap -1) has MIN_SCORE of
+the item's full score, edited or not.
+
+Seeds are pairs of words of an item, one or two apart, and hit pairs of a text that are one or two
+apart. An alignment of m matches and e edits scores 2m - e, so if that is s or more, at most m - s/2
+of its m - 1 steps from match to match can hold two edits; the others, s/2 - 1 at least, are hits from
+as many positions of the item and of the text, all within 3n - s words of an item of n. Of these
+`need`, an item leaves out less than half for its most frequent positions, so its rarer pairs are its
+seeds, and need falls by as many. Where a text has that many hits so close together, the passage around
+them is aligned: no pair that would reach MIN_SCORE is missed, whatever the counts.
 
 Items are taken in blocks of at most BLOCK words, each against all texts, so what is broadcast has a
-fixed bound however many items there are. Items of fewer than GRAM words are not looked for. Null and
+fixed bound however many items there are. Items of fewer than MIN_WORDS words are not looked for. Null and
 empty texts match nothing. Items without an id are reported with a null id.
 """
 
@@ -25,10 +30,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 
-GRAM = 3
-MIN_SEEDS = 8
+MIN_WORDS = 3
 MIN_SCORE = 0.5
-#: Words of a block of items: 8 bytes for each word and each sequence.
+#: Words of a block of items: 8 bytes for each word and each pair.
 BLOCK = 1 << 20
 _BLANK = np.frombuffer(b".,;:!?\"'()[]{}-", dtype=np.uint8)
 
@@ -39,44 +43,62 @@ def _plain(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """The hash of each word with the one so far behind it."""
+    with np.errstate(over="ignore"):
+        return _text.mix(_text.mix(words[:-apart]) + words[apart:])
+
+
 @dataclass
 class Items:
-    """A block of test items: word hashes, and the sequences with their items."""
+    """A block of test items: word hashes, and the pairs with their items."""
 
     ids: list
     words: list[np.ndarray] = field(default_factory=list)
-    grams: np.ndarray | None = None  # distinct, sorted
+    pairs: np.ndarray | None = None  # distinct, sorted
     owner: np.ndarray | None = None  # items of seeds, by seed
-    first: np.ndarray | None = None  # where each gram's owners begin
+    first: np.ndarray | None = None  # where each pair's owners begin
+    need: np.ndarray | None = None  # hits that a copy has at least, by item
+    reach: np.ndarray | None = None  # words that a copy spans at most, by item
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Items:
         data, offsets = _text.utf8(pa.array(texts, type=pa.string()))
         parts = _text.words(_plain(data), offsets)
         out = Items(ids, [parts.hash[a:b] for a, b in zip(parts.bounds[:-1], parts.bounds[1:], strict=True)])
-        out.grams = np.unique(parts.grams(GRAM)[parts.whole(GRAM)])
+        found = [_pairs(w, apart) for w in out.words if len(w) >= MIN_WORDS for apart in (1, 2)]
+        out.pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
         return out
 
     def choose(self, frequency: np.ndarray) -> None:
-        """The rarer half of each item's sequences become its seeds."""
-        pairs = []
+        """The pairs of each item become its seeds, but for its most frequent positions."""
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.need = np.maximum(1, np.ceil(size * MIN_SCORE - 1).astype(np.int64))
+        self.reach = np.ceil(size * (3 - 2 * MIN_SCORE)).astype(np.int64)
+        seeds = []
         for n, words in enumerate(self.words):
-            if len(words) >= GRAM:
-                first = np.arange(len(words) - GRAM + 1)
-                own = np.searchsorted(self.grams, np.unique(_text.ranges(words, first, first + GRAM)))
-                own = own[np.argsort(frequency[own], kind="stable")]
-                pairs.append(np.stack([own[: max(MIN_SEEDS, -(-len(own) // 2))], np.full(min(len(own), max(MIN_SEEDS, -(-len(own) // 2))), n)]))
-        both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+            if len(words) >= MIN_WORDS:
+                near, far = (np.searchsorted(self.pairs, _pairs(words, apart)) for apart in (1, 2))
+                count = frequency[near] + np.append(frequency[far], 0)
+                common = (int(self.need[n]) - 1) // 2
+                self.need[n] -= common
+                rare = np.argsort(count, kind="stable")[: len(near) - common]
+                own = np.unique(np.append(near[rare], far[rare[rare < len(far)]]))
+                seeds.append(np.stack([own, np.full(len(own), n)]))
+        both = np.concatenate(seeds, axis=1) if seeds else np.zeros((2, 0), dtype=np.int64)
         order = np.argsort(both[0], kind="stable")
         self.owner = both[1][order]
-        self.first = np.searchsorted(both[0][order], np.arange(len(self.grams) + 1))
+        self.first = np.searchsorted(both[0][order], np.arange(len(self.pairs) + 1))
 
     def hits(self, parts: _text.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Word positions of sequences of the block, and which they are."""
-        grams = parts.grams(GRAM)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        found = np.flatnonzero((self.grams[at] == grams) & parts.whole(GRAM))
-        return found, at[found]
+        """Word positions of pairs of the block, and which they are."""
+        doc, out = parts.doc(), []
+        for apart in (1, 2):
+            pairs = _pairs(parts.hash, apart)
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            found = np.flatnonzero((self.pairs[at] == pairs) & (doc[:-apart] == doc[apart:]))
+            out.append((found, at[found]))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -104,31 +126,36 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 def find_items(items: Items, parts: _text.Words) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, end) of the best alignment of each pair with MIN_SCORE."""
-    at, gram = items.hits(parts)
-    if not len(at):
-        return []
-    count = items.first[gram + 1] - items.first[gram]
-    place = np.repeat(items.first[gram] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-    if not len(place):
+    at, pair = items.hits(parts)
+    count = items.first[pair + 1] - items.first[pair]
+    if not count.sum():
         return []
+    place = np.repeat(items.first[pair] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
     at, item = np.repeat(at, count), items.owner[place]
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    once = np.append(True, (np.diff(item) != 0) | (np.diff(at) != 0))  # both pairs of a position are one hit
+    at, item = at[once], item[once]
     doc = np.searchsorted(parts.bounds, at, side="right") - 1
-    order = np.lexsort((at, item, doc))
-    at, item, doc = at[order], item[order], doc[order]
-    size = np.array([len(w) for w in items.words])[item]
-    # Hits of one text and item that lie within twice the item's length of one another belong together.
-    new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(at) > 2 * size[1:]))
+    # Windows of the hits that a copy needs, within its reach; those of one text and item whose margins meet are one passage.
+    head = np.arange(len(at))
+    tail = head + items.need[item] - 1
+    head, tail = head[tail < len(at)], tail[tail < len(at)]
+    close = (item[tail] == item[head]) & (doc[tail] == doc[head]) & (at[tail] - at[head] <= items.reach[item[head]])
+    head, tail = head[close], tail[close]
+    if not len(head):
+        return []
+    low, high, reach = at[head], at[tail], items.reach[item[head]]
+    new = np.append(True, (np.diff(item[head]) != 0) | (np.diff(doc[head]) != 0) | (low[1:] - high[:-1] > 2 * reach[1:]))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))
+    last = np.append(first[1:], len(head)) - 1
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        d, i, n = int(doc[a]), int(item[a]), int(size[a])
-        if b - a < min(2, n - GRAM + 1):
-            continue
-        low, high = max(int(parts.bounds[d]), int(at[a]) - n), min(int(parts.bounds[d + 1]), int(at[b - 1]) + n + GRAM)
-        score, start, stop = align(items.words[i], parts.hash[low:high])
+        d, i, margin = int(doc[head[a]]), int(item[head[a]]), int(reach[a])
+        begin, end = max(int(parts.bounds[d]), int(low[a]) - margin), min(int(parts.bounds[d + 1]), int(high[b]) + margin + 1)
+        score, start, stop = align(items.words[i], parts.hash[begin:end])
         if score >= MIN_SCORE and score > best.get((d, i), (0,))[0]:
-            base = low - int(parts.bounds[d])
+            base = begin - int(parts.bounds[d])
             best[d, i] = score, base + start, base + stop
     return [(d, i, *rest) for (d, i), rest in best.items()]
 
@@ -148,23 +175,23 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def _with_seeds(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """Blocks of items whose seeds are chosen by the count of their sequences in docs."""
+    """Blocks of items whose seeds are chosen by the count of their pairs in docs."""
     for items in _blocks(benchmark):
-        if not len(items.grams):
+        if not len(items.pairs):
             continue
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(sent.value.grams), dtype=np.int64)
+            total = np.zeros(len(sent.value.pairs), dtype=np.int64)
             for batch in batches:
                 for _, data, offsets in _text.slices(batch, "text"):
                     total += np.bincount(sent.value.hits(_text.words(_plain(data), offsets))[1], minlength=len(total))
-            gram = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(gram), "n": pa.array(total[gram])})
+            pair = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total[pair])})
 
-        rows = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        frequency = np.zeros(len(items.grams), dtype=np.int64)
-        frequency[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+        rows = docs.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(len(items.pairs), dtype=np.int64)
+        frequency[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
         items.choose(frequency)
         yield items
 
