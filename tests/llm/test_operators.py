@@ -80,6 +80,33 @@ def test_near_duplicates(docs, texts):
             assert (row["n_shingles"], row["component_id"], row["kept"]) == (len(sets[row["doc_id"]][0]), find(row["doc_id"]), find(row["doc_id"]) == row["doc_id"])
 
 
+def test_twins_in_a_dense_family(spark):
+    """Thousands of texts of one template, each just below the threshold to all others but its twin, if it has one."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for n in range(2400):
+        at = rng.randrange(94)
+        rows.append(base[:at] + [f"own{n}x{i}" for i in range(6)] + base[at + 6 :])
+    for n in range(200):
+        at = rng.randrange(94)
+        rows.append(rows[n][:at] + [f"twin{n}x{i}" for i in range(5)] + rows[n][at + 5 :])
+    docs = spark.createDataFrame([(n, " ".join(r)) for n, r in enumerate(rows)], "doc_id long, text string")
+    sets = [set(zip(r, r[1:], r[2:])) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            both = len(x & sets[b])
+            if 100 * both >= 85 * (len(x) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r["doc_id"]: r["component_id"] for r in near.near_components(docs).collect()}
+    assert found == {n: find(n) for n in range(len(rows))} and len(set(found.values())) < len(rows) - 100
+
+
 def test_components_of_a_path(spark):
     found = near.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()
     assert {r["id"] for r in found} == set(range(31)) and {r["component"] for r in found} == {0}
