@@ -1,14 +1,17 @@
 """Line deduplication: lines that many sites share, by the spread of distinct sites.
 
-For each line two HyperLogLog sketches are merged by aggregation: of the sites that have it and of
-the surroundings (line before and line after) in which it stands. A line is boilerplate if both
-counts reach MIN_SPREAD: copies of a page repeat a line on many sites, but with the same lines around
-it. Lines whose estimate is near the threshold get exact distinct counts. Lines of more than
-MAX_WORDS words are text, not boilerplate.
+For each line, named by its hash, a HyperLogLog sketch of the sites that have it is merged by
+aggregation. Lines whose estimate is near the threshold get exact distinct counts, and those on
+`min_spread` sites or more are boilerplate and go from every text, whatever their length.
+
+With `spare`, texts of which boilerplate lines hold more than that share of the characters stay as
+they are: such a text is a copy of a page that circulates as a whole, which is for near-duplicate
+removal to judge. Without it every boilerplate line goes.
 
 A line ends at a line feed; blanks around it don't count, and lines without a word are left alone. A
 null text stays null and has no lines; a null site is a site of its own. Repeated rows are rows like
-any other. A text may be left empty; its row stays.
+any other. A text may be left empty; its row stays. An empty table gives an empty one. Further columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._tables import written
+from tidemark.llm._tables import free_name, row_key, written
 
 MIN_SPREAD = 5
-MAX_WORDS = 20
+#: Used where near-duplicate removal follows.
+SPARE = 0.5
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly: three standard errors of a sketch.
 MARGIN = 3 * 1.04 / math.sqrt(1 << LG_K)
@@ -29,52 +33,43 @@ _BLANK = " \t\n\x0b\f\r"
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(row, pos, line, around, site) as hashes, a row for each line with one to MAX_WORDS words."""
+    """(k1, k2, pos, line, size, site): the row's key, the line's place, hash and characters, a row for each line with a word."""
     split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.call_function("btrim", line, F.lit(_BLANK)))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.col(site)).alias("site"), split.alias("lines"))
-    hashed = rows.withColumn("hash", F.transform("lines", lambda line: F.xxhash64(line)))
-    edge, n = F.array(F.lit(0).cast("long")), F.size("hash")
-    around = F.zip_with(F.concat(edge, F.slice("hash", F.lit(1), n - 1)), F.concat(F.slice("hash", F.lit(2), n), edge), lambda a, b: F.xxhash64(a, b))
-    each = hashed.withColumn("around", around).select("row", "site", F.posexplode(F.arrays_zip("lines", "hash", "around")).alias("pos", "each"))
-    blanks = F.regexp_count(F.col("each.lines"), F.lit(r"[ \t\x0B\f\r]+"))
-    each = each.where((F.col("each.lines") != "") & (blanks < MAX_WORDS))
-    return each.select("row", "pos", F.col("each.hash").alias("line"), F.col("each.around").alias("around"), "site")
+    rows = docs.select(*row_key("doc_id", "text"), F.xxhash64(F.col(site)).alias("site"), F.posexplode(split).alias("pos", "text"))
+    return rows.where("text <> ''").select("k1", "k2", "pos", F.xxhash64("text").alias("line"), F.length("text").alias("size"), "site")
 
 
-def _exact(lines: DataFrame, near: DataFrame, what: str) -> DataFrame:
-    """Exact distinct counts for the lines in `near`; each pair is one row before anything is joined."""
-    pairs = lines.groupBy("line", what).agg(F.lit(1).alias("one"))
-    return pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias(f"exact_{what}"))
+def boilerplate(lines: DataFrame, min_spread: int = MIN_SPREAD) -> DataFrame:
+    """The hashes of lines (line, site) on min_spread sites at least."""
+    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    spread = written(spread.where(F.col("sites") >= math.floor(min_spread * (1 - MARGIN))), "line-spread")
+    near = written(spread.where(F.col("sites") <= math.ceil(min_spread * (1 + MARGIN))).select("line"), "near-threshold")
+    pairs = lines.select("line", "site").join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_spread)
+    return exact.select("line").unionByName(spread.join(near, "line", "left_anti").select("line"))
 
 
-def boilerplate(lines: DataFrame, min_spread: int = MIN_SPREAD) -> DataFrame:
-    """The hashes of lines spread over min_spread sites and surroundings at least."""
-    kinds = ("site", "around")
-    sketched = lines.groupBy("line").agg(*(F.hll_sketch_agg(k, LG_K).alias(k) for k in kinds))
-    spread = sketched.select("line", *(F.hll_sketch_estimate(k).alias(k) for k in kinds))
-    low = math.floor(min_spread * (1 - MARGIN))
-    spread = written(spread.where((F.col("site") >= low) & (F.col("around") >= low)), "line-spread")
-    for k in kinds:
-        near = spread.where(F.abs(F.col(k) - min_spread) <= math.ceil(min_spread * MARGIN))
-        spread = spread.join(_exact(lines, near, k), "line", "left").withColumn(k, F.coalesce(f"exact_{k}", k)).drop(f"exact_{k}")
-    return spread.where((F.col("site") >= min_spread) & (F.col("around") >= min_spread)).select("line")
-
-
-def drop_boilerplate(docs: DataFrame, site: str = "source", min_spread: int = MIN_SPREAD, marks: tuple[str, str] | None = None) -> DataFrame:
-    """docs with boilerplate lines taken out of the text; marks: names of columns for the counts of lines before and taken."""
+def drop_boilerplate(docs: DataFrame, site: str = "source", min_spread: int = MIN_SPREAD, spare: float | None = None, marks: tuple[str, str] | None = None) -> DataFrame:
+    """docs (doc_id, text, site) with boilerplate lines taken out of the text; marks: names of columns for the counts of lines before and taken."""
     lines = written(_lines(docs, site), "lines")
     bad = written(boilerplate(lines, min_spread), "boilerplate")
-    gone = lines.join(bad, "line", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    own = "row_"
-    while own in docs.columns or f"{own}gone" in docs.columns:
-        own += "_"
-    out = docs.withColumn(own, F.xxhash64("doc_id", "text")).join(gone.select(F.col("row").alias(own), F.col("gone").alias(f"{own}gone")), own, "left")
-    split, taken = F.split("text", "\n"), F.coalesce(f"{own}gone", F.array().cast("array<int>"))
-    kept = F.filter(split, lambda line, i: ~F.array_contains(taken, i))
-    text = F.when(F.size(taken) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # Equal rows share a key and have the same lines, so sets of places are those of one text.
+    gone = lines.join(bad, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "size")).alias("gone"))
+    k1, k2, taken, own = (free_name(docs, n) for n in ("k1_", "k2_", "gone_", "taken_"))
+    out = docs.withColumns(dict(zip((k1, k2), row_key("doc_id", "text"), strict=True)))
+    out = out.join(gone.select(*(F.col(a).alias(b) for a, b in (("k1", k1), ("k2", k2), ("gone", taken)))), [k1, k2], "left")
+    split, none = F.split("text", "\n"), F.array().cast("array<int>")
+    remove = F.coalesce(F.col(taken)["pos"], none)
+    if spare is not None:
+        whole = F.aggregate(split, F.lit(0), lambda total, line: total + F.length(F.call_function("btrim", line, F.lit(_BLANK))))
+        common = F.aggregate(F.col(taken)["size"], F.lit(0), lambda total, size: total + size)
+        remove = F.when(common > spare * whole, none).otherwise(remove)
+    out = out.withColumn(own, remove)
+    kept = F.filter(split, lambda line, i: ~F.array_contains(own, i))
     if marks:
-        out = out.withColumns({marks[0]: F.coalesce(F.size(split), F.lit(0)).cast("long"), marks[1]: F.size(taken).cast("long")})
-    return out.withColumn("text", text).select(*docs.columns, *(marks or ()))
+        out = out.withColumns({marks[0]: F.coalesce(F.size(split), F.lit(0)).cast("long"), marks[1]: F.size(own).cast("long")})
+    out = out.withColumn("text", F.when(F.size(own) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return out.select(*docs.columns, *(marks or ()))
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +80,5 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without lines that many sites share; every row stays."""
-    return drop_boilerplate(docs)
+    """docs without lines that many sites share; every row stays, and copies of whole pages are left for the next stage."""
+    return drop_boilerplate(docs, spare=SPARE)

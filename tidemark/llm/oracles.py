@@ -1,12 +1,10 @@
 """SQL that gives the rows of queries whose results are exact."""
 
-#: Lines spread over five sites and five surroundings.
+#: Lines of five sites or more.
 LINE_SPREAD = r"""WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
 l AS (SELECT doc_id, source, unnest(raw) AS r, generate_subscripts(raw, 1) AS pos FROM d),
 t AS (SELECT *, trim(r, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-a AS (SELECT *, coalesce(lag(line) OVER w, chr(1)) AS before, coalesce(lead(line) OVER w, chr(1)) AS after FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-bad AS (SELECT line FROM a WHERE line <> '' AND len(regexp_extract_all(line, '[ \t\x0B\f\r]+')) < 20
-  GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 5 AND count(DISTINCT (before, after)) >= 5),
+bad AS (SELECT line FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 5),
 s AS (SELECT t.doc_id, t.pos, t.r, bad.line IS NOT NULL AS gone FROM t LEFT JOIN bad USING (line)),
 k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(r, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM s GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n END AS n_lines, n_removed, sha256(kept) AS kept_sha256 FROM documents JOIN k USING (doc_id)"""
