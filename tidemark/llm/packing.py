@@ -1,23 +1,25 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 A text has ceil(UTF-8 bytes / 4) tokens and one end token. Texts beyond the largest capacity are cut
-into full pieces and a rest. Pieces are dealt by hash into shards of about SHARD rows, each packed on
-its own: best fit in order of falling size; where nothing open fits, a bin of the least-cost size is
-opened. Which size that is depends on all that follows, so each permitted length is tried as the
-shard's opening size (pieces beyond it open the least that holds them), the packing of least total
-cost wins, and each of its bins is cut down to the least length that holds its contents. A bin costs
-its capacity and BIN_COST tokens.
-
-Null and empty texts are one token. Rows are never merged; ties go by id, then piece. An empty table
-packs into nothing.
+into full pieces and a rest. Pieces are dealt by hash of their row numbers into shards of about SHARD
+rows, each packed on its own: best fit in order of falling size. Where nothing open fits, a bin is
+opened. Which length it gets is decided for each bin, over all permitted ones together: each is filled
+on paper with the largest pieces still to come, cut down to the least length that holds them, and the
+one that costs least for each token packed is opened. At the end each bin is cut down to the least
+length that holds its contents. A bin costs its capacity and BIN_COST tokens.
+
+Null and empty texts are one token. Rows are never merged, and repeated rows are dealt apart; ties go by
+row, then piece. A null id stays null, and ids of any type come back unchanged. An empty table packs
+into nothing. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,33 @@ BIN_COST = 16
 SHARD = 20_000
 
 
-def best_fit(sizes: Sequence[int], opening: int, capacities: Sequence[int]) -> tuple[list[int], list[int]]:
-    """The bin of each size and the fill of each bin; sizes fall."""
+def _paper_fill(left: Counter, mask: int, room: int) -> int:
+    """Tokens that the largest pieces still to come put into an open bin's room; mask has a bit for each size of left."""
+    filled, used = 0, Counter()
+    while room:
+        fits = mask & ((1 << (room + 1)) - 1)
+        while fits and used[size := fits.bit_length() - 1] == left[size]:
+            fits ^= 1 << size
+        if not fits:
+            break
+        used[size] += 1
+        filled += size
+        room -= size
+    return filled
+
+
+def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
+    """Bin of each size, fill and capacity of each bin; sizes fall, none is over the largest capacity."""
+    capacities = sorted(capacities)
     free: dict[int, list[int]] = {}  # open bins by free room
     rooms = 0  # bit r is set where a bin with free room r is open
+    left = Counter(sizes)
+    mask = sum(1 << s for s in left)
     place, fill = [], []
     for size in sizes:
+        left[size] -= 1
+        if not left[size]:
+            mask &= ~(1 << size)
         fits = rooms >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
@@ -39,27 +62,20 @@ def best_fit(sizes: Sequence[int], opening: int, capacities: Sequence[int]) -> t
             if not free[room]:
                 rooms &= ~(1 << room)
         else:
-            room = max(opening, next(c for c in capacities if c >= size))
-            at = len(fill)
+            best = None
+            for capacity in (c for c in capacities if c >= size):
+                full = size + _paper_fill(left, mask, capacity - size)
+                cost = (next(c for c in capacities if c >= full) + BIN_COST) / full
+                if best is None or cost < best[0]:
+                    best = cost, capacity
+            room, at = best[1], len(fill)
             fill.append(0)
         place.append(at)
         fill[at] += size
         if room > size:
             free.setdefault(room - size, []).append(at)
             rooms |= 1 << (room - size)
-    return place, fill
-
-
-def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
-    """Bin of each size, fill and capacity of each bin: the best of the packings by opening size."""
-    best = None
-    for opening in capacities:
-        place, fill = best_fit(sizes, opening, capacities)
-        caps = [next(c for c in capacities if c >= f) for f in fill]
-        cost = sum(caps) + BIN_COST * len(caps)
-        if best is None or cost < best[0]:
-            best = cost, place, fill, caps
-    return best[1:]
+    return place, fill, [next(c for c in capacities if c >= f) for f in fill]
 
 
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
@@ -71,20 +87,27 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> D
     top = capacities[-1]
     kind = dict(docs.dtypes)["doc_id"]
     tokens = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long") + 1
-    pieces = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), tokens.alias("tokens"))
+    # Rows are numbered where they are read, so that repeated rows go to different shards.
+    pieces = docs.select("doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), tokens.alias("tokens"))
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / top) - 1)))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(top), F.col("tokens") - F.col("piece") * top))
-    shards = max(1, -(-pieces.count() // SHARD))
+    count = docs.select(tokens.alias("tokens")).agg(F.coalesce(F.sum(F.ceil(F.col("tokens") / top)), F.lit(0))).first()[0]
+    shards = max(1, -(-int(count) // SHARD))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards))).drop("tokens")
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
-        place, _, caps = pack(pdf["n_tokens"].tolist(), capacities)
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_tokens", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        size = table.column("n_tokens").to_numpy()
+        place, fill, caps = pack(size.tolist(), capacities)
         bins = np.array(place)
-        offset = pdf.groupby(bins)["n_tokens"].cumsum() - pdf["n_tokens"]
-        return pdf.assign(bin=bins, capacity=np.array(caps)[bins], offset=offset, token_start=pdf["piece"] * top)[["shard", "bin", "capacity", "doc_id", "piece", "token_start", "n_tokens", "offset"]]
-
-    return pieces.groupBy("shard").applyInPandas(packed, f"shard long, bin long, capacity long, doc_id {kind}, piece long, token_start long, n_tokens long, offset long")
+        order = np.argsort(bins, kind="stable")
+        before = np.empty(len(size), dtype=np.int64)
+        before[order] = np.cumsum(size[order]) - size[order]
+        offset = before - np.append(0, np.cumsum(fill))[bins]
+        columns = {"shard": table.column("shard"), "bin": bins, "capacity": np.array(caps)[bins], "doc_id": table.column("doc_id"), "piece": table.column("piece")}
+        return pa.table(columns | {"token_start": table.column("piece").to_numpy() * top, "n_tokens": size, "offset": offset})
+
+    return pieces.groupBy("shard").applyInArrow(packed, f"shard long, bin long, capacity long, doc_id {kind}, piece long, token_start long, n_tokens long, offset long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
