@@ -13,8 +13,11 @@ seeds, and need falls by as many. Where a text has that many hits so close toget
 them is aligned: no pair that would reach MIN_SCORE is missed, whatever the counts.
 
 Items are taken in blocks of at most BLOCK words, each against all texts, so what is broadcast has a
-fixed bound however many items there are. Items of fewer than MIN_WORDS words are not looked for. Null and
-empty texts match nothing. Items without an id are reported with a null id.
+fixed bound however many items there are; each block passes through the driver and costs two scans of the
+texts, so the work grows with texts times blocks. Items of fewer than MIN_WORDS words are not looked for.
+Null and empty texts match nothing. Items without an id are reported with a null id; repeated items and
+repeated rows are reported each. Empty tables match nothing. Further columns are left as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm import _text
+from tidemark.llm._tables import free_name
 
 MIN_WORDS = 3
 MIN_SCORE = 0.5
@@ -200,6 +205,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every text of docs (doc_id, text) that holds an item, for its best alignment."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for items in _with_seeds(docs, benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -210,7 +216,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found = find_items(sent.value, _text.words(_plain(data), offsets))
                     if found:
                         doc, item, score, start, stop = zip(*found, strict=True)
-                        ids = [sent.value.ids[i] for i in item]
+                        ids = pa.array([sent.value.ids[i] for i in item], type=id_type)
                         yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(doc)), "item_id": ids, "score": score, "first_word": start, "end_word": stop})
 
         part = docs.select("doc_id", "text").mapInArrow(located, schema)
@@ -242,9 +248,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that hold no copy of a benchmark item, unchanged."""
-    column = "copy_"
-    while column in docs.columns:
-        column += "_"
+    column = free_name(docs, "copy_")
     out = docs
     for items in _with_seeds(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         out = _contaminated(out, items, column).where(~F.col(column)).drop(column)
