@@ -5,11 +5,14 @@ all other keys of the corpus; the third the listed keys that the second takes in
 level lets nothing wrong through. A key's first level that lacks it decides: exact for every key of
 the universe, with no join at all. Only built-in functions are used.
 
-The levels are one array of 64-bit words that each task reads from a scalar subquery. Its size is
-known from counts before it is built. Beyond MAX_BYTES the keys are dealt into shards by hash, each
-with a cascade of its own, and tasks look up their shard's array by a join with one row for each shard.
-
-A null url, or one without "://", has empty host and path. Repeated rows are judged alike.
+A level is one array of 64-bit words that each task reads from a scalar subquery. How much a cascade
+takes is known from the counts of listed and other keys before it is built; beyond MAX_BYTES keys are
+dealt into shards by hash, stored by shard, each shard has arrays of its own, and what is looked up in
+them is that shard's part alone. All shards of a level are built in one job.
+
+A null url, or one without "://", has empty host and path. Repeated rows are judged alike. Listed keys
+that no page has don't matter; null ones are left out. Empty tables give empty results. Columns of pages
+other than page_id and url are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,102 +60,98 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 @dataclass
 class Level:
-    """Bits of one level; its words lie from `start` on in the array."""
+    """One level: its bits in each shard, and a row (shard, words) for each shard."""
 
-    start: int
     bits: int
     seed: int
+    arrays: DataFrame | None = None
 
     def positions(self, key: Column) -> list[Column]:
         first = F.pmod(F.xxhash64(key, F.lit(2 * self.seed)), F.lit(self.bits))
         step = F.pmod(F.xxhash64(key, F.lit(2 * self.seed + 1)), F.lit(self.bits - 1)) + 1
         return [F.pmod(first + step * i, F.lit(self.bits)) for i in range(HASHES)]
 
-    def has(self, words: Column, key: Column) -> Column:
-        out = F.lit(True)
+    def has(self, key: Column, shard: int) -> Column:
+        words, out = self.arrays.where(F.col("shard") == shard).select("words").scalar(), F.lit(True)
         for at in self.positions(key):
-            out &= F.getbit(F.element_at(words, (F.lit(self.start + 1) + F.shiftright(at, 6)).cast("int")), (at % 64).cast("int")) == 1
+            out &= F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
         return out
 
 
 @dataclass
 class Cascade:
+    shards: int
     levels: list[Level]
-    words: DataFrame | None
 
-    def listed(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
-        if self.words is None:
-            return F.lit(False)
-        words, out = self.words.scalar(), F.lit(len(self.levels) % 2 == 1)
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")
+
+    def listed(self, key: Column, shard: int) -> Column:
+        """Whether a key of the universe that lies in the shard is listed."""
+        out = F.lit(len(self.levels) % 2 == 1)
         for n, level in reversed(list(enumerate(self.levels))):
-            out = F.when(~level.has(words, key), F.lit(n % 2 == 1)).otherwise(out)
+            out = F.when(~level.has(key, shard), F.lit(n % 2 == 1)).otherwise(out)
         return out
 
 
-def _level_words(keys: DataFrame, level: Level) -> DataFrame:
-    """(word, bits) of a level: rows are merged before they are shuffled, and every word has a row."""
-    spark = keys.sparkSession
-    at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
-    bits = at.select((F.lit(level.start) + F.shiftright("at", 6)).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
-    blank = spark.range(level.start, level.start + math.ceil(level.bits / 64)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    return bits.unionByName(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-
-
-def _in_one(words: DataFrame) -> DataFrame:
-    """All words in order in one array, gathered by segments."""
-    parts = words.groupBy(F.expr(f"word div {SEGMENT}").alias("segment")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("part"))
-    parts = parts.select("segment", F.col("part.bits").alias("part"))
-    return parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("segment", "part"))).getField("part")).alias("words"))
-
-
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """A cascade for the keys (column key) of `listed` that are in `universe`; both without repeats or nulls."""
-    inside = written(universe.join(listed, "key", "left_semi"), "cascade-listed")
-    outside = universe.join(listed, "key", "left_anti")
-    levels: list[Level] = []
-    words: DataFrame | None = None
-    start = 0
-    yes, other = inside, outside
-    while (n := yes.count()) > 0:
-        bits = max(64, math.ceil(n * HASHES / math.log(2) / 64) * 64)
-        level = Level(start, bits, len(levels))
-        if (start + bits // 64) * 8 > MAX_BYTES:
-            raise OverflowError
-        own = written(_level_words(yes, level), "cascade-level")
-        words = own if words is None else words.unionByName(own)
-        levels.append(level)
-        start += bits // 64
-        one = written(_in_one(own.withColumn("word", F.col("word") - level.start)), "cascade-words")
-        alone = Level(0, bits, level.seed)
-        wrong = written(other.where(alone.has(one.scalar(), F.col("key"))), "cascade-wrong")
-        yes, other = wrong, yes
-    return Cascade(levels, written(_in_one(words), "cascade") if words is not None else None)
-
-
-def listed_keys(keys: DataFrame, listed: DataFrame, column: str = "listed") -> DataFrame:
-    """`keys` (column key, with repeats) with a flag for those in `listed`, by one cascade or, where that would be too large, one for each shard."""
-    universe = keys.select("key").distinct()
-    n = listed.count()
-    shards = max(1, math.ceil(n * HASHES / math.log(2) / 8 * 1.25 / MAX_BYTES))
-    if shards == 1:
-        return keys.withColumn(column, build_cascade(universe, listed).listed(F.col("key")))
-    shard = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards))
-    out = None
-    for s in range(shards):
-        part = keys.where(shard == s)
-        one = part.withColumn(column, build_cascade(universe.where(shard == s), listed.where(shard == s)).listed(F.col("key")))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def judge_urls(pages: DataFrame, listed_sites: Sequence[str] = LISTED_SITES, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and listed for every row of pages (page_id, url)."""
+def _arrays(keys: DataFrame, level: Level, shards: int) -> DataFrame:
+    """(shard, words): the level's bits in order; rows are merged before they are shuffled, and every word is there."""
+    at = keys.select("shard", F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
+    bits = at.select("shard", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+    size = math.ceil(level.bits / 64)
+    blank = keys.sparkSession.range(size * shards).select((F.col("id") % shards).cast("int").alias("shard"), F.expr(f"id div {shards}").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bits.unionByName(blank).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    parts = words.groupBy("shard", F.expr(f"word div {SEGMENT}").alias("segment")).agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("part"))
+    return parts.groupBy("shard").agg(F.flatten(F.array_sort(F.collect_list(F.struct("segment", "part")))["part"]).alias("words"))
+
+
+def build_cascade(keys: DataFrame, listed: DataFrame) -> Cascade:
+    """A cascade for the keys (column key, with repeats) of which some are in `listed` (column key)."""
+    flags = keys.select("key", F.lit(True).alias("used"), F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(False).alias("used"), F.lit(True).alias("listed")))
+    flags = flags.where("key is not null").groupBy("key").agg(F.max("used").alias("used"), F.max("listed").alias("listed")).where("used").drop("used")
+    universe = written(flags, "cascade-keys")
+    total = universe.agg(F.count("*").alias("n"), F.count_if("listed").alias("yes")).first()
+    # Every second level lets through one in 2**HASHES of what the one before encodes.
+    need = (total["yes"] + (total["n"] - total["yes"]) / 2**HASHES) / (1 - 2.0**-HASHES) * HASHES / math.log(2) / 8
+    cascade = Cascade(max(1, math.ceil(1.1 * need / MAX_BYTES)), [])
+    universe = universe.withColumn("shard", cascade.shard(F.col("key")))
+    if cascade.shards > 1:
+        universe = written(universe, "cascade-shards", by="shard")
+    yes, other = universe.where("listed").select("shard", "key"), universe.where("not listed").select("shard", "key")
+    while (n := yes.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]) > 0:
+        level = Level(max(64, math.ceil(n * HASHES / math.log(2) / 64) * 64), len(cascade.levels))
+        level.arrays = written(_arrays(yes, level, cascade.shards), "cascade-level")
+        cascade.levels.append(level)
+        wrong = [other.where(F.col("shard") == s).where(level.has(F.col("key"), s)) for s in range(cascade.shards)]
+        yes, other = written(reduce(DataFrame.unionByName, wrong), "cascade-wrong", by="shard" if cascade.shards > 1 else None), yes
+    return cascade
+
+
+def flag_listed(rows: DataFrame, listed: DataFrame, column: str = "listed") -> DataFrame:
+    """`rows` (with a column key, with repeats) with a flag for keys that are in `listed`."""
+    cascade = build_cascade(rows, listed)
+    if cascade.shards == 1:
+        return rows.withColumn(column, cascade.listed(F.col("key"), 0))
+    dealt = written(rows.withColumn("shard", cascade.shard(F.col("key"))), "cascade-rows", by="shard")
+    parts = [dealt.where(F.col("shard") == s).withColumn(column, cascade.listed(F.col("key"), s)) for s in range(cascade.shards)]
+    return reduce(DataFrame.unionByName, parts).drop("shard")
+
+
+def page_keys(pages: DataFrame) -> DataFrame:
+    """page_id, host, path and key (host and path) of pages (page_id, url)."""
     host, path = url_parts(F.col("url"))
-    pages = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    named = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, listed_sites)))
-    listed = pages.where(named).select("key").distinct()
-    judged = listed_keys(pages, listed)
+    return pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
+
+
+def site_list(keys: DataFrame, sites: Sequence[str] = LISTED_SITES) -> DataFrame:
+    """A list of keys: all of those sites, wherever their name stands in the host."""
+    return keys.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, sites)))).select("key").distinct()
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed for every row of pages (page_id, url); listed: a table of keys, by default of LISTED_SITES."""
+    keys = page_keys(pages)
+    judged = flag_listed(keys, site_list(keys) if listed is None else listed)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "listed")
