@@ -1,17 +1,24 @@
 """Removal of word sequences that occur more than once, by automata over recurring passages.
 
 1. Candidates. In each window of `width` words the `GRAM`-word sequence with the least hash is its
-   anchor. Equal windows have equal anchors, so a window whose anchor occurs once is unique.
-2. Confirmation. Windows with recurring anchors are counted by hash. What occurs once is located by
-   the aggregate itself (its least key and position), so nothing is joined back on a hash, and a
-   passage that a third of the documents hold collapses before the shuffle.
-3. Location. Documents are streamed in blocks of bounded size. The confirmed passages that a block
-   needs, maximal runs of recurring windows, are compiled into an Aho-Corasick automaton, and every
-   document of the block is run through it; the words under its matches go.
-
-Null and empty texts have no words. Equal windows are judged by 64-bit hashes of word hashes; two
-given different windows are taken for equal with a chance of 2**-64. Repeated rows are occurrences of
-their own. Rows with a null id are kept and judged like any other.
+   anchor. Equal windows have equal anchors, so a window whose anchor occurs once is unique. Neighbouring
+   windows with one anchor make a segment, the text from the first's start to the last's end.
+2. Confirmation. Windows whose anchors recur are counted by 128-bit hashes. Of each that occurs twice or
+   more one text is elected, by the aggregate itself, to give its words: the elected windows that
+   neighbour each other are a confirmed passage. So a passage that a third of the documents hold is
+   there once, and nothing is joined back on a hash.
+3. Location. Passages are dealt by their anchors into shards of about SHARD_BYTES. Of each shard an
+   Aho-Corasick automaton is compiled, over words, and segments of all documents with an anchor of that
+   shard are streamed through it. Its patterns are the passages cut into blocks of (width + 1) / 2 words;
+   every window holds one of them whole, and around a block that is found the windows are compared word
+   for word. Words under windows found so go; without the automaton none would.
+
+Anchors that hold more than one in HOT of all segments are split: their segments are dealt by document over
+several shards, and their passages are given to each of those.
+
+Null and empty texts have no words. Repeated rows are occurrences of their own. Rows with a null id are
+kept and judged like any other. An empty table gives an empty one. Columns other than doc_id and text are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,9 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
+from tidemark.llm._tables import written
 
 WIDTH = 35
 GRAM = 8
+#: Text of the passages of one automaton, about; it takes some fifty times as much memory.
+SHARD_BYTES = 1 << 20
+#: Bytes of a passage of one anchor, about.
+PASSAGE_BYTES = 300
+HOT = 1024
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -43,60 +56,57 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return where
 
 
-def _anchors(parts: _text.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all windows, of the anchor of each, and the hashes of all anchor-sized sequences."""
-    if len(parts.hash) < width:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    at, grams = np.flatnonzero(parts.whole(width)), parts.grams(GRAM)
-    return at, sliding_argmin(grams, width - GRAM + 1)[at], grams
+class Windows:
+    """The windows of the texts of a slice: word positions, runs of neighbours with one anchor, and the runs' texts and anchors."""
 
+    def __init__(self, parts: _text.Words, width: int) -> None:
+        self.at = self.run = self.first = np.zeros(0, dtype=np.int64)
+        self.anchor = np.zeros(0, dtype=np.uint64)
+        if len(parts.hash) >= width:
+            self.at, grams = np.flatnonzero(parts.whole(width)), parts.grams(GRAM)
+            if len(self.at):
+                place = sliding_argmin(grams, width - GRAM + 1)[self.at]
+                new = np.append(True, (np.diff(place) != 0) | (np.diff(self.at) != 1))
+                self.first, self.run = np.flatnonzero(new), np.cumsum(new) - 1
+                self.anchor = grams[place[self.first]]
+        self.doc = np.searchsorted(parts.bounds, self.at[self.first], side="right") - 1
 
-def _runs(at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first window of each run of neighbouring windows with one anchor, and each window's run."""
-    if not len(at):
-        return at, at
-    new = np.append(True, (np.diff(anchor) != 0) | (np.diff(at) != 1))
-    return np.flatnonzero(new), np.cumsum(new) - 1
 
+def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
-def _local(parts: _text.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text and the position in it of words of a slice."""
-    doc = np.searchsorted(parts.bounds, at, side="right") - 1
-    return doc, at - parts.bounds[doc]
 
+def _signed(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.int64)
 
-def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+
+def _in_lists(lists: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of the values are in their texts' lists."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
+    listed = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return np.isin(_text.mix(value ^ _text.mix(doc.astype(np.uint64))), _text.mix(listed ^ _text.mix(owner)))
+
+
+def _window_keys(parts: _text.Words, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the windows at those words."""
+    return _text.ranges(parts.hash, at, at + width), _text.ranges(_text.mix(parts.hash ^ np.uint64(0x5851F42D4C957F2D)), at, at + width)
 
 
 def _emit_anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in _text.slices(batch, "text"):
-                parts = _text.words(data, offsets)
-                at, anchor, grams = _anchors(parts, width)
-                first, _ = _runs(at, anchor)
-                doc, pos = _local(parts, at[first])
-                yield _batch(hash=grams[anchor[first]].view(np.int64), row=part.column("row").to_numpy()[doc], pos=pos.astype(np.int32))
+                windows = Windows(_text.words(data, offsets), width)
+                yield _batch(hash=_signed(windows.anchor), key=part.column("key").to_numpy()[windows.doc])
 
     return run
 
 
-def _recurring(part: pa.RecordBatch, parts: _text.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the slice whose anchor recurs: their positions, and which texts have some."""
-    at, anchor, _ = _anchors(parts, width)
-    first, run = _runs(at, anchor)
-    doc, pos = _local(parts, at[first])
-    keep = ~_listed(part.column("lone"), parts, doc, pos)
-    return at[keep[run]] if len(at) else at, doc[keep]
-
-
-def _listed(lists: pa.Array, parts: _text.Words, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which (text, position) pairs are in the texts' lists."""
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    marks = np.zeros(len(parts.hash) + 1, dtype=bool)
-    marks[np.repeat(parts.bounds[:-1], sizes) + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
-    return marks[parts.bounds[doc] + pos]
+def _candidates(part: pa.RecordBatch, parts: _text.Words, width: int) -> tuple[Windows, np.ndarray]:
+    """The windows of a slice, and which runs have an anchor that recurs."""
+    windows = Windows(parts, width)
+    return windows, ~_in_lists(part.column("lone"), windows.doc, windows.anchor)
 
 
 def _emit_windows(width: int):
@@ -104,91 +114,171 @@ def _emit_windows(width: int):
         for batch in batches:
             for part, data, offsets in _text.slices(batch, "text"):
                 parts = _text.words(data, offsets)
-                at, _ = _recurring(part, parts, width)
-                if len(at):
-                    doc, pos = _local(parts, at)
-                    yield _batch(hash=parts.grams(width)[at].view(np.int64), row=part.column("row").to_numpy()[doc], pos=pos.astype(np.int32))
+                windows, some = _candidates(part, parts, width)
+                if some.any():
+                    use = some[windows.run]
+                    h1, h2 = _window_keys(parts, windows.at[use], width)
+                    yield _batch(h1=_signed(h1), h2=_signed(h2), key=part.column("key").to_numpy()[windows.doc[windows.run[use]]])
 
     return run
 
 
-def _lone(rows: DataFrame, name: str) -> DataFrame:
-    """Positions by document of the hashes that occur once."""
-    once = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).where("n = 1")
-    return once.groupBy("row").agg(F.collect_list("pos").alias(name))
-
-
-def _passages(parts: _text.Words, at: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring windows, as word ranges; a run ends with its text."""
-    if not len(at):
-        return []
-    doc = np.searchsorted(parts.bounds, at, side="right") - 1
-    new = np.append(True, (np.diff(at) != 1) | (np.diff(doc) != 0))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return list(zip(at[first].tolist(), (at[last] + width).tolist(), strict=True))
-
-
-def _covered(parts: _text.Words, passages: list[tuple[int, int]]) -> np.ndarray:
-    """Words of the block that an occurrence of one of the passages covers, found by an automaton."""
-    covered = np.zeros(len(parts.hash) + 1, dtype=np.int64)
-    if not passages:
-        return covered[:-1] > 0
-    texts = _text.joined(parts, np.ones(len(parts.hash), dtype=bool))
-    raw = [f" {t.decode('latin-1')} " for t in texts]  # a byte is a character, so positions are byte positions
-    size = parts.end - parts.start + 1
-    ends = np.cumsum(size)
-    base = np.append(0, ends)[parts.bounds]  # of each text, in words' bytes
-    automaton = ahocorasick.Automaton()
-    doc = np.searchsorted(parts.bounds, [a for a, _ in passages], side="right") - 1
-    for (a, b), d in zip(passages, doc.tolist(), strict=True):
-        low = int(ends[a] - size[a] - base[d])
-        automaton.add_word(raw[d][low : int(ends[b - 1] - base[d]) + 1], b - a)
-    automaton.make_automaton()
-    for d, text in enumerate(raw):
-        if parts.bounds[d] == parts.bounds[d + 1]:
-            continue
-        hits = [(stop, n) for stop, n in automaton.iter(text)]
-        if hits:
-            stop, n = np.array(hits).T
-            last = np.searchsorted(ends, base[d] + stop)  # the word that ends at the match's last space
-            np.add.at(covered, last - n + 1, 1)
-            np.add.at(covered, last + 1, -1)
-    return np.cumsum(covered)[:-1] > 0
-
-
-def _emit_kept(width: int):
+def _emit_parts(width: int, shards: int, salts: dict[int, int]):
+    """(shard, kind, key, check, pos, text): confirmed passages (kind 0) and segments of documents (kind 1)."""
+
+    def shard_of(anchor: int, salt: int) -> int:
+        return (anchor ^ salt * 0x9E3779B97F4A7C15) % shards
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in _text.slices(batch, "text"):
                 parts = _text.words(data, offsets)
-                at, _ = _recurring(part, parts, width)
-                doc, pos = _local(parts, at)
-                at = at[~_listed(part.column("unique"), parts, doc, pos)]
-                gone = _covered(parts, _passages(parts, at, width))
-                kept = _text.joined(parts, ~gone)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), parts.bounds[:-1]) * (parts.counts > 0)
-                yield _batch(
-                    doc_id=part.column("doc_id"), n_words=parts.counts.astype(np.int64), n_removed=removed,
-                    kept_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in kept]), kept=pa.array([t.decode() for t in kept]),
-                )
+                windows, some = _candidates(part, parts, width)
+                if not some.any():
+                    continue
+                text, keys, checks = b" ".join(_text.joined(parts, np.ones(len(parts.hash), dtype=bool))), part.column("key").to_numpy(), part.column("check").to_numpy()
+                # Texts without words leave a blank each, so words' places count from their own text's beginning.
+                size = parts.end - parts.start + 1
+                ends = np.cumsum(size) + np.repeat(np.cumsum(parts.counts == 0), parts.counts) if len(size) else size
+                last = np.append(windows.first[1:], len(windows.at)) - 1
+                spans = [(1, r, windows.at[windows.first[r]], windows.at[last[r]]) for r in np.flatnonzero(some).tolist()]
+                use = np.flatnonzero(some[windows.run])
+                h1, h2 = _window_keys(parts, windows.at[use], width)
+                mine = use[_in_lists(part.column("chosen"), windows.doc[windows.run[use]], h1 ^ h2)]
+                if len(mine):
+                    new = np.append(True, (np.diff(mine) != 1) | (np.diff(windows.run[mine]) != 0))
+                    a, b = mine[new], mine[np.append(np.flatnonzero(new)[1:], len(mine)) - 1]
+                    spans += [(0, int(windows.run[x]), windows.at[x], windows.at[y]) for x, y in zip(a, b, strict=True)]
+                rows = []
+                for kind, r, a, b in spans:
+                    anchor, doc = int(windows.anchor[r]), windows.doc[r]
+                    key, check = int(keys[doc]), int(checks[doc])
+                    b += width - 1
+                    cut, ways = text[ends[a] - size[a] : ends[b] - 1], salts.get(anchor, 1)
+                    for salt in range(ways) if kind == 0 else (key % ways,):
+                        rows.append((shard_of(anchor, salt), kind, key, check, int(a - parts.bounds[doc]), cut))
+                shard, kind, key, check, pos, cut = zip(*rows, strict=True)
+                yield _batch(shard=pa.array(shard, pa.int32()), kind=pa.array(kind, pa.int32()), key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), pos=pa.array(pos, pa.int32()), text=pa.array(cut, pa.binary()))
+
+    return run
+
+
+class Passages:
+    """The automaton of a shard: passages as strings with a character for each word."""
+
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        self.width, self.block = width, (width + 1) // 2
+        self.letters: dict[bytes, str] = {}
+        self.windows: set[str] = set()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for text in texts:
+            for word in text.split(b" "):
+                if word not in self.letters:
+                    n = len(self.letters) + 1
+                    self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
+            line = self.spelled(text)
+            for i in range(0, len(line) - self.block + 1, self.block):
+                self.automaton.add_word(line[i : i + self.block])
+            self.windows.update(line[i : i + width] for i in range(len(line) - width + 1))
+        if self.letters:
+            self.automaton.make_automaton()
+
+    def spelled(self, text: bytes) -> str:
+        return "".join([self.letters.get(word, "\0") for word in text.split(b" ")])
+
+    def covered(self, text: bytes) -> list[tuple[int, int]]:
+        """Ranges of words of a text that windows of the passages cover."""
+        if not self.letters:
+            return []
+        line, out, done = self.spelled(text), [], 0
+        for end, _ in self.automaton.iter(line):
+            start = end - self.block + 1  # of the block; the windows around it begin up to width - block earlier
+            for i in range(max(done, start - self.width + self.block), min(start, len(line) - self.width) + 1):
+                if line[i : i + self.width] in self.windows:
+                    if out and i <= out[-1][1]:
+                        out[-1] = out[-1][0], i + self.width
+                    else:
+                        out.append((i, i + self.width))
+            done = max(done, start + 1)
+        return out
+
+
+def _locate(width: int):
+    """(key, check, first, last): words of documents under recurring windows, from the rows of _emit_parts in order of shard and kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, texts, passages = None, [], None
+        for batch in batches:
+            found = []
+            for s, kind, key, check, pos, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != shard:
+                    shard, texts, passages = s, [], None
+                if kind == 0:
+                    texts.append(text)
+                    continue
+                if passages is None:
+                    passages = Passages(texts, width)
+                    texts = []
+                found += [(key, check, pos + a, pos + b) for a, b in passages.covered(text)]
+            if found:
+                key, check, first, last = zip(*found, strict=True)
+                yield _batch(key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), first=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()))
 
     return run
 
 
-def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
+def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in _text.slices(batch, "text"):
+            parts = _text.words(data, offsets)
+            lists = part.column("gone")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ranges, doc = lists.flatten(), np.repeat(np.arange(part.num_rows), sizes)
+            own = ranges.field("check").to_numpy() == part.column("check").to_numpy()[doc]  # not of another row with the same key
+            first, last = (parts.bounds[doc] + ranges.field(n).to_numpy() for n in ("first", "last"))
+            depth = np.zeros(len(parts.hash) + 1, dtype=np.int64)
+            np.add.at(depth, first[own], 1)
+            np.add.at(depth, last[own], -1)
+            gone = np.cumsum(depth)[:-1] > 0
+            kept = _text.joined(parts, ~gone)
+            removed = np.add.reduceat(np.append(gone, False).astype(np.int64), parts.bounds[:-1]) * (parts.counts > 0)
+            yield _batch(
+                doc_id=part.column("doc_id"), n_words=parts.counts.astype(np.int64), n_removed=removed,
+                kept_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in kept]), kept=pa.array([t.decode() for t in kept]),
+            )
+
+
+def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool = True, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """For each row of docs (doc_id, text): n_words, n_removed, kept_sha256 and, if asked for, the kept text.
 
-    The text of a document moves twice, each time by a key that is the document's own.
+    Texts are shuffled once, by a key of their own, and that shuffle serves all three passes. Rows that
+    share a key share lists of hashes, which name words, not places, and the places found carry 64 bits
+    more, so two different texts would have to agree in 128 bits to do each other harm.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    found = "hash long, row long, pos int"
-    lone = _lone(docs.select("row", "text").mapInArrow(_emit_anchors(width), found), "lone")
-    marked = docs.join(lone.hint("shuffle_hash"), "row", "left")
-    windows = marked.select("row", "text", "lone").mapInArrow(_emit_windows(width), found)
-    marked = marked.join(_lone(windows, "unique").hint("shuffle_hash"), "row", "left")
+    key = F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check")
+    docs = docs.select("doc_id", "text").select("doc_id", "text", *key)
     kind = dict(docs.dtypes)["doc_id"]
-    out = marked.select("doc_id", "text", "lone", "unique").mapInArrow(_emit_kept(width), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    anchors = docs.select("key", "text").mapInArrow(_emit_anchors(width), "hash long, key long")
+    anchors = written(anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key")), "anchors")
+    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n") > 1).alias("again")).first()
+    heads = anchors.where((F.col("n") * hot > total["all"]) & (F.col("n") > 1)).select("hash", "n").collect()  # fewer than hot rows
+    salts = {r["hash"] % 2**64: -(-r["n"] * hot // total["all"]) for r in heads}
+    shards = max(1, -(-total["again"] * PASSAGE_BYTES // shard_bytes))
+    tasks = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    every = ("doc_id", "text", "key", "check")
+    lone = anchors.where("n = 1").groupBy("key").agg(F.collect_list("hash").alias("lone"))
+    marked = docs.join(lone.hint("shuffle_hash"), "key", "left").select(*every, "lone")
+    windows = marked.mapInArrow(_emit_windows(width), "h1 long, h2 long, key long")
+    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1")
+    chosen = again.groupBy("key").agg(F.collect_list(F.col("h1").bitwiseXOR(F.col("h2"))).alias("chosen"))
+    parts = marked.join(chosen.hint("shuffle_hash"), "key", "left").select(*every, "lone", "chosen")
+    parts = parts.mapInArrow(_emit_parts(width, shards, salts), "shard int, kind int, key long, check long, pos int, text binary")
+    parts = parts.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+    found = parts.mapInArrow(_locate(width), "key long, check long, first int, last int")
+    gone = found.groupBy("key").agg(F.collect_list(F.struct("check", "first", "last")).alias("gone"))
+    out = docs.join(gone.hint("shuffle_hash"), "key", "left").select(*every, "gone")
+    out = out.mapInArrow(_emit_kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 
 
