@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.default_rng(20240131)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -120,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[1:] &= ~solid[:-1] | cut[1:n]
     ends[:-1] &= ~solid[1:] | cut[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, np.searchsorted(start, offsets), ranges(_BYTE[data], start, end))
+    return Words(data, start, end, np.searchsorted(start, offsets), ranges(BYTE[data], start, end))
 
 
 def joined(parts: Words, keep: np.ndarray) -> list[bytes]:
