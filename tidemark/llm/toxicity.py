@@ -1,16 +1,22 @@
 """Toxicity by learning from confirmed toxic examples and unlabelled text.
 
-A linear model over hashed words and beginnings of words is trained with the non-negative risk estimator for positive and
-unlabelled data: pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1)), pi being the class prior. Labels of
-the negative class are used for the prior alone, and no label of the held-out fold is read.
+A linear model over hashed words and beginnings of words is trained with the non-negative risk estimator
+for positive and unlabelled data: pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1)), pi being the class prior.
+Weights and bias are what it learns. Features are scaled by how unevenly positive and unlabelled texts
+hold them, and a text's features to length one. Scores of a linear model that is far larger than its
+sample are too near the middle, so a slope and an offset are learned last, by the same risk, on scores of
+sample texts from models that have not seen them. Labels of the negative class are used for the prior
+alone, and no label of the held-out fold is read.
 
 Training data are bounded samples of labelled rows (MAX_POSITIVE, MAX_UNLABELLED), the lowest in
 the order of a hash of their ids. Scoring covers every whole text; the broadcast weights have a fixed
-size. A null text counts as empty and scores the bias. Rows are never merged. Without positive or
-unlabelled rows to learn from, every text scores the prior.
+size. A null text counts as empty and scores by the bias. Rows are never merged; a row with a null id is
+held out. Without positive or unlabelled rows to learn from, every text scores the prior. An empty table
+gives an empty one. A column of the score's name is overwritten; drop_toxic takes a free name.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,16 +25,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
+from tidemark.llm._tables import free_name
 
 #: Bounds of the training samples, in rows.
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 THRESHOLD = 0.7
 BITS = 21
-EPOCHS = 20
-SHARE = 0.95
-RATE = 0.1
-DECAY = 2e-6
+EPOCHS = 12
+BATCH = 128
+PARTS = 3
+RATE = 0.02
+DECAY = 1e-5
+#: Texts of the sample that a feature must be in.
+LEAST_TEXTS = 5
 #: Bytes of the word beginnings that count as features beside whole words.
 PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
@@ -65,63 +75,92 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _text.slices(batch, "text"):
             feature, size = _features(_text.words(_letters(data), offsets))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("part"), lists], ["toxic", "part", "features"])
 
 
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features that at least eight positive texts have (fewer in small samples), at six times the rate of unlabelled texts."""
-    of_p = np.bincount(np.concatenate(positive).astype(np.int64), minlength=1 << BITS)
-    of_u = np.bincount(np.concatenate(unlabelled).astype(np.int64), minlength=1 << BITS)
-    return (of_p >= min(8, max(2, len(positive) // 20))) & (of_p * len(unlabelled) >= 6 * of_u * len(positive))
+@dataclass
+class Model:
+    """Weights of scaled features and the squares of the scales, by feature number; the bias; and slope and offset of the calibration."""
 
+    weights: np.ndarray
+    squares: np.ndarray
+    bias: float
+    slope: float = 1.0
+    offset: float = 0.0
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias by stochastic gradients (Adam) of the non-negative risk with the logistic loss."""
+    def logits(self, feature: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of texts with so many features each."""
+        doc = np.repeat(np.arange(len(size)), size)
+        total, squares = (np.bincount(doc, w[feature], minlength=len(size)) for w in (self.weights, self.squares))
+        return self.slope * (total / np.sqrt(np.maximum(squares, 1e-6)) + self.bias) + self.offset
+
+
+class _Adam:
+    def __init__(self, size: int, rate: float) -> None:
+        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
+
+    def step(self, gradient: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * gradient, 0.999 * self.v + 0.001 * gradient**2
+        return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def risk_slopes(z: np.ndarray, k: int, prior: float) -> np.ndarray:
+    """The non-negative risk's derivative by each logit, with the logistic loss; the first k texts are positive, the others unlabelled."""
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    negative = np.mean(np.logaddexp(0, z[k:])) - prior * np.mean(np.logaddexp(0, z[:k]))
+    if negative >= 0:
+        return np.append(prior * (p[:k] - 1) / k - prior * p[:k] / k, p[k:] / (len(z) - k))
+    # The negative part has gone below zero: only it is stepped, upwards.
+    return np.append(prior * p[:k] / k, -p[k:] / (len(z) - k))
+
+
+def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
+    """A model by stochastic gradients (Adam) of the non-negative risk."""
     rng = np.random.default_rng(seed)
-    use = _telling(positive, unlabelled)
-    place, size = np.cumsum(use) - 1, int(use.sum())
-    rows = [place[r[use[r]]] for r in [*positive, *unlabelled]]
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    b = float(np.log(prior / (1 - prior)))
-    mb = vb = 0.0
     n_p, n_u = len(positive), len(unlabelled)
-    steps, t = max(8, min(64, n_u // 128)), 0
+    of_p, of_u = (np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << BITS) for rows in (positive, unlabelled))
+    use = of_p + of_u >= min(LEAST_TEXTS, max(1, n_p // 20))
+    place = np.cumsum(use) - 1
+    scale = np.abs(np.log((of_p + 1) / (n_p + 2)) - np.log((of_u + 1) / (n_u + 2)))[use]
+    rows = [place[r[use[r]]] for r in [*positive, *unlabelled]]
+    values = [scale[r] / np.sqrt(max(1e-6, (scale[r] ** 2).sum())) for r in rows]
+    w, b = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
+    adam_w, adam_b = _Adam(len(w), RATE), _Adam(1, RATE)
+    steps = max(8, n_u // BATCH)
     for _ in range(EPOCHS):
         order_p, order_u = rng.permutation(n_p), n_p + rng.permutation(n_u)
         for pick_p, pick_u in zip(np.array_split(np.resize(order_p, max(n_p, steps)), steps), np.array_split(order_u, steps), strict=True):
             if not len(pick_u):
                 continue
             pick = np.concatenate([pick_p, pick_u])
-            feature = np.concatenate([rows[i] for i in pick])
+            feature, value = (np.concatenate([part[i] for i in pick]) for part in (rows, values))
             doc = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            z = np.bincount(doc, w[feature], minlength=len(pick)) + b
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            k = len(pick_p)
-            negative = np.mean(np.logaddexp(0, z[k:])) - prior * np.mean(np.logaddexp(0, z[:k]))
-            g = np.empty(len(pick))
-            if negative >= 0:
-                g[:k] = prior * (p[:k] - 1) / k - prior * p[:k] / k
-                g[k:] = p[k:] / len(pick_u)
-            else:  # the negative part has gone below zero: only it is stepped, upwards
-                g[:k] = prior * p[:k] / k
-                g[k:] = -p[k:] / len(pick_u)
-            grad = np.bincount(feature, g[doc], minlength=size) + DECAY * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
-            w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            np.maximum(w, 0, out=w)  # a telling feature never speaks for a text
-            b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[use] = w
-    # The bias is set by the prior: SHARE of the toxic texts that it foretells score over THRESHOLD.
-    z = np.array([w[r].sum() for r in rows[n_p:]])
-    least = max(float(np.quantile(z, 1 - SHARE * prior)), 0.5)
-    return weights, float(np.log(THRESHOLD / (1 - THRESHOLD))) - least
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and bias from docs (doc_id, text) and labels (doc_id, toxic), held-out fold aside."""
+            g = risk_slopes(np.bincount(doc, w[feature] * value, minlength=len(pick)) + b, len(pick_p), prior)
+            w = w - adam_w.step(np.bincount(feature, g[doc] * value, minlength=len(w)) + DECAY * w)
+            b -= float(adam_b.step(np.array([g.sum()]))[0])
+    weights, squares = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    weights[use], squares[use] = w * scale, scale**2
+    return Model(weights, squares, b)
+
+
+def _calibrated(model: Model, positive: list[np.ndarray], unlabelled: list[np.ndarray], parts: np.ndarray, prior: float) -> Model:
+    """The model with slope and offset that least the risk of logits of texts by models learned from the other parts; a text is in one part wherever it stands."""
+    rows, k = [*positive, *unlabelled], len(positive)
+    z = np.zeros(len(rows))
+    for part in range(PARTS):
+        others, mine = np.flatnonzero(parts != part), np.flatnonzero(parts == part)
+        other = nnpu_fit([rows[i] for i in others if i < k], [rows[i] for i in others if i >= k], prior)
+        z[mine] = other.logits(np.concatenate([rows[i] for i in mine]), np.array([len(rows[i]) for i in mine]))
+    line, adam = np.array([1.0, 0.0]), _Adam(2, 0.02)
+    for _ in range(3000):
+        g = risk_slopes(line[0] * z + line[1], k, prior)
+        line = line - adam.step(np.array([(g * z).sum(), g.sum()]))
+    return replace(model, slope=float(max(line[0], 0.1)), offset=float(line[1]))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), held-out fold aside."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
@@ -130,41 +169,38 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE)
     hidden = known.orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(MAX_UNLABELLED).withColumn("toxic", F.lit(0))
     picked = F.broadcast(sample.unionByName(hidden))  # MAX_POSITIVE + MAX_UNLABELLED ids at most
-    texts = docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(_extract, "toxic int, features array<int>").toArrow()
-    groups: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for toxic, features in zip(rows.column("toxic").to_pylist(), rows.column("features").combine_chunks(), strict=True):
-        groups[toxic].append(features.values.to_numpy())
-    if not groups[1] or not groups[0]:
-        return np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
-    return nnpu_fit(groups[1], groups[0], prior)
-
-
-def _score(weights: np.ndarray, bias: float):
-    use = weights != 0
-
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
-            out = []
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], ["text"])
-            for part, data, offsets in _text.slices(batch, "text"):
-                feature, size = _features(_text.words(_letters(data), offsets), use)
-                z = np.bincount(np.repeat(np.arange(len(size)), size), weights[feature], minlength=len(size)) + bias
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    return run
-
-
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"), "text")
+    rows = texts.mapInArrow(_extract, "toxic int, part int, features array<int>").toArrow()
+    toxic, part = (rows.column(c).to_numpy() for c in ("toxic", "part"))
+    features = [f.values.to_numpy() for f in rows.column("features").combine_chunks()] if rows.num_rows else []
+    positive, unlabelled = (np.flatnonzero(toxic == n) for n in (1, 0))
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
+    groups = [features[i] for i in positive], [features[i] for i in unlabelled]
+    model = nnpu_fit(*groups, prior)
+    every = all(len(np.unique(part[g])) == PARTS for g in (positive, unlabelled))
+    return _calibrated(model, *groups, part[np.append(positive, unlabelled)], prior) if every else model
+
+
+def _score(model: Model, series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    use = model.squares != 0
+    for texts in series:
+        out = [np.zeros(0)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], ["text"])
+        for _, data, offsets in _text.slices(batch, "text"):
+            z = model.logits(*_features(_text.words(_letters(data), offsets), use))
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        yield pd.Series(np.concatenate(out))
+
+
+def score_toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a score of each whole text."""
-    sc = docs.sparkSession.sparkContext
-    weights, bias = model
-    sent = sc.broadcast(weights.astype(np.float32))  # 2**BITS floats
+    small = replace(model, weights=model.weights.astype(np.float32), squares=model.squares.astype(np.float32))
+    sent = docs.sparkSession.sparkContext.broadcast(small)  # twice 2**BITS floats
 
     @F.pandas_udf("double")
     def scored(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from _score(sent.value, bias)(series)
+        yield from _score(sent.value, series)
 
     return docs.withColumn(column, scored("text"))
 
@@ -179,8 +215,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that do not score as toxic, unchanged."""
-    column = "score_"
-    while column in docs.columns:
-        column += "_"
+    column = free_name(docs, "score_")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return score_toxicity(docs, model, column).where(F.col(column) < THRESHOLD).select(*docs.columns)
