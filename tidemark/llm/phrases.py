@@ -3,18 +3,18 @@
 1. Candidates. In each window of `width` words the `GRAM`-word sequence with the least hash is its
    anchor. Equal windows have equal anchors, so a window whose anchor occurs once is unique. Neighbouring
    windows with one anchor make a segment, the text from the first's start to the last's end.
-2. Confirmation. Windows whose anchors recur are counted by 128-bit hashes. Of each that occurs twice or
-   more one text is elected, by the aggregate itself, to give its words: the elected windows that
-   neighbour each other are a confirmed passage. So a passage that a third of the documents hold is
-   there once, and nothing is joined back on a hash.
-3. Location. Passages are dealt by their anchors into shards of about SHARD_BYTES. Of each shard an
-   Aho-Corasick automaton is compiled, over words, and segments of all documents with an anchor of that
-   shard are streamed through it. Its patterns are the passages cut into blocks of (width + 1) / 2 words;
-   every window holds one of them whole, and around a block that is found the windows are compared word
-   for word. Words under windows found so go; without the automaton none would.
-
-Anchors that hold more than one in HOT of all segments are split: their segments are dealt by document over
-several shards, and their passages are given to each of those.
+2. Confirmation. Segments of all documents whose anchors recur are dealt by anchor into shards of about
+   SHARD_BYTES, so equal windows meet in one. As a shard streams by, windows that have been seen before
+   confirm passages, the longest stretches of such windows. No hash decides here, texts are compared.
+3. Location. The passages of each shard are compiled into an Aho-Corasick automaton over words, and all
+   segments of the shard are streamed through it. Its patterns are the passages cut into blocks of
+   (width + 1) / 2 words; every window holds one of them whole, and around a block that is found the
+   windows are compared word for word. Words under windows found so go; without the automaton none would.
+
+Segments of an anchor with more than FEW of them and more than one in HOT of all could overfill a shard.
+Their windows are counted by 128-bit hashes instead; those that occur once are located by the
+aggregate itself, all others go. So a passage that a third of the documents hold collapses before the
+shuffle, and nothing is joined back on a hash.
 
 Null and empty texts have no words. Repeated rows are occurrences of their own. Rows with a null id are
 kept and judged like any other. An empty table gives an empty one. Columns other than doc_id and text are
@@ -37,11 +37,12 @@ from tidemark.llm._tables import written
 
 WIDTH = 35
 GRAM = 8
-#: Text of the passages of one automaton, about; it takes some fifty times as much memory.
-SHARD_BYTES = 1 << 20
-#: Bytes of a passage of one anchor, about.
-PASSAGE_BYTES = 300
-HOT = 1024
+#: Text of the segments of one shard, about; what is built from it takes some twenty times as much memory.
+SHARD_BYTES = 4 << 20
+#: Bytes of a segment, about.
+SEGMENT_BYTES = 280
+HOT = 1 << 20
+FEW = 64
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,18 +104,22 @@ def _emit_anchors(width: int):
     return run
 
 
-def _candidates(part: pa.RecordBatch, parts: _text.Words, width: int) -> tuple[Windows, np.ndarray]:
-    """The windows of a slice, and which runs have an anchor that recurs."""
+def _candidates(part: pa.RecordBatch, parts: _text.Words, width: int, hot: np.ndarray) -> tuple[Windows, np.ndarray, np.ndarray]:
+    """The windows of a slice, which runs have an anchor that recurs, and which of those a hot one."""
     windows = Windows(parts, width)
-    return windows, ~_in_lists(part.column("lone"), windows.doc, windows.anchor)
+    again = ~_in_lists(part.column("lone"), windows.doc, windows.anchor)
+    at = np.minimum(np.searchsorted(hot, windows.anchor), max(0, len(hot) - 1))
+    return windows, again, again & (hot[at] == windows.anchor) if len(hot) else np.zeros(len(again), dtype=bool)
 
 
-def _emit_windows(width: int):
+def _emit_windows(width: int, sent):
+    """(h1, h2, key) of the windows with hot anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in _text.slices(batch, "text"):
                 parts = _text.words(data, offsets)
-                windows, some = _candidates(part, parts, width)
+                windows, _, some = _candidates(part, parts, width, sent.value)
                 if some.any():
                     use = some[windows.run]
                     h1, h2 = _window_keys(parts, windows.at[use], width)
@@ -123,132 +128,158 @@ def _emit_windows(width: int):
     return run
 
 
-def _emit_parts(width: int, shards: int, salts: dict[int, int]):
-    """(shard, kind, key, check, pos, text): confirmed passages (kind 0) and segments of documents (kind 1)."""
-
-    def shard_of(anchor: int, salt: int) -> int:
-        return (anchor ^ salt * 0x9E3779B97F4A7C15) % shards
+def _emit_segments(width: int, shards: int, sent):
+    """(shard, key, check, pos, text) of the runs whose anchor recurs and isn't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in _text.slices(batch, "text"):
                 parts = _text.words(data, offsets)
-                windows, some = _candidates(part, parts, width)
-                if not some.any():
+                windows, again, hot = _candidates(part, parts, width, sent.value)
+                runs = np.flatnonzero(again & ~hot)
+                if not len(runs):
                     continue
-                text, keys, checks = b" ".join(_text.joined(parts, np.ones(len(parts.hash), dtype=bool))), part.column("key").to_numpy(), part.column("check").to_numpy()
-                # Texts without words leave a blank each, so words' places count from their own text's beginning.
+                text = b" ".join(_text.joined(parts, np.ones(len(parts.hash), dtype=bool)))
+                # Texts without words leave a blank each.
                 size = parts.end - parts.start + 1
-                ends = np.cumsum(size) + np.repeat(np.cumsum(parts.counts == 0), parts.counts) if len(size) else size
-                last = np.append(windows.first[1:], len(windows.at)) - 1
-                spans = [(1, r, windows.at[windows.first[r]], windows.at[last[r]]) for r in np.flatnonzero(some).tolist()]
-                use = np.flatnonzero(some[windows.run])
-                h1, h2 = _window_keys(parts, windows.at[use], width)
-                mine = use[_in_lists(part.column("chosen"), windows.doc[windows.run[use]], h1 ^ h2)]
-                if len(mine):
-                    new = np.append(True, (np.diff(mine) != 1) | (np.diff(windows.run[mine]) != 0))
-                    a, b = mine[new], mine[np.append(np.flatnonzero(new)[1:], len(mine)) - 1]
-                    spans += [(0, int(windows.run[x]), windows.at[x], windows.at[y]) for x, y in zip(a, b, strict=True)]
-                rows = []
-                for kind, r, a, b in spans:
-                    anchor, doc = int(windows.anchor[r]), windows.doc[r]
-                    key, check = int(keys[doc]), int(checks[doc])
-                    b += width - 1
-                    cut, ways = text[ends[a] - size[a] : ends[b] - 1], salts.get(anchor, 1)
-                    for salt in range(ways) if kind == 0 else (key % ways,):
-                        rows.append((shard_of(anchor, salt), kind, key, check, int(a - parts.bounds[doc]), cut))
-                shard, kind, key, check, pos, cut = zip(*rows, strict=True)
-                yield _batch(shard=pa.array(shard, pa.int32()), kind=pa.array(kind, pa.int32()), key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), pos=pa.array(pos, pa.int32()), text=pa.array(cut, pa.binary()))
+                ends = np.cumsum(size) + np.repeat(np.cumsum(parts.counts == 0), parts.counts)
+                a, b = windows.at[windows.first[runs]], windows.at[np.append(windows.first[1:], len(windows.at))[runs] - 1] + width - 1
+                cuts = [text[low:high] for low, high in zip((ends[a] - size[a]).tolist(), (ends[b] - 1).tolist(), strict=True)]
+                doc = windows.doc[runs]
+                yield _batch(
+                    shard=(windows.anchor[runs] % np.uint64(shards)).astype(np.int32), key=part.column("key").to_numpy()[doc], check=part.column("check").to_numpy()[doc],
+                    pos=(a - parts.bounds[doc]).astype(np.int32), text=pa.array(cuts, pa.binary()),
+                )
 
     return run
 
 
 class Passages:
-    """The automaton of a shard: passages as strings with a character for each word."""
+    """Passages of a shard, confirmed as texts come by, and their automaton. A text is a string with a character for each word."""
 
-    def __init__(self, texts: list[bytes], width: int) -> None:
+    def __init__(self, width: int) -> None:
         self.width, self.block = width, (width + 1) // 2
         self.letters: dict[bytes, str] = {}
+        self.seen: set[str] = set()
         self.windows: set[str] = set()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for text in texts:
+        self.passages: set[str] = set()
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def spelled(self, text: bytes) -> str:
+        letters = self.letters
+        try:
+            return "".join([letters[word] for word in text.split(b" ")])
+        except KeyError:
             for word in text.split(b" "):
-                if word not in self.letters:
-                    n = len(self.letters) + 1
-                    self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
-            line = self.spelled(text)
+                if word not in letters:
+                    n = len(letters) + 1
+                    letters[word] = chr(n if n < 0xD800 else n + 0x800)
+            return self.spelled(text)
+
+    def confirm(self, line: str) -> None:
+        """Stretches of windows of a text that have come by before are passages."""
+        width, begin = self.width, None
+        for i in range(len(line) - width + 1):
+            window = line[i : i + width]
+            if window in self.seen:
+                self.windows.add(window)
+                begin = i if begin is None else begin
+            else:
+                self.seen.add(window)
+                if begin is not None:
+                    self.passages.add(line[begin : i - 1 + width])
+                    begin = None
+        if begin is not None:
+            self.passages.add(line[begin:])
+
+    def compile(self) -> None:
+        self.seen.clear()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for line in self.passages:
             for i in range(0, len(line) - self.block + 1, self.block):
                 self.automaton.add_word(line[i : i + self.block])
-            self.windows.update(line[i : i + width] for i in range(len(line) - width + 1))
-        if self.letters:
-            self.automaton.make_automaton()
-
-    def spelled(self, text: bytes) -> str:
-        return "".join([self.letters.get(word, "\0") for word in text.split(b" ")])
+        self.automaton.make_automaton()
 
-    def covered(self, text: bytes) -> list[tuple[int, int]]:
+    def covered(self, line: str) -> list[tuple[int, int]]:
         """Ranges of words of a text that windows of the passages cover."""
-        if not self.letters:
-            return []
-        line, out, done = self.spelled(text), [], 0
+        out: list[tuple[int, int]] = []
+        if not self.passages:
+            return out
+        width, done, most = self.width, 0, len(line) - self.width
         for end, _ in self.automaton.iter(line):
             start = end - self.block + 1  # of the block; the windows around it begin up to width - block earlier
-            for i in range(max(done, start - self.width + self.block), min(start, len(line) - self.width) + 1):
-                if line[i : i + self.width] in self.windows:
+            for i in range(max(done, start - width + self.block), min(start, most) + 1):
+                if line[i : i + width] in self.windows:
                     if out and i <= out[-1][1]:
-                        out[-1] = out[-1][0], i + self.width
+                        out[-1] = out[-1][0], i + width
                     else:
-                        out.append((i, i + self.width))
+                        out.append((i, i + width))
             done = max(done, start + 1)
         return out
 
 
+def _located(rows: list[tuple], width: int) -> pa.RecordBatch:
+    """(key, check, first, last) of the words under recurring windows, from the segments (key, check, pos, text) of a shard."""
+    passages = Passages(width)
+    lines = [passages.spelled(text) for *_, text in rows]
+    for line in lines:
+        passages.confirm(line)
+    passages.compile()
+    found = [(key, check, pos + a, pos + b) for (key, check, pos, _), line in zip(rows, lines, strict=True) for a, b in passages.covered(line)]
+    key, check, first, last = zip(*found, strict=True) if found else ((), (), (), ())
+    return _batch(key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), first=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()))
+
+
 def _locate(width: int):
-    """(key, check, first, last): words of documents under recurring windows, from the rows of _emit_parts in order of shard and kind."""
+    """What _located finds, shard by shard; rows come in order of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, texts, passages = None, [], None
+        shard, rows = None, []
         for batch in batches:
-            found = []
-            for s, kind, key, check, pos, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
-                    shard, texts, passages = s, [], None
-                if kind == 0:
-                    texts.append(text)
-                    continue
-                if passages is None:
-                    passages = Passages(texts, width)
-                    texts = []
-                found += [(key, check, pos + a, pos + b) for a, b in passages.covered(text)]
-            if found:
-                key, check, first, last = zip(*found, strict=True)
-                yield _batch(key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), first=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()))
+                    if rows:
+                        yield _located(rows, width)
+                    shard, rows = s, []
+                rows.append(row)
+        if rows:
+            yield _located(rows, width)
+
+    return run
+
+
+def _emit_kept(width: int, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in _text.slices(batch, "text"):
+                parts = _text.words(data, offsets)
+                lists = part.column("gone")
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ranges, doc = lists.flatten(), np.repeat(np.arange(part.num_rows), sizes)
+                own = ranges.field("check").to_numpy() == part.column("check").to_numpy()[doc]  # not of another row with the same key
+                first, last = (parts.bounds[doc] + ranges.field(n).to_numpy() for n in ("first", "last"))
+                depth = np.zeros(len(parts.hash) + 1, dtype=np.int64)
+                np.add.at(depth, first[own], 1)
+                np.add.at(depth, last[own], -1)
+                windows, _, hot = _candidates(part, parts, width, sent.value)
+                use = np.flatnonzero(hot[windows.run]) if len(windows.at) else windows.at
+                if len(use):
+                    h1, h2 = _window_keys(parts, windows.at[use], width)
+                    again = windows.at[use[~_in_lists(part.column("single"), windows.doc[windows.run[use]], h1 ^ h2)]]
+                    np.add.at(depth, again, 1)
+                    np.add.at(depth, again + width, -1)
+                gone = np.cumsum(depth)[:-1] > 0
+                kept = _text.joined(parts, ~gone)
+                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), parts.bounds[:-1]) * (parts.counts > 0)
+                yield _batch(
+                    doc_id=part.column("doc_id"), n_words=parts.counts.astype(np.int64), n_removed=removed,
+                    kept_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in kept]), kept=pa.array([t.decode() for t in kept]),
+                )
 
     return run
 
 
-def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in _text.slices(batch, "text"):
-            parts = _text.words(data, offsets)
-            lists = part.column("gone")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ranges, doc = lists.flatten(), np.repeat(np.arange(part.num_rows), sizes)
-            own = ranges.field("check").to_numpy() == part.column("check").to_numpy()[doc]  # not of another row with the same key
-            first, last = (parts.bounds[doc] + ranges.field(n).to_numpy() for n in ("first", "last"))
-            depth = np.zeros(len(parts.hash) + 1, dtype=np.int64)
-            np.add.at(depth, first[own], 1)
-            np.add.at(depth, last[own], -1)
-            gone = np.cumsum(depth)[:-1] > 0
-            kept = _text.joined(parts, ~gone)
-            removed = np.add.reduceat(np.append(gone, False).astype(np.int64), parts.bounds[:-1]) * (parts.counts > 0)
-            yield _batch(
-                doc_id=part.column("doc_id"), n_words=parts.counts.astype(np.int64), n_removed=removed,
-                kept_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in kept]), kept=pa.array([t.decode() for t in kept]),
-            )
-
-
-def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool = True, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool = True, shard_bytes: int = SHARD_BYTES, few: int = FEW) -> DataFrame:
     """For each row of docs (doc_id, text): n_words, n_removed, kept_sha256 and, if asked for, the kept text.
 
     Texts are shuffled once, by a key of their own, and that shuffle serves all three passes. Rows that
@@ -260,25 +291,23 @@ def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool =
     kind = dict(docs.dtypes)["doc_id"]
     anchors = docs.select("key", "text").mapInArrow(_emit_anchors(width), "hash long, key long")
     anchors = written(anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key")), "anchors")
-    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n") > 1).alias("again")).first()
-    heads = anchors.where((F.col("n") * hot > total["all"]) & (F.col("n") > 1)).select("hash", "n").collect()  # fewer than hot rows
-    salts = {r["hash"] % 2**64: -(-r["n"] * hot // total["all"]) for r in heads}
-    shards = max(1, -(-total["again"] * PASSAGE_BYTES // shard_bytes))
+    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("again")).first()
+    hot = anchors.where((F.col("n") > few) & (F.col("n") * HOT > total["all"])).select("hash").toArrow().column("hash")  # fewer than HOT
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot.to_numpy().view(np.uint64)))
+    shards = max(1, -(-total["again"] * SEGMENT_BYTES // shard_bytes))
     tasks = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     every = ("doc_id", "text", "key", "check")
     lone = anchors.where("n = 1").groupBy("key").agg(F.collect_list("hash").alias("lone"))
     marked = docs.join(lone.hint("shuffle_hash"), "key", "left").select(*every, "lone")
-    windows = marked.mapInArrow(_emit_windows(width), "h1 long, h2 long, key long")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1")
-    chosen = again.groupBy("key").agg(F.collect_list(F.col("h1").bitwiseXOR(F.col("h2"))).alias("chosen"))
-    parts = marked.join(chosen.hint("shuffle_hash"), "key", "left").select(*every, "lone", "chosen")
-    parts = parts.mapInArrow(_emit_parts(width, shards, salts), "shard int, kind int, key long, check long, pos int, text binary")
-    parts = parts.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
-    found = parts.mapInArrow(_locate(width), "key long, check long, first int, last int")
+    windows = marked.mapInArrow(_emit_windows(width, sent), "h1 long, h2 long, key long")
+    single = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    single = single.groupBy("key").agg(F.collect_list(F.col("h1").bitwiseXOR(F.col("h2"))).alias("single"))
+    parts = marked.mapInArrow(_emit_segments(width, shards, sent), "shard int, key long, check long, pos int, text binary")
+    found = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_locate(width), "key long, check long, first int, last int")
     gone = found.groupBy("key").agg(F.collect_list(F.struct("check", "first", "last")).alias("gone"))
-    out = docs.join(gone.hint("shuffle_hash"), "key", "left").select(*every, "gone")
-    out = out.mapInArrow(_emit_kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = marked.join(single.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left").select(*every, "lone", "single", "gone")
+    out = out.mapInArrow(_emit_kept(width, sent), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 
 
