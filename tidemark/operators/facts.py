@@ -79,20 +79,23 @@ def find_conflicting(new: DataFrame, facts: DataFrame) -> DataFrame:
     return new.select(*keys, F.col("edge_id").alias("new_edge_id")).join(facts_current(facts).select(*keys, "edge_id"), keys).where("edge_id <> new_edge_id").select("new_edge_id", "edge_id")
 
 
-def fact_as_of_join(rows: DataFrame, facts: DataFrame, ts: str, bucket_days: int = 7, horizon: Column | None = None) -> DataFrame:
+def _bucket(c: Column, days: int) -> Column:
+    return F.floor(F.unix_micros(c.cast("timestamp")) / (days * 86_400_000_000))
+
+
+def _spans(facts: DataFrame, horizon: Column, days: int) -> DataFrame:
+    """Facts once for each time bucket that they span; open ones up to the horizon."""
+    first = _bucket(F.col("valid_at"), days)
+    return facts.withColumn("bucket", F.explode(F.sequence(first, F.greatest(_bucket(F.coalesce("invalid_at", horizon), days), first))))
+
+
+def fact_as_of_join(rows: DataFrame, facts: DataFrame, ts: str, horizon: Column, bucket_days: int = 7) -> DataFrame:
     """Each row of rows (user_id, label, ts) with the fact valid then.
 
     Facts are cut into the time buckets that they span, so the join has equality keys and long histories spread out.
     """
-    micros = bucket_days * 86_400_000_000
-
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_micros(c.cast("timestamp")) / micros)
-
-    end = F.coalesce("invalid_at", horizon)
-    spans = facts.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_at")), F.greatest(bucket(end), bucket(F.col("valid_at"))))))
-    spans = spans.select("user_id", "label", "bucket", "edge_id", "target", "valid_at", "invalid_at")
-    return rows.withColumn("bucket", bucket(F.col(ts))).join(spans, ["user_id", "label", "bucket"]).where(valid_at(F.col(ts))).drop("bucket")
+    spans = _spans(facts, horizon, bucket_days).select("user_id", "label", "bucket", "edge_id", "target", "valid_at", "invalid_at")
+    return rows.withColumn("bucket", _bucket(F.col(ts), bucket_days)).join(spans, ["user_id", "label", "bucket"]).where(valid_at(F.col(ts))).drop("bucket")
 
 
 def snapshot_diff(facts: DataFrame, t1: Column, t2: Column) -> DataFrame:
@@ -123,12 +126,17 @@ def changes_since(facts: DataFrame, start: str, end: str) -> DataFrame:
     return out.where("added + superseded > 0").withColumn("summary", F.format_string("%d added, %d superseded", "added", "superseded"))
 
 
-def contradictions(facts: DataFrame) -> DataFrame:
-    """Pairs of facts of one slot with different objects whose validity overlaps."""
-    a = facts.select(*SLOT, F.col("edge_id").alias("id1"), F.col("target").alias("target1"), F.col("valid_at").alias("from1"), F.col("invalid_at").alias("to1"))
-    b = facts.select(*SLOT, F.col("edge_id").alias("id2"), F.col("target").alias("target2"), F.col("valid_at").alias("from2"), F.col("invalid_at").alias("to2"))
-    overlap = (F.col("to1").isNull() | (F.col("from2") < F.col("to1"))) & (F.col("to2").isNull() | (F.col("from1") < F.col("to2")))
-    return a.join(b, list(SLOT)).where((F.col("id1") < F.col("id2")) & (F.lower("target1") != F.lower("target2")) & overlap).select("user_id", "label", "id1", "id2")
+def contradictions(facts: DataFrame, horizon: Column, bucket_days: int = 7) -> DataFrame:
+    """Pairs of facts of one slot with different objects whose validity overlaps.
+
+    Facts meet in the time buckets that they span, so distant parts of a slot's history never do; a pair counts in the
+    first bucket that both span. Open facts reach to the horizon, which no fact begins after.
+    """
+    spans = _spans(facts, horizon, bucket_days).withColumn("first", _bucket(F.col("valid_at"), bucket_days))
+    a, b = (spans.select(*SLOT, "bucket", *(F.col(c).alias(f"{c}{n}") for c in ("edge_id", "target", "valid_at", "invalid_at", "first"))) for n in "12")
+    overlap = (F.col("invalid_at1").isNull() | (F.col("valid_at2") < F.col("invalid_at1"))) & (F.col("invalid_at2").isNull() | (F.col("valid_at1") < F.col("invalid_at2")))
+    pairs = a.join(b, [*SLOT, "bucket"]).where((F.col("edge_id1") < F.col("edge_id2")) & (F.col("bucket") == F.greatest("first1", "first2")))
+    return pairs.where((F.lower("target1") != F.lower("target2")) & overlap).select("user_id", "label", F.col("edge_id1").alias("id1"), F.col("edge_id2").alias("id2"))
 
 
 def edge_reinforcement(accesses: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,32 +21,43 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth) within so many undirected hops of each seed."""
+def bfs(seeds: DataFrame, edges: DataFrame, depth: int, max_nodes: int = 500) -> DataFrame:
+    """(seed, node, depth) within so many undirected hops of each seed, nearest first, max_nodes of each seed at most; of equal depth the least nodes."""
     links = _cut(_both_ways(edges))
     seen = _cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        step = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        room = seen.groupBy("seed").agg((F.lit(max_nodes) - F.count("*")).alias("room"))
+        rank = F.row_number().over(W.partitionBy("seed").orderBy("node"))
+        frontier = _cut(step.join(room, "seed").withColumn("rank", rank).where("rank <= room").select("seed", "node", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break
         seen = _cut(seen.unionByName(frontier))
     return seen
 
 
+def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, src, dst): the edges, each once, of which a seed reached both ends."""
+    ends = reached.select("seed", "node")
+    once = edges.select("src", "dst").distinct()
+    return once.join(ends.withColumnRenamed("node", "src"), "src").join(ends.withColumnRenamed("node", "dst"), ["seed", "dst"]).select("seed", "src", "dst")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): least node that can be reached. Labels jump to their labels' labels, so long paths need few rounds."""
     links = _cut(_both_ways(edges))
     labels = _cut(links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     while True:
         near = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "node")
-        lower = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = _cut(lower.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        new = lower.join(jump, "component", "left").select("node", "before", F.coalesce("next", "component").alias("component"))
+        new = _cut(new.withColumn("moved", F.col("before") != F.col("component")).drop("before"))
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
+            return labels
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -53,14 +65,16 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     links = _cut(_both_ways(edges))
     labels = _cut(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        votes = links.join(labels, links["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("best"))
-        new = _cut(best.select(F.col("src").alias("node"), (-F.col("best.label")).alias("label")))
-        if new.exceptAll(labels).isEmpty():
+        votes = links.join(labels, links["dst"] == labels["node"]).groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("best"))
+        new = _cut(labels.join(best, "node").select("node", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("moved")))
+        labels = new.select("node", "label")
+        if new.where("moved").isEmpty():
             break
-        labels = new
     return labels
 
 
 def community_sizes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("label").agg(F.count("*").alias("members"), F.min("node").alias("least"))
+    """(label, node, members): each member of each community, with the community's size."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    return labels.join(sizes, "label").select("label", "node", "members")

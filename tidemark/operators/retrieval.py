@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cosine
 
-#: Words that carry no topic; fixed values.
-STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "of", "in", "on", "to", "and", "or", "for", "with", "what", "who", "when", "where", "how")
+# Words that carry no topic.
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "it", "its", "this", "that", "these", "those", "i", "me", "my", "we", "our",
+    "you", "your", "he", "him", "his", "she", "her", "they", "them", "their", "what", "which", "who", "whom", "where", "when", "why", "how", "all", "each", "every", "both", "few", "more",
+    "most", "other", "some", "such", "no", "not", "only", "same", "so", "than", "too", "very", "just", "any", "about", "up", "out", "if", "because", "as", "while", "although", "since",
+    "though", "into", "through", "during", "before", "after", "above", "below", "between", "then", "once", "here", "there", "s", "t", "don", "didn", "doesn", "isn", "wasn", "aren", "weren",
+    "won", "hasn", "hadn",
+)
+#: Parts into which a tenant's vectors are dealt; each query meets each part, so that a large tenant is no single task.
+PARTS = 16
 
 
 def top_k_per_query(scored: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
@@ -19,30 +28,42 @@ def top_k_per_query(scored: DataFrame, k: int, min_score: float | None = None) -
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def by_tenant(queries: DataFrame, items: DataFrame, ident: str) -> DataFrame:
+    """Every query with every item of its tenant: an exact search of a stated set of queries, dealt by tenant and part."""
+    asked = queries.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+    return asked.join(items.withColumn("part", F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int")), ["tenant", "part"]).drop("part")
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact top k by cosine among vectors of the query's tenant."""
     q = queries.select(F.col("vec_id").alias("query_id"), "tenant", F.col("vector").alias("q"))
-    scored = q.join(vectors.select(F.col("vec_id").alias("id"), "tenant", "vector"), "tenant").where("id <> query_id")
+    scored = by_tenant(q, vectors.select(F.col("vec_id").alias("id"), "tenant", "vector"), "id").where("id <> query_id")
     return top_k_per_query(scored.select("query_id", "id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score")), k)
 
 
-def tokens(text: str):
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda w: w != "")
-    kept = F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
-    return F.when(F.size(kept) > 0, F.filter(words, lambda w: ~w.isin(*STOP_WORDS))).otherwise(words)
+def all_words(text: str):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda w: w != "")
+
+
+def keywords(text: str):
+    """The words of a query that carry a topic; all of them if none does."""
+    words = all_words(text)
+    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
 def fulltext_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over an OR of the query's words, squashed to s / (s + 1). Only terms of queries are counted."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    words = docs.select("doc_id", tokens("text").alias("words"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    terms = asked.select("term").distinct()
-    tf = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    """BM25 over an OR of the query's keywords, squashed to s / (s + 1). Only terms of queries are counted; texts that are null are no documents."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(keywords("text"))).alias("term"))
+    words = docs.where("text is not null").select("doc_id", all_words("text").alias("words"))
+    total = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    n, mean = (total.select(c).scalar() for c in ("n", "mean"))
+    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (total["mean"] or 1)))
-    scored = asked.join(tf, "term").join(df, "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("s"))
+    weighted = asked.join(df, "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    scored = tf.join(weighted, "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("s"))
     return top_k_per_query(scored.select("query_id", "id", F.round(F.col("s") / (F.col("s") + 1), 6).alias("score")), k)
 
 

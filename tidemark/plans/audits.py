@@ -105,11 +105,11 @@ def _(spark, d):
     return U.digest_inputs(X.entities(spark, d), X.facts_open(spark, d), 4, 6)
 
 
-_EXP = "x AS (SELECT event_id, 'a' || (user_id % 10) AS agent, event_type AS category, (event_id % 10)::DOUBLE / 10 AS weight, 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100 AS confidence, ts AS at FROM events)".replace("AS at", 'AS "at"')
+_EXP = "x AS (SELECT event_id, 'a' || user_id AS agent, event_type AS category, (event_id % 10)::DOUBLE / 10 AS weight, 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100 AS confidence, ts AS at FROM events)".replace("AS at", 'AS "at"')
 
 
 def _experiences(spark, d):
-    return X.table(spark, d, "events").selectExpr("event_id", "concat('a', user_id % 10) AS agent", "event_type AS category", "cast(event_id % 10 AS double) / 10 AS weight", "0.5D + cast(event_id % 50 AS double) / 100 AS confidence", "cast(ts AS timestamp_ntz) AS at")
+    return X.table(spark, d, "events").selectExpr("event_id", "concat('a', user_id) AS agent", "event_type AS category", "cast(event_id % 10 AS double) / 10 AS weight", "0.5D + cast(event_id % 50 AS double) / 100 AS confidence", "cast(ts AS timestamp_ntz) AS at")
 
 
 @query("agg27_experience_importance", f"""WITH {_EXP}, p AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY "at", event_id) AS rn FROM x), j AS (SELECT a.event_id, count(b.event_id) AS n, any_value(a.confidence) AS c, any_value(a.weight) AS w, avg(b.confidence) AS m FROM p a LEFT JOIN p b ON a.agent = b.agent AND a.category = b.category AND b.rn BETWEEN a.rn - 49 AND a.rn - 1 GROUP BY a.event_id)
@@ -179,7 +179,7 @@ def _(spark, d):
     return U.digest_diff(U.state_digest(_items(spark, d)), "a", "b")
 
 
-@query("agg21_eval_report", """WITH g AS (SELECT event_type AS pack, avg(CASE WHEN event_id % 7 <> 0 THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN event_id % 11 = 0 THEN 1.0 ELSE 0.0 END) AS stale_rate, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1)
+@query("agg21_eval_report", """WITH g AS (SELECT event_type AS pack, avg(CASE WHEN event_id % 7 <> 0 THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN event_id % 11 = 0 THEN 1.0 ELSE 0.0 END) AS stale_rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1)
 SELECT pack, round(accuracy, 6) AS accuracy, round(stale_rate, 6) AS stale_rate, round(p50, 6) AS p50, round(p95, 6) AS p95, accuracy >= 0.86 AS passed FROM g""")
 def _(spark, d):
     return U.eval_report(X.table(spark, d, "events").selectExpr("event_type AS pack", "event_id % 7 <> 0 AS right", "event_id % 11 = 0 AS stale", "value AS latency"), 0.86)

@@ -111,7 +111,7 @@ def _(spark, d):
 @query("jn15_contradictions", f"""WITH {X.FACTS_OPEN_SQL} SELECT a.user_id, a.label, a.edge_id AS id1, b.edge_id AS id2 FROM facts_open a JOIN facts_open b USING (user_id, source, label)
 WHERE a.edge_id < b.edge_id AND lower(a.target) <> lower(b.target) AND (a.invalid_at IS NULL OR b.valid_at < a.invalid_at) AND (b.invalid_at IS NULL OR a.valid_at < b.invalid_at)""")
 def _(spark, d):
-    return K.contradictions(X.facts_open(spark, d))
+    return K.contradictions(X.facts_open(spark, d), at(X.NOW))
 
 
 # Reports
@@ -182,11 +182,11 @@ def _(spark, d):
     return A.webhook_stats(X.deliveries(spark, d), at(X.NOW))
 
 
-@query("agg17_span_usage", """WITH s AS (SELECT 'm' || (user_id % 3) AS model, event_type AS operation, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, value AS latency, event_type <> 'error' AS success FROM events)
-SELECT model, operation, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(count(*) FILTER (NOT success)::DOUBLE / count(*), 6) AS error_rate, round(quantile_cont(latency, 0.95), 6) AS p95 FROM s GROUP BY CUBE (model, operation)""")
+@query("agg17_span_usage", """WITH s AS (SELECT user_id, 'm' || (user_id % 3) AS model, event_type AS operation, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, value AS latency, event_type <> 'error' AS success FROM events)
+SELECT user_id, model, operation, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(count(*) FILTER (NOT success)::DOUBLE / count(*), 6) AS error_rate, round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.95), 6) AS p95 FROM s GROUP BY CUBE (user_id, model, operation)""")
 def _(spark, d):
     e = X.table(spark, d, "events")
-    spans = e.select(F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("event_type").alias("operation"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("latency"), (F.col("event_type") != "error").alias("success"))
+    spans = e.select("user_id", F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("event_type").alias("operation"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("latency"), (F.col("event_type") != "error").alias("success"))
     return A.span_usage(spans)
 
 
@@ -264,15 +264,14 @@ _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}0-9]+'), lamb
 _KEPT = f"list_filter({{0}}, lambda w: NOT list_contains({_STOP}, w))"
 
 
-@query("fts2_fulltext_topk", f"""WITH d AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents), dk AS (SELECT doc_id, text, CASE WHEN len({_KEPT.format("w")}) > 0 THEN {_KEPT.format("w")} ELSE w END AS w FROM d), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dk),
-q AS (SELECT doc_id AS query_id, {_WORDS.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS w FROM documents WHERE doc_id % 20 = 0), qt AS (SELECT DISTINCT query_id, unnest(CASE WHEN len({_KEPT.format("w")}) > 0 THEN {_KEPT.format("w")} ELSE w END) AS term FROM q),
+@query("fts2_fulltext_topk", f"""WITH dk AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dk),
+q AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS w FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(CASE WHEN len({_KEPT.format("w")}) > 0 THEN {_KEPT.format("w")} ELSE w END) AS term FROM q),
 t AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM dk), tf AS (SELECT doc_id, l, term, count(*)::DOUBLE AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))) AS s FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
 r AS (SELECT query_id, id, round(s / (s + 1), 6) AS score FROM s), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 10""")
 def _(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", "text")
-    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    return R.fulltext_topk(asked, docs, 10)
+    asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.fulltext_topk(asked, X.table(spark, d, "documents").select("doc_id", "text"), 10)
 
 
 # Graph
@@ -281,27 +280,47 @@ def _(spark, d):
 _REACH = f"""{X.GRAPH_SQL}, both_ways AS (SELECT src, dst FROM graph_edges UNION SELECT dst, src FROM graph_edges)"""
 
 
-@query("grf1_bfs", f"""WITH RECURSIVE {_REACH}, walk AS (SELECT node AS seed, node, 0 AS depth FROM (SELECT DISTINCT src AS node FROM both_ways WHERE src % 20 = 0) UNION SELECT w.seed, b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 3)
-SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY seed, node""")
-def _(spark, d):
+_WALK = f"""{_REACH}, walk AS (SELECT node AS seed, node, 0 AS depth FROM (SELECT DISTINCT src AS node FROM both_ways WHERE src % 20 = 0 AND src < 1000000000) UNION SELECT w.seed, b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 3),
+near AS (SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY seed, node), reached AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, node) <= 500)"""
+
+
+def _reached(spark: SparkSession, d: str) -> DataFrame:
     edges = X.graph_edges(spark, d)
-    seeds = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().where("node % 20 = 0")
-    return G.bfs(seeds, edges, 3)
+    return G.bfs(edges.select(F.col("src").alias("node")).distinct().where("node % 20 = 0"), edges, 3)
+
+
+@query("grf1_bfs", f"WITH RECURSIVE {_WALK} SELECT * FROM reached")
+def _(spark, d):
+    return _reached(spark, d)
 
 
-@query("grf6_connected_components", f"""WITH RECURSIVE {_REACH}, walk AS (SELECT src AS root, src AS node FROM both_ways UNION SELECT w.root, b.dst FROM walk w JOIN both_ways b ON b.src = w.node) SELECT node, min(root) AS component FROM walk GROUP BY node""")
+@query("grf1_induced_edges", f"""WITH RECURSIVE {_WALK} SELECT DISTINCT a.seed, g.src, g.dst FROM graph_edges g JOIN reached a ON a.node = g.src JOIN reached b ON b.node = g.dst AND b.seed = a.seed""")
+def _(spark, d):
+    return G.induced_edges(_reached(spark, d), X.graph_edges(spark, d))
+
+
+@query("grf6_connected_components", f"""WITH RECURSIVE {X.GRAPH_SQL}, u AS (SELECT DISTINCT a.src AS x, b.src AS y FROM graph_edges a JOIN graph_edges b USING (dst)),
+walk AS (SELECT DISTINCT src AS root, src AS node FROM graph_edges UNION SELECT w.root, u.y FROM walk w JOIN u ON u.x = w.node), c AS (SELECT node, min(root) AS component FROM walk GROUP BY node)
+SELECT node, component FROM c UNION SELECT dst, component FROM graph_edges JOIN c ON src = node""")
 def _(spark, d):
     return G.connected_components(X.graph_edges(spark, d))
 
 
-@query("grf3_label_propagation")
+_ROUNDS = 6
+_LABELS = f"{_REACH}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways)" + "".join(
+    f""", l{i} AS MATERIALIZED (SELECT node, label FROM (SELECT b.src AS node, label, count(*) AS n FROM both_ways b JOIN l{i - 1} l ON l.node = b.dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, label) = 1)"""
+    for i in range(1, _ROUNDS + 1)
+)
+
+
+@query("grf3_label_propagation", f"WITH {_LABELS} SELECT node, label FROM l{_ROUNDS}")
 def _(spark, d):
-    return G.label_propagation(X.graph_edges(spark, d))
+    return G.label_propagation(X.graph_edges(spark, d), _ROUNDS)
 
 
-@query("agg32_community_sizes")
+@query("agg32_community_sizes", f"WITH {_LABELS} SELECT label, node, count(*) OVER (PARTITION BY label) AS members FROM l{_ROUNDS}")
 def _(spark, d):
-    return G.community_sizes(G.label_propagation(X.graph_edges(spark, d)))
+    return G.community_sizes(G.label_propagation(X.graph_edges(spark, d), _ROUNDS))
 
 
 # Scalars over facts

@@ -63,9 +63,10 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'signup' and event_id % 10 = 0")
+    """Who touched what: every event joins its user with the thing (day and number) that it names."""
+    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    return e.select(F.col("user_id").cast("long").alias("src"), ((F.col("user_id") * 7 + k) % 150).cast("long").alias("dst")).where("src <> dst")
+    return e.select(F.col("user_id").cast("long").alias("src"), (F.lit(1_000_000_000).cast("long") + F.dayofmonth("ts") * 100 + k).alias("dst"))
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,6 @@ EPISODES_SQL = """episodes AS (SELECT CAST(conv_id AS BIGINT) * 1000 + turn AS e
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS created_at, role, text AS content,
   CASE turn % 3 WHEN 0 THEN 'message' WHEN 1 THEN 'text' ELSE 'json' END AS type,
   '{"tags":["t' || (turn % 4) || '"], "request_id":"r' || (conv_id % 30) || '"}' AS metadata FROM conversations)"""
-GRAPH_SQL = """graph_edges AS (SELECT src, dst FROM (SELECT CAST(user_id AS BIGINT) AS src, CAST((user_id * 7 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % 150 AS BIGINT) AS dst
-  FROM events WHERE event_type = 'signup' AND event_id % 10 = 0) WHERE src <> dst)"""
+GRAPH_SQL = """graph_edges AS (SELECT CAST(user_id AS BIGINT) AS src, CAST(1000000000 + day(ts) * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS BIGINT) AS dst FROM events)"""
 DELIVERIES_SQL = "deliveries AS (SELECT event_id AS delivery_id, user_id AS webhook_id, event_type <> 'error' AS delivered, 1 + event_id % 4 AS attempts, ts AS created_at FROM events)"
 VECTORS_SQL = f"vectors AS (SELECT vec_id, label AS tenant, CAST(embedding AS DOUBLE[]) AS vector, TIMESTAMP '{NOW}' - to_days(CAST(vec_id % 120 AS INTEGER)) AS created_at FROM embeddings)"
