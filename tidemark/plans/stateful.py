@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
+from tidemark.streaming import stateful as V
 from tidemark.streaming import windows as Z
 
 
@@ -46,3 +47,70 @@ def _(spark, d):
 def _(spark, d):
     hooks = X.table(spark, d, "events").selectExpr("user_id", "concat('h', user_id) AS subscription_id", "array('purchase', CASE WHEN user_id % 2 = 0 THEN 'error' ELSE 'view' END) AS types", "user_id % 4 <> 0 AS enabled").distinct()
     return Z.run_to_end(Z.event_fanout(Z.stream_files(spark, d, "events.parquet"), hooks), "append")
+
+
+# Assertions come in three turns; what is closed and changed is the same as over the whole table.
+def _asserted(spark, d):
+    return Z.in_turns(X.assertions(spark, d).selectExpr("cast(user_id AS bigint) AS user_id", "source", "label", "cast(edge_id AS bigint) AS edge_id", "target", "cast(ingested_at AS timestamp) AS ingested_at"), "ingested_at")
+
+
+@query("str1_stream_supersede", f"""WITH {X.FACTS_SQL} SELECT 'added' AS change, edge_id, CAST(NULL AS BIGINT) AS closed_by, ingested_at AS happened_at FROM facts
+UNION ALL SELECT 'superseded', edge_id, invalidated_by, invalid_at FROM facts WHERE invalid_at IS NOT NULL""")
+def _(spark, d):
+    out = Z.run_to_end(V.stream_supersede(_asserted(spark, d)), "append")
+    return out.select("change", "edge_id", F.col("other_id").alias("closed_by"), F.col("at").cast("timestamp_ntz").alias("happened_at"))
+
+
+@query("str2_stream_belief_changes", f"""WITH {X.ASSERTIONS_SQL}, b AS (SELECT *, lag(target) OVER w AS old_target, lag(edge_id) OVER w AS old_edge_id FROM assertions WINDOW w AS (PARTITION BY user_id, source, label ORDER BY ingested_at, edge_id))
+SELECT edge_id AS new_edge_id, old_edge_id, old_target, target AS new_target, ingested_at AS changed_at FROM b WHERE lower(old_target) <> lower(target)""")
+def _(spark, d):
+    out = Z.run_to_end(V.stream_belief_changes(_asserted(spark, d)), "append")
+    return out.select(F.col("edge_id").alias("new_edge_id"), F.col("other_id").alias("old_edge_id"), "old_target", "new_target", F.col("at").cast("timestamp_ntz").alias("changed_at"))
+
+
+_BREAKER = f"""WITH RECURSIVE {X.DELIVERIES_SQL}, o AS (SELECT *, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY webhook_id ORDER BY created_at, delivery_id) AS rn FROM deliveries),
+s AS (SELECT webhook_id, delivery_id, rn, 'sent' AS decision, CASE WHEN delivered THEN 0 ELSE 1 END AS failures, 'closed' AS state, CAST(0 AS BIGINT) AS opened FROM o WHERE rn = 1
+UNION ALL SELECT o.webhook_id, o.delivery_id, o.rn, CASE WHEN shut THEN 'rejected' ELSE 'sent' END, CASE WHEN shut THEN failures WHEN o.delivered THEN 0 ELSE failures + 1 END,
+CASE WHEN shut THEN 'open' WHEN o.delivered THEN 'closed' WHEN state = 'open' OR failures + 1 >= 2 THEN 'open' ELSE 'closed' END, CASE WHEN NOT shut AND NOT o.delivered AND (state = 'open' OR failures + 1 >= 2) THEN o.t ELSE opened END
+FROM (SELECT s.*, s.state = 'open' AND p.t < s.opened + 43200000000 AS shut FROM s JOIN o p ON p.webhook_id = s.webhook_id AND p.rn = s.rn + 1) s JOIN o ON o.webhook_id = s.webhook_id AND o.rn = s.rn + 1)
+SELECT webhook_id, delivery_id, decision, state FROM s"""
+
+
+def _sent(spark, d):
+    return X.deliveries(spark, d).selectExpr("cast(webhook_id AS bigint) AS webhook_id", "cast(delivery_id AS bigint) AS delivery_id", "delivered", "cast(created_at AS timestamp) AS created_at")
+
+
+@query("str7_circuit_breaker", _BREAKER)
+def _(spark, d):
+    return Z.run_to_end(V.circuit_breaker(Z.in_turns(_sent(spark, d), "created_at"), 2, 43_200), "append")
+
+
+@query("str7_circuit_breaker_table", _BREAKER)
+def _(spark, d):
+    return V.circuit_breaker(_sent(spark, d), 2, 43_200)
+
+
+@query("str8_stream_retry", """WITH g AS (SELECT l_orderkey AS delivery_id, count(*) AS attempts, bool_or(l_linenumber = 5) AS delivered, max(l_shipdate) AS last_at FROM lineitem GROUP BY 1)
+SELECT delivery_id, attempts, CASE WHEN delivered THEN 'delivered' WHEN attempts >= 3 THEN 'dead_letter' ELSE 'pending' END AS status, CASE WHEN NOT delivered AND attempts < 3 THEN epoch_ms(last_at) + CAST(500 * pow(2, attempts - 1) AS BIGINT) END AS due_ms FROM g""")
+def _(spark, d):
+    attempts = Z.stream_files(spark, d, "lineitem.parquet").selectExpr("l_orderkey AS delivery_id", "l_linenumber = 5 AS success", "cast(l_shipdate AS timestamp) AS at")
+    return Z.run_to_end(Z.stream_retry(attempts, 3))
+
+
+def _feedback(spark, d):
+    """Ratings of -1 to 1 that users give: the query is the vector of their own number, the item the event's."""
+    v = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    n = v.agg(F.count("*").alias("n")).scalar()
+    e = X.table(spark, d, "events").select(F.col("user_id").cast("long").alias("user_id"), F.concat(F.lit("a"), F.col("event_id") % 3).alias("agent"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3 - 1).cast("double").alias("rating"), (F.col("user_id") % n).alias("q"), (F.col("event_id") % n).alias("i"))
+    out = e.join(v.select(F.col("vec_id").alias("q"), F.col("vector").alias("query")), "q").join(v.select(F.col("vec_id").alias("i"), F.col("vector").alias("item")), "i")
+    return out.select("user_id", "agent", "event_id", "at", "query", "item", "rating")
+
+
+@query("lor2_train_adapters")
+def _(spark, d):
+    return V.train_adapters(_feedback(spark, d)).drop("a", "b")
+
+
+@query("str10_stream_adapters")
+def _(spark, d):
+    return Z.run_to_end(V.train_adapters(Z.in_turns(_feedback(spark, d), "at")), "append").groupBy("user_id", "agent").agg(F.max("updates").alias("updates"), F.max_by("norm", "updates").alias("norm"))

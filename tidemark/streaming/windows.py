@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import episode_backoff_ms
+from tidemark.sources.shared import shared_folder
+
 
 def stream_files(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
     """A stream of the parquet files of a folder whose names fit, with the schema that they have."""
@@ -15,6 +17,17 @@ def stream_files(spark: SparkSession, folder: str, names: str = "*.parquet", fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
+def in_turns(df: DataFrame, ts: str, turns: int = 3) -> DataFrame:
+    """A stream of a table's rows that come in so many batches, in order of time: the table is rewritten turn by turn in the shared folder."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/turns-{uuid.uuid4().hex}"
+    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = df.agg(F.min(stamp), F.max(stamp)).first()
+    first, width = first or 0, max(1, -(-((last or 0) - (first or 0) + 1) // turns))
+    for turn in range(turns):
+        df.where(F.floor((stamp - first) / width) == turn).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def window_counts(events: DataFrame, ts: str, kind: str, width: str, lateness: str) -> DataFrame:
     """Events of each kind in tumbling windows. Rows later than the watermark allows are dropped."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
@@ -52,6 +65,14 @@ def stream_dedupe(imports: DataFrame, ts: str, keys: list[str], lateness: str) -
     return imports.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_retry(attempts: DataFrame, most: int) -> DataFrame:
+    """Where each delivery stands after its attempts (delivery_id, success, at): delivered, pending with the time of the next try, or dead letter."""
+    seen = attempts.groupBy("delivery_id").agg(F.count("*").alias("attempts"), F.max("success").alias("delivered"), F.max("at").alias("last"))
+    status = F.when(F.col("delivered"), "delivered").when(F.col("attempts") >= most, "dead_letter").otherwise("pending")
+    due = F.when(~F.col("delivered"), F.unix_millis("last") + episode_backoff_ms(F.col("attempts"), most))
+    return seen.select("delivery_id", "attempts", status.alias("status"), due.alias("due_ms"))
+
+
 def event_fanout(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Each event with the enabled subscriptions of its user that want its type: a stream joined with a table."""
     live = subscriptions.where("enabled").select("user_id", "subscription_id", "types")
@@ -64,8 +85,7 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     In complete mode the last version is the result, in append mode all of them are.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     last: list[int] = []
 
     def keep(batch: DataFrame, epoch: int) -> None:
