@@ -265,7 +265,7 @@ def fit_short(spark: SparkSession, grams: DataFrame, rows: int = ROWS, entries:
     third = grouped.mapInArrow(_third(spark.sparkContext.broadcast(low)), "context int, n long, symbols array<int>, logs array<double>, escape double")
     third = written(third, "third-order")
     total = third.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = (F.col("n") * rows >= total) | (F.col("n") * entries >= F.size("symbols") * F.lit(total))
+    frequent = (F.col("n") * rows >= total) | (F.col("n") * entries >= F.size("symbols").cast("long") * F.lit(total))
     return Short.of(low, third.where(frequent).toArrow(), total, rows), third.where(~frequent)
 
 
