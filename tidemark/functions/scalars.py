@@ -44,7 +44,7 @@ def fact_temporal_score(intent: str, age: Column, closed: Column, valid_then: Co
     return F.when(closed, 0.2).otherwise(0.6 + 0.4 * F.exp(-age / 120))
 
 
-def blend(base: Column, weight: float, score: Column) -> Column:
+def blend(base: Column, weight: Column | float, score: Column) -> Column:
     return base * F.greatest(F.lit(0.2), F.least(1 + weight * (score - 0.5) * 1.6, F.lit(2.0)))
 
 

@@ -98,22 +98,19 @@ def adapter_stats(adapters: DataFrame) -> DataFrame:
 
 
 def token_budget(lines: DataFrame, headers: dict[str, str], budget: int) -> DataFrame:
-    """Lines that fit each query's budget: sections in order, each up to the first line that doesn't fit.
+    """lines (query_id, section, rank, line, and more) that fit each query's budget, with used_tokens after each: sections in order, each up to the first line that doesn't fit.
 
-    A section starts with its header, which counts only if a line follows. lines: query_id, section, rank, line.
+    A section starts with its header, which counts only if a line follows. Running sums decide, so all is windows by query.
     """
-    sized = lines.withColumn("tokens", estimate_tokens(F.concat("line", F.lit("\n"))))
-    running = F.sum("tokens").over(W.partitionBy("query_id", "section").orderBy("rank"))
-    sized = sized.withColumn("running", running)
-    used = lines.select("query_id").distinct().withColumn("used", F.lit(0).cast("long"))
-    out = None
+    query = W.partitionBy("query_id")
+    running = F.sum(estimate_tokens(F.concat("line", F.lit("\n")))).over(W.partitionBy("query_id", "section").orderBy("rank"))
+    out = lines.withColumn("running_", running).withColumn("used_", F.lit(0).cast("long")).withColumn("used_tokens", F.lit(None).cast("long"))
     for section, header in headers.items():
         cost = -(-len((header + "\n").encode()) // 4)
-        fits = sized.where(F.col("section") == section).join(used, "query_id").where(F.col("used") + cost + F.col("running") <= budget)
-        fits = fits.select("query_id", "section", "rank", "line", (F.col("used") + cost + F.col("running")).alias("used_tokens"))
-        used = used.join(fits.groupBy("query_id").agg(F.max("used_tokens").alias("after")), "query_id", "left").select("query_id", F.coalesce("after", "used").alias("used"))
-        out = fits if out is None else out.unionByName(fits)
-    return out
+        after = F.col("used_") + cost + F.col("running_")
+        out = out.withColumn("after_", F.when((F.col("section") == section) & (after <= budget), after))
+        out = out.withColumns({"used_": F.coalesce(F.max("after_").over(query), "used_"), "used_tokens": F.coalesce("used_tokens", "after_")})
+    return out.where("used_tokens is not null").drop("running_", "used_", "after_")
 
 
 def retrieval_policy(queries: DataFrame, users: DataFrame) -> DataFrame:

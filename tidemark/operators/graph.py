@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import shared_folder
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df through a reliable checkpoint in the folder that the session names."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -23,18 +23,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int, max_nodes: int = 500) -> DataFrame:
     """(seed, node, depth) within so many undirected hops of each seed, nearest first, max_nodes of each seed at most; of equal depth the least nodes."""
-    links = _cut(_both_ways(edges))
-    seen = _cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")))
+    links = cut(_both_ways(edges))
+    seen = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
         step = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         room = seen.groupBy("seed").agg((F.lit(max_nodes) - F.count("*")).alias("room"))
         rank = F.row_number().over(W.partitionBy("seed").orderBy("node"))
-        frontier = _cut(step.join(room, "seed").withColumn("rank", rank).where("rank <= room").select("seed", "node", F.lit(hop).alias("depth")))
+        frontier = cut(step.join(room, "seed").withColumn("rank", rank).where("rank <= room").select("seed", "node", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
@@ -47,14 +47,14 @@ def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): least node that can be reached. Labels jump to their labels' labels, so long paths need few rounds."""
-    links = _cut(_both_ways(edges))
-    labels = _cut(links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
+    links = cut(_both_ways(edges))
+    labels = cut(links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     while True:
         near = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "node")
         lower = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
         new = lower.join(jump, "component", "left").select("node", "before", F.coalesce("next", "component").alias("component"))
-        new = _cut(new.withColumn("moved", F.col("before") != F.col("component")).drop("before"))
+        new = cut(new.withColumn("moved", F.col("before") != F.col("component")).drop("before"))
         labels = new.select("node", "component")
         if new.where("moved").isEmpty():
             return labels
@@ -62,12 +62,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """Synchronous majority labels; ties go to the least label. Stops early once nothing changes."""
-    links = _cut(_both_ways(edges))
-    labels = _cut(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    links = cut(_both_ways(edges))
+    labels = cut(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
         votes = links.join(labels, links["dst"] == labels["node"]).groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("best"))
-        new = _cut(labels.join(best, "node").select("node", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("moved")))
+        new = cut(labels.join(best, "node").select("node", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("moved")))
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             break
