@@ -94,7 +94,7 @@ class Cascade:
         return out
 
 
-def _arrays(keys: DataFrame, level: Level, shards: int) -> DataFrame:
+def bit_arrays(keys: DataFrame, level: Level, shards: int) -> DataFrame:
     """(shard, words): the level's bits in order; rows are merged before they are shuffled, and every word is there."""
     at = keys.select("shard", F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
     bits = at.select("shard", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
@@ -120,7 +120,7 @@ def build_cascade(keys: DataFrame, listed: DataFrame) -> Cascade:
     yes, other = universe.where("listed").select("shard", "key"), universe.where("not listed").select("shard", "key")
     while (n := yes.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]) > 0:
         level = Level(max(64, math.ceil(n * HASHES / math.log(2) / 64) * 64), len(cascade.levels))
-        level.arrays = written(_arrays(yes, level, cascade.shards), "cascade-level")
+        level.arrays = written(bit_arrays(yes, level, cascade.shards), "cascade-level")
         cascade.levels.append(level)
         wrong = [other.where(F.col("shard") == s).where(level.has(F.col("key"), s)) for s in range(cascade.shards)]
         yes, other = written(reduce(DataFrame.unionByName, wrong), "cascade-wrong", by="shard" if cascade.shards > 1 else None), yes
