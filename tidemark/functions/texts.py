@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import dot, l2_norm
 
+#: Norm to which points of the ball are kept.
+MAX_NORM = 1.0 - 1e-5
+
 # Words that show which time a query means.
 HISTORICAL = ("as of", "back in", "histor", "before", "during", "at that time")
 RECENT = ("recent", "lately", "today", "yesterday", "last week", "this month")
@@ -67,9 +70,47 @@ def poincare_distance(a: Column, b: Column, c: float = 1.0) -> Column:
 
 
 def ball_factor(vector: Column, c: float = 1.0) -> Column:
-    """What the exponential map at the origin multiplies a vector by. Compute it once a vector, before any lambda."""
+    """What the exponential map at the origin multiplies a vector by, kept inside the ball. Compute it once a vector, before any lambda."""
     norm = l2_norm(vector) * c**0.5
-    return F.when(norm > 0, F.tanh(norm) / norm).otherwise(1.0) * 0.999
+    return F.when(norm > 0, F.least(F.tanh(norm / 2), F.lit(MAX_NORM * c**0.5)) / norm).otherwise(0.0)
+
+
+def log_factor(point: Column, c: float = 1.0) -> Column:
+    """What the logarithmic map at the origin multiplies a point of the ball by; it undoes ball_factor."""
+    norm = l2_norm(point) * c**0.5
+    return F.when(norm > 0, 2 * F.atanh(F.least(norm, F.lit(MAX_NORM))) / norm).otherwise(0.0)
+
+
+def mobius_add(x: Column, y: Column, c: float = 1.0) -> Column:
+    """The sum of two points of the ball, before it is clamped (see clamp_factor)."""
+    xy, xx, yy = dot(x, y), dot(x, x), dot(y, y)
+    below = F.greatest(1 + 2 * c * xy + c * c * xx * yy, F.lit(1e-7))
+    return F.zip_with(x, y, lambda a, b: ((1 + 2 * c * xy + c * yy) * a + (1 - c * xx) * b) / below)
+
+
+def clamp_factor(point: Column) -> Column:
+    """What brings a point back into the ball: 1 for those inside."""
+    norm = l2_norm(point)
+    return F.when(norm >= MAX_NORM, MAX_NORM / norm).otherwise(1.0)
+
+
+def hierarchy_depth(point: Column) -> Column:
+    """How far down a hierarchy a point of the ball stands: its norm."""
+    return l2_norm(point)
+
+
+def clarification_question(entity: Column, label: Column, facts: Column) -> Column:
+    """A question about facts (an array) that conflict: two, none, or a numbered list."""
+    two = F.format_string("We have conflicting information about %s's %s. Is it \"%s\" or \"%s\"?", entity, label, F.try_element_at(facts, F.lit(1)), F.try_element_at(facts, F.lit(2)))
+    none = F.format_string("Can you clarify the current status of %s's %s?", entity, label)
+    listed = F.array_join(F.transform(facts, lambda f, i: F.concat((i + 1).cast("string"), F.lit('. "'), f, F.lit('"'))), ", ")
+    many = F.format_string("We have %d conflicting facts about %s's %s: %s. Which is current?", F.size(facts), entity, label, listed)
+    return F.when(F.size(facts) == 2, two).when(F.size(facts) == 0, none).otherwise(many)
+
+
+def preview(text: Column, size: int = 200) -> Column:
+    """The first characters of a text; an ellipsis stands for the rest."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:

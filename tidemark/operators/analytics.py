@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import age_days, effective_confidence, tier_for_age
@@ -18,6 +19,20 @@ def conflict_radar(facts: DataFrame, now: Column, recent_days: int = 7) -> DataF
     return out.withColumns({"needs_resolution": F.col("active") >= 2, "severity": F.round(severe, 6)})
 
 
+def conflict_edges(radar: DataFrame, facts: DataFrame, most: int, edges: int = 10) -> DataFrame:
+    """The active facts of each user's `most` severest slots that need resolution, newest first, `edges` of each: (user_id, item, source, label, place, edge_id)."""
+    item = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("severity"), "source", "label"))
+    worst = radar.where("needs_resolution").withColumn("item", item).where(F.col("item") <= most).select(*SLOT, "item")
+    place = F.row_number().over(W.partitionBy(*SLOT).orderBy(F.desc("valid_at"), "edge_id"))
+    return facts_current(facts).withColumn("place", place).where(F.col("place") <= edges).join(worst, list(SLOT)).select("user_id", "item", "source", "label", "place", "edge_id")
+
+
+def review_questions(stale: DataFrame, most: int) -> DataFrame:
+    """The most important stale facts of each user as questions."""
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("importance"), "edge_id"))
+    return stale.withColumn("rank", rank).where(F.col("rank") <= most).select("user_id", "rank", "edge_id", F.format_string("Is this still right: %s?", "fact").alias("question"))
+
+
 def fact_coherence(facts: DataFrame) -> DataFrame:
     """1 less the share of active slots with different objects, by user."""
     slots = facts_current(facts).groupBy(*SLOT).agg((F.count_distinct(F.lower("target")) > 1).alias("conflict"))

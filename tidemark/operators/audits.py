@@ -47,6 +47,11 @@ def audit_export(parts: dict[str, DataFrame], start: Column, end: Column) -> Dat
     return out
 
 
+def audit_file(log: DataFrame, path: str) -> None:
+    """The log as JSON lines in order of time, in the folder `path`."""
+    log.orderBy("created_at", "kind", "id").write.json(path)
+
+
 def incidents(stats: DataFrame, conflicts: DataFrame) -> DataFrame:
     """What needs attention: dead letters and high failure rates of webhooks, backlogs, and severe conflicts of users."""
     def rule(df: DataFrame, kind: str, severity: str, when: str, subject: str, size: str) -> DataFrame:
@@ -105,6 +110,11 @@ def relevance_of_entities(entities: DataFrame, facts: DataFrame, now: Column) ->
     return entities.join(degree, ["user_id", "name"], "left").select("user_id", "name", F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6).alias("relevance"))
 
 
+def idle_users(facts: DataFrame, now: Column, idle_days: int) -> DataFrame:
+    """Users (user_id) whose last fact came in at least so many days ago: those that are due for a digest."""
+    return facts.groupBy("user_id").agg(F.max("ingested_at").alias("last")).where(age_days(now, F.col("last")) >= idle_days).select("user_id")
+
+
 def digest_inputs(entities: DataFrame, facts: DataFrame, most_entities: int = 80, most_facts: int = 60) -> DataFrame:
     """Counts and the leading lines of each user: most mentioned entities, newest active facts."""
     def leading(df: DataFrame, order: list[Column], most: int, line: Column, name: str) -> DataFrame:
@@ -135,6 +145,12 @@ def fork_experiences(events: DataFrame, categories: list[str], min_confidence: f
     return kept.select(F.concat("agent", F.lit("-fork")).alias("agent"), F.sha2(F.concat_ws(":", "agent", "event_id"), 256).alias("fork_id"), "event_id", "rank")
 
 
+def agent_and_user_context(agents: DataFrame, cores: DataFrame, lines: DataFrame) -> DataFrame:
+    """agents (agent, user_id, ...) with each one's identity core (agent, core) and its user's context, the lines (user_id, rank, line) in order; lines must be few a user, as a budget leaves them."""
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")
+    return agents.join(cores, "agent", "left").join(lines.groupBy("user_id").agg(told.alias("context")), "user_id", "left")
+
+
 def agent_context(events: DataFrame, now: Column, newest: int = 50, shown: int = 8, half_life: float = 30.0) -> DataFrame:
     """Of each agent's newest experiences: how many, the first shown ones, and the decayed weight of all."""
     rank = F.row_number().over(W.partitionBy("agent").orderBy(F.desc("at"), F.desc("event_id")))
@@ -151,10 +167,13 @@ def identity_at(versions: DataFrame, version: int) -> DataFrame:
     return numbered.groupBy("agent").agg(then, F.max("version").alias("last")).select("agent", F.col("then.version").alias("restored"), "then.core", (F.col("last") + 1).alias("version"))
 
 
-def replay(events: DataFrame, after: DataFrame, most: int) -> DataFrame:
-    """The next undelivered events of each webhook after its cursor (webhook_id, after_id)."""
+def replay(events: DataFrame, after: DataFrame, most: int, delivered: bool | None = False, dead_letter: bool | None = None) -> DataFrame:
+    """The next events of each webhook after its cursor (webhook_id, after_id): delivered or not, dead letters or not; None takes both."""
     rank = F.row_number().over(W.partitionBy("webhook_id").orderBy("delivery_id"))
-    return events.join(after, "webhook_id").where((F.col("delivery_id") > F.col("after_id")) & ~F.col("delivered")).withColumn("rank", rank).where(F.col("rank") <= most)
+    wanted = F.lit(True)
+    for column, value in (("delivered", delivered), ("dead_letter", dead_letter)):
+        wanted = wanted if value is None else wanted & (F.col(column) == value)
+    return events.join(after, "webhook_id").where((F.col("delivery_id") > F.col("after_id")) & wanted).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def proposal_status(proposals: DataFrame, votes: DataFrame, now: Column) -> DataFrame:
@@ -178,6 +197,16 @@ def narrative_inputs(episodes: DataFrame) -> DataFrame:
     return chapters.withColumn("version", F.row_number().over(W.partitionBy("user_id").orderBy("chapter")))
 
 
+def key_changes(changes: DataFrame, most: int = 3) -> DataFrame:
+    """What each chapter (month) of a user tells of changed beliefs: how many, and the newest of them. changes: rows of belief_changes."""
+    chapter = F.date_format("changed_at", "yyyy-MM")
+    rank = F.row_number().over(W.partitionBy("user_id", "chapter").orderBy(F.desc("changed_at"), F.desc("new_edge_id")))
+    told = changes.withColumn("chapter", chapter).withColumn("rank", rank)
+    line = F.when(F.col("rank") <= most, F.struct("rank", F.format_string("%s: %s to %s", "label", "old_target", "new_target").alias("line")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "; ")
+    return told.groupBy("user_id", "chapter").agg(F.count("*").alias("changes"), lines.alias("newest"))
+
+
 def state_digest(items: DataFrame) -> DataFrame:
     """(replica, prefix, digest): a hash of the items by the first character of their keys, and one over them (prefix '').
 

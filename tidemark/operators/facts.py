@@ -26,10 +26,11 @@ def supersede(assertions: DataFrame) -> DataFrame:
     return assertions.withColumns({"invalid_at": F.lead("ingested_at").over(_ingested()), "invalidated_by": F.lead("source_episode_id").over(_ingested())})
 
 
-def belief_changes(assertions: DataFrame, newest: int = 1000) -> DataFrame:
-    """Where the object of a slot changes, ignoring case: old and new; the newest of each user."""
+def belief_changes(assertions: DataFrame, newest: int = 1000, since: Column | None = None) -> DataFrame:
+    """Where the object of a slot changes, ignoring case: old and new; the newest of each user, from `since` on."""
     before = assertions.withColumns({"old_target": F.lag("target").over(_ingested()), "old_edge_id": F.lag("edge_id").over(_ingested())})
     changed = before.where(F.lower("old_target") != F.lower("target"))
+    changed = changed if since is None else changed.where(F.col("ingested_at") >= since)
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ingested_at"), F.desc("edge_id")))
     changed = changed.withColumn("rank", rank).where(F.col("rank") <= newest)
     return changed.select("user_id", "source", "label", "old_edge_id", F.col("edge_id").alias("new_edge_id"), "old_target", F.col("target").alias("new_target"), F.col("ingested_at").alias("changed_at"))
@@ -43,10 +44,10 @@ def facts_as_of(facts: DataFrame, t: Column) -> DataFrame:
     return facts.where(valid_at(t))
 
 
-def edge_filter(facts: DataFrame, limit: int, source: str | None = None, label: str | None = None, at: Column | None = None, include_invalidated: bool = False, max_class: int | None = None) -> DataFrame:
+def edge_filter(facts: DataFrame, limit: int, source: str | None = None, target: str | None = None, label: str | None = None, at: Column | None = None, include_invalidated: bool = False, max_class: int | None = None) -> DataFrame:
     """The literal filter set, newest first. Without include_invalidated a since-closed fact is dropped even if `at` is given."""
     out = facts
-    for column, value in (("source", source), ("label", label)):
+    for column, value in (("source", source), ("target", target), ("label", label)):
         out = out if value is None else out.where(F.col(column) == value)
     out = out if max_class is None else out.where(F.col("classification") <= max_class)
     out = out if at is None else out.where(valid_at(at))
@@ -109,11 +110,14 @@ def time_travel_summary(facts: DataFrame, t1: Column, t2: Column) -> DataFrame:
 
 
 def timeline(facts: DataFrame, episodes: DataFrame, start: Column, end: Column) -> DataFrame:
-    """What was added, superseded and said in [start, end), one row an event."""
+    """What was added, superseded and said in [start, end), and how heads of sessions moved, one row an event.
+
+    Every episode that is newer than all before it in its session advances the head.
+    """
     def part(df: DataFrame, kind: str, user: str, ident: str, ts: str) -> DataFrame:
         return df.where((F.col(ts) >= start) & (F.col(ts) < end)).select(F.lit(kind).alias("event"), F.col(user).cast("long").alias("user_id"), F.col(ident).alias("id"), F.col(ts).alias("happened_at"))
 
-    return part(facts, "fact_added", "user_id", "edge_id", "ingested_at").unionByName(part(facts, "fact_superseded", "user_id", "edge_id", "invalid_at")).unionByName(part(episodes, "episode_added", "user_id", "episode_id", "created_at"))
+    return part(facts, "fact_added", "user_id", "edge_id", "ingested_at").unionByName(part(facts, "fact_superseded", "user_id", "edge_id", "invalid_at")).unionByName(part(episodes, "episode_added", "user_id", "episode_id", "created_at")).unionByName(part(head_moves(episodes), "head_advanced", "user_id", "episode_id", "created_at"))
 
 
 def changes_since(facts: DataFrame, start: str, end: str) -> DataFrame:
@@ -126,6 +130,32 @@ def changes_since(facts: DataFrame, start: str, end: str) -> DataFrame:
     return out.where("added + superseded > 0").withColumn("summary", F.format_string("%d added, %d superseded", "added", "superseded"))
 
 
+def head_moves(episodes: DataFrame) -> DataFrame:
+    """Episodes that became the head of their session when they were added, in the order of ids, with the head before."""
+    earlier = W.partitionBy("session_id").orderBy("episode_id").rowsBetween(W.unboundedPreceding, -1)
+    before = F.max(F.struct("created_at", "episode_id")).over(earlier)
+    moved = episodes.withColumn("before", before).where(F.col("before").isNull() | (F.struct("created_at", "episode_id") > F.col("before")))
+    return moved.withColumn("old_head", F.col("before.episode_id")).drop("before")
+
+
+def change_events(facts: DataFrame, episodes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(change, user_id, id, delta): facts added and superseded, shifts of confidence within a slot, head moves and episodes of (start, end].
+
+    delta is the confidence of a fact less that of the one it follows in its slot, for shifts alone.
+    """
+    inside = lambda c: (F.col(c) > start) & (F.col(c) <= end)
+    none = F.lit(None).cast("double")
+
+    def part(df: DataFrame, name: str, ident: str, delta: Column = none) -> DataFrame:
+        return df.select(F.lit(name).alias("change"), F.col("user_id").cast("long").alias("user_id"), F.col(ident).alias("id"), delta.alias("delta"))
+
+    shift = F.round(F.col("confidence") - F.lag("confidence").over(_ingested()), 6)
+    shifted = facts.withColumn("shift", shift).where(inside("ingested_at") & (F.col("shift") != 0))
+    out = part(facts.where(inside("ingested_at")), "fact_added", "edge_id").unionByName(part(facts.where(inside("invalid_at")), "fact_superseded", "edge_id"))
+    out = out.unionByName(part(shifted, "confidence_shifted", "edge_id", F.col("shift"))).unionByName(part(head_moves(episodes).where(inside("created_at")), "head_advanced", "episode_id"))
+    return out.unionByName(part(episodes.where(inside("created_at")), "episode_added", "episode_id"))
+
+
 def contradictions(facts: DataFrame, horizon: Column, bucket_days: int = 7) -> DataFrame:
     """Pairs of facts of one slot with different objects whose validity overlaps.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cosine, dot, estimate_tokens
-from tidemark.functions.texts import ball_factor, poincare_distance
+from tidemark.functions.texts import ball_factor, hierarchy_depth, poincare_distance
 from tidemark.operators.retrieval import by_tenant, top_k_per_query
 
 
@@ -44,6 +44,17 @@ def upsert_vectors(log: DataFrame) -> DataFrame:
     return last.where("last.op = 'upsert'").select("vec_id", "last.vector", F.col("last.seq").alias("seq"))
 
 
+def namespace_report(vectors: DataFrame, dims: int) -> DataFrame:
+    """(tenant, vectors, wrong): how many vectors each namespace holds, and how many have not the namespace's dimensions."""
+    return vectors.groupBy("tenant").agg(F.count("*").alias("vectors"), F.count_if(F.coalesce(F.size("vector") != dims, F.lit(True))).alias("wrong"))
+
+
+def vectors_exist(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """asked (vec_id) with whether there is such a vector."""
+    known = vectors.select("vec_id").distinct().withColumn("found", F.lit(True))
+    return asked.join(known, "vec_id", "left").select("vec_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def hyperbolic_rerank(candidates: DataFrame, c: float = 1.0, alpha: float = 0.3) -> DataFrame:
     """Candidates (query_id, id, q, vector) by cosine blended with closeness in the ball."""
     candidates = candidates.withColumns({"fq": ball_factor(F.col("q"), c), "fv": ball_factor(F.col("vector"), c)})
@@ -52,7 +63,7 @@ def hyperbolic_rerank(candidates: DataFrame, c: float = 1.0, alpha: float = 0.3)
     gap = F.col("gap")
     score = (1 - alpha) * cosine(F.col("q"), F.col("vector")) + alpha / (1 + gap)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return candidates.select("query_id", "id", F.round(score, 6).alias("score")).withColumn("rank", rank)
+    return candidates.select("query_id", "id", F.round(score, 6).alias("score"), F.round(hierarchy_depth(F.col("ball_vector")), 6).alias("depth")).withColumn("rank", rank)
 
 
 def contradiction_rank(queries: DataFrame, vectors: DataFrame, head: int, k: int) -> DataFrame:
@@ -147,15 +158,23 @@ def explain(parts: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("query_id", "id").agg(F.min("found").alias("found")).select("query_id", "id", "found.reason")
 
 
-def structured_context(facts: DataFrame, now: Column, key_facts: int = 10, changes: int = 5, days: int = 30) -> DataFrame:
-    """Of each user the most certain active facts and the latest changes, as numbered rows of two sections."""
+def structured_context(facts: DataFrame, now: Column, key_facts: int = 10, changes: int = 5, days: int = 30, relations: int = 8, conflicts: int = 5) -> DataFrame:
+    """Of each user the most certain active facts, the latest changes, the best supported relationships and open questions, as numbered rows of four sections.
+
+    A question is open where a slot has several active facts; its newest fact stands for it.
+    """
     def section(df: DataFrame, name: str, order: list[Column], most: int) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("user_id").orderBy(*order))
         return df.withColumn("rank", rank).where(F.col("rank") <= most).select("user_id", F.lit(name).alias("section"), "rank", "edge_id")
 
     recent = facts.where(F.col("invalid_at") > now - F.make_dt_interval(F.lit(days)))
     active = facts.where("invalid_at is null")
-    return section(active, "key_facts", [F.desc("confidence"), F.col("edge_id")], key_facts).unionByName(section(recent, "changes", [F.desc("invalid_at"), F.col("edge_id")], changes))
+    out = section(active, "key_facts", [F.desc("confidence"), F.col("edge_id")], key_facts).unionByName(section(recent, "changes", [F.desc("invalid_at"), F.col("edge_id")], changes))
+    out = out.unionByName(section(active, "relationships", [F.desc("corroboration_count"), F.desc("valid_at"), F.col("edge_id")], relations))
+    slot = W.partitionBy("user_id", "source", "label")
+    newest = F.row_number().over(slot.orderBy(F.desc("valid_at"), F.desc("edge_id")))
+    open_ = active.withColumns({"newest": newest, "several": F.count("*").over(slot)}).where("newest = 1 and several > 1")
+    return out.unionByName(section(open_, "open_questions", [F.desc("several"), F.col("edge_id")], conflicts))
 
 
 def recall_eval(cases: DataFrame) -> DataFrame:

@@ -36,20 +36,29 @@ def label_problem(label: Column) -> Column:
     )
 
 
-def apply_view(facts: DataFrame, views: DataFrame, now: Column) -> DataFrame:
+def apply_view(facts: DataFrame, views: DataFrame, now: Column, entities: DataFrame | None = None) -> DataFrame:
     """Facts that each user's view shows, the newest max_facts of them.
 
-    A view row has user_id, ceiling, caller_ceiling, hidden_labels, mode (all, current, days) and days, max_facts.
-    Users without a view see nothing.
+    A view row has user_id, ceiling, caller_ceiling, hidden_labels, mode (all, current, days, since), days, since where that mode occurs,
+    and max_facts. With entities a view's shown_types name the types of targets that it shows. Users without a view see nothing.
     """
+    if entities is not None:
+        kinds = entities.select("user_id", F.col("name").alias("target"), F.col("type").alias("target_type"))
+        facts = facts.join(kinds, ["user_id", "target"])
     seen = facts.join(views, "user_id").where(F.col("classification") <= F.least("ceiling", "caller_ceiling")).where(~F.array_contains("hidden_labels", F.col("label")))
-    timely = F.when(F.col("mode") == "current", F.col("invalid_at").isNull()).when(F.col("mode") == "days", age_days(now, F.col("valid_at")) <= F.col("days")).otherwise(True)
+    seen = seen if entities is None else seen.where(F.array_contains("shown_types", F.col("target_type")))
+    timely = F.when(F.col("mode") == "current", F.col("invalid_at").isNull()).when(F.col("mode") == "days", age_days(now, F.col("valid_at")) <= F.col("days"))
+    timely = timely.when(F.col("mode") == "since", F.col("valid_at") >= F.col("since")) if "since" in views.columns else timely
+    timely = timely.otherwise(True)
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("valid_at"), "edge_id"))
     return seen.where(timely).withColumn("rank", rank).where("rank <= max_facts")
 
 
-def apply_region(facts: DataFrame, regions: DataFrame) -> DataFrame:
-    """Facts inside the regions of their user: labels, target patterns (like), least confidence and ceiling."""
+def apply_region(facts: DataFrame, regions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Facts inside the regions of their user: labels, target patterns (like), least confidence and ceiling; with entities also the types of targets."""
+    if entities is not None:
+        kinds = entities.select("user_id", F.col("name").alias("target"), F.col("type").alias("target_type"))
+        facts = facts.join(kinds, ["user_id", "target"]).join(regions.select("user_id", F.explode("types").alias("target_type")), ["user_id", "target_type"], "left_semi")
     fits = F.array_contains("labels", F.col("label")) & (F.col("confidence") >= F.col("min_confidence")) & (F.col("classification") <= F.col("ceiling"))
     named = F.expr("exists(patterns, p -> lower(target) like p)")
     return facts.join(regions, "user_id").where(fits & named)

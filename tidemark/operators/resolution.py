@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.texts import clarification_question
+
 
 def resolve_entities(extracted: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities after new mentions: names meet ignoring case; a hit counts on and takes the newest summary, a miss is a new row."""
@@ -43,10 +45,12 @@ def causal_chains(facts: DataFrame, episodes: DataFrame) -> DataFrame:
     return out.select("edge_id", "user_id", reason.alias("reason"), F.round(F.col("confidence") * F.when(found, 1.0).otherwise(0.5), 6).alias("chain_confidence"))
 
 
-def trace_by_request(parts: dict[str, DataFrame], limit: int) -> DataFrame:
-    """All artifacts of each request, tagged with their source; the newest of each source. Parts have request_id, id, at."""
+def trace_by_request(parts: dict[str, DataFrame], limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """All artifacts of each request in [start, end), tagged with their source; the newest of each source. Parts have request_id, id, at."""
     tagged = None
     for name, part in parts.items():
+        part = part if start is None else part.where(F.col("at") >= start)
+        part = part if end is None else part.where(F.col("at") < end)
         part = part.where("request_id is not null").select("request_id", F.lit(name).alias("source"), "id", "at")
         tagged = part if tagged is None else tagged.unionByName(part)
     rank = F.row_number().over(W.partitionBy("request_id", "source").orderBy(F.desc("at"), F.desc("id")))
@@ -105,14 +109,17 @@ def entity_profile(entities: DataFrame, facts: DataFrame, most: int = 20) -> Dat
     return out.na.fill({"out_facts": 0, "in_facts": 0, "out_newest": "", "in_newest": ""})
 
 
-def questions(radar: DataFrame, facts: DataFrame, now: Column, least: float = 0.6, most: int = 5, days: int = 7) -> DataFrame:
+def questions(radar: DataFrame, facts: DataFrame, now: Column, least: float = 0.6, most: int = 5, days: int = 7, shown: int = 20) -> DataFrame:
     """The worst conflicts of each user as questions that expire."""
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("severity"), "source", "label"))
     worst = radar.where(F.col("needs_resolution") & (F.col("severity") >= least)).withColumn("rank", rank).where(F.col("rank") <= most)
-    texts = facts.where("invalid_at is null").join(worst.select("user_id", "source", "label"), ["user_id", "source", "label"], "left_semi").groupBy("user_id", "source", "label").agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    said = F.when(F.size("targets") == 2, F.concat_ws(" or ", "targets")).otherwise(F.concat_ws(", ", "targets"))
+    # Of a conflict with many objects the first ones in the alphabet are told: distinct first, then ranked, so that no list outgrows what is shown.
+    keys = ["user_id", "source", "label"]
+    each = facts.where("invalid_at is null").join(worst.select(*keys), keys, "left_semi").select(*keys, "target").distinct()
+    each = each.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("target"))).where(F.col("place") <= shown)
+    texts = each.groupBy(*keys).agg(F.array_sort(F.collect_list("target")).alias("targets"))
     return worst.join(texts, ["user_id", "source", "label"]).select(
-        "user_id", "source", "label", "severity", F.format_string("Which is right for %s of %s: %s?", "label", "source", said).alias("question"), (now + F.make_dt_interval(F.lit(days))).alias("expires_at"),
+        "user_id", "source", "label", "severity", clarification_question(F.col("source"), F.col("label"), F.col("targets")).alias("question"), (now + F.make_dt_interval(F.lit(days))).alias("expires_at"),
     )
 
 

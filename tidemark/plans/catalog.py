@@ -12,7 +12,7 @@ from tidemark.operators import episodes as E
 from tidemark.operators import facts as K
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
-from tidemark.plans import agents, audits, core, fusion, hybrid, imports, policies, resolution, stateful  # noqa: F401
+from tidemark.plans import agents, audits, core, fusion, gaps, hybrid, imports, policies, resolution, stateful  # noqa: F401
 from tidemark.plans.registry import AS_OF as _AS_OF
 from tidemark.plans.registry import NOW as _NOW
 from tidemark.plans.registry import ORACLES, QUERIES, query
@@ -97,7 +97,7 @@ def _(spark, d):
 
 
 @query("set1_timeline", f"""WITH {X.FACTS_SQL}, {X.EPISODES_SQL}, u AS (SELECT 'fact_added' AS event, CAST(user_id AS BIGINT) AS user_id, edge_id AS id, ingested_at AS happened_at FROM facts UNION ALL SELECT 'fact_superseded', user_id, edge_id, invalid_at FROM facts
-UNION ALL SELECT 'episode_added', user_id, episode_id, created_at FROM episodes) SELECT * FROM u WHERE happened_at >= {_T1} AND happened_at < {_T2}""")
+UNION ALL SELECT 'episode_added', user_id, episode_id, created_at FROM episodes UNION ALL SELECT 'head_advanced', user_id, episode_id, created_at FROM episodes) SELECT * FROM u WHERE happened_at >= {_T1} AND happened_at < {_T2}""")
 def _(spark, d):
     return K.timeline(X.facts(spark, d), X.episodes(spark, d), at(X.T1), at(X.T2))
 

@@ -104,7 +104,7 @@ def _top(spark, d, k):
     return R.cosine_topk(v.where("vec_id % 20 = 0"), v, k)
 
 
-_BALL = "list_transform({0}, lambda x: x * CASE WHEN n{0} > 0 THEN tanh(n{0}) / n{0} ELSE 1.0 END * 0.999::DOUBLE)"
+_BALL = "list_transform({0}, lambda x: x * CASE WHEN n{0} > 0 THEN tanh(n{0} / 2) / n{0} ELSE 0.0 END)"
 
 
 @query("fus3_hyperbolic_rerank", f"""WITH {_PAIRS}, s AS (SELECT *, {_COS.format('q', 'v')} AS cos, sqrt(list_dot_product(q, q)) AS nq, sqrt(list_dot_product(v, v)) AS nv FROM p), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 6) DESC, id) AS rn FROM s),
@@ -191,7 +191,8 @@ def _(spark, d):
 
 
 @query("ret2_structured_context", f"""WITH {X.FACTS_OPEN_SQL}, k AS (SELECT user_id, 'key_facts' AS section, CAST(row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, edge_id) AS INTEGER) AS rank, edge_id FROM facts_open WHERE invalid_at IS NULL), c AS (SELECT user_id, 'changes' AS section, CAST(row_number() OVER (PARTITION BY user_id ORDER BY invalid_at DESC, edge_id) AS INTEGER) AS rank, edge_id FROM facts_open WHERE invalid_at > {NOW} - INTERVAL 30 DAY)
-SELECT * FROM k WHERE rank <= 10 UNION ALL SELECT * FROM c WHERE rank <= 5""")
+SELECT * FROM k WHERE rank <= 10 UNION ALL SELECT * FROM c WHERE rank <= 5 UNION ALL SELECT user_id, 'relationships', CAST(row_number() OVER (PARTITION BY user_id ORDER BY corroboration_count DESC, valid_at DESC, edge_id) AS INTEGER) AS rank, edge_id FROM facts_open WHERE invalid_at IS NULL QUALIFY rank <= 8
+UNION ALL SELECT user_id, 'open_questions', CAST(row_number() OVER (PARTITION BY user_id ORDER BY several DESC, edge_id) AS INTEGER) AS rank, edge_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, source, label) AS several, row_number() OVER (PARTITION BY user_id, source, label ORDER BY valid_at DESC, edge_id DESC) AS n FROM facts_open WHERE invalid_at IS NULL) WHERE n = 1 AND several > 1 QUALIFY rank <= 5""")
 def _(spark, d):
     return M.structured_context(X.facts_open(spark, d), at(X.NOW))
 

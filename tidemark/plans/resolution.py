@@ -101,7 +101,7 @@ def _(spark, d):
 
 @query("agg33_generate_clarifications", f"""WITH {X.FACTS_OPEN_SQL}, g AS (SELECT user_id, source, label, count(*) FILTER (invalid_at IS NULL) AS active, count(*) FILTER (invalid_at IS NOT NULL AND {age('invalid_at')} <= 7) AS recent, list_sort(list(DISTINCT target) FILTER (invalid_at IS NULL)) AS t FROM facts_open GROUP BY ALL),
 s AS (SELECT *, round(least(1.0, 0.5 + 0.15 * active::DOUBLE + 0.05 * recent::DOUBLE), 6) AS severity FROM g WHERE active >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY severity DESC, source, label) AS rn FROM s WHERE severity >= 0.6)
-SELECT user_id, source, label, severity, 'Which is right for ' || label || ' of ' || source || ': ' || CASE WHEN len(t) = 2 THEN array_to_string(t, ' or ') ELSE array_to_string(t, ', ') END || '?' AS question, {NOW} + INTERVAL 7 DAY AS expires_at FROM r WHERE rn <= 5""")
+SELECT user_id, source, label, severity, CASE WHEN len(t) = 2 THEN 'We have conflicting information about ' || source || '''s ' || label || '. Is it "' || t[1] || '" or "' || t[2] || '"?' ELSE 'We have ' || len(t) || ' conflicting facts about ' || source || '''s ' || label || ': ' || array_to_string(list_transform(t, lambda x, i: i || '. "' || x || '"'), ', ') || '. Which is current?' END AS question, {NOW} + INTERVAL 7 DAY AS expires_at FROM r WHERE rn <= 5""")
 def _(spark, d):
     f = X.facts_open(spark, d)
     return R.questions(A.conflict_radar(f, at(X.NOW)), f, at(X.NOW))

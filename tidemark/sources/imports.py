@@ -70,10 +70,10 @@ def chunk_pages(docs: DataFrame, separator: str = "\f") -> DataFrame:
     return out.withColumn("start", F.coalesce(before, F.lit(0))).where("n_chars > 0").select("doc_id", "page", "start", "n_chars")
 
 
-def purge(tables: dict[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables without the rows of some users, and how many rows each loses."""
-    gone, lost = users.select("user_id").distinct(), None
+def purge(tables: dict[str, DataFrame], owners: DataFrame, by: str = "user_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables without the rows of some owners, users or sessions (`by`), and how many rows each loses."""
+    gone, lost = owners.select(by).distinct(), None
     for name, table in tables.items():
-        n = table.join(gone, "user_id", "left_semi").agg(F.count("*").alias("removed")).select(F.lit(name).alias("table"), "removed")
+        n = table.join(gone, by, "left_semi").agg(F.count("*").alias("removed")).select(F.lit(name).alias("table"), "removed")
         lost = n if lost is None else lost.unionByName(n)
-    return {name: t.join(gone, "user_id", "left_anti") for name, t in tables.items()}, lost
+    return {name: t.join(gone, by, "left_anti") for name, t in tables.items()}, lost
