@@ -115,46 +115,70 @@ def risk_slopes(z: np.ndarray, k: int, prior: float) -> np.ndarray:
     return np.append(prior * p[:k] / k, -p[k:] / (len(z) - k))
 
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
-    """A model by stochastic gradients (Adam) of the non-negative risk."""
+@dataclass
+class Sample:
+    """Texts to learn from: their distinct feature numbers, one text after another, and where each begins."""
+
+    features: np.ndarray
+    bounds: np.ndarray
+
+    def counts(self, texts: np.ndarray) -> np.ndarray:
+        """In how many of these texts each feature is."""
+        mine = np.zeros(len(self.bounds) - 1, dtype=bool)
+        mine[texts] = True
+        mine, out = np.repeat(mine, np.diff(self.bounds)), np.zeros(1 << BITS, dtype=np.int64)
+        for at in range(0, len(mine), 1 << 20):  # in steps, so that little is held twice
+            out += np.bincount(self.features[at : at + (1 << 20)][mine[at : at + (1 << 20)]], minlength=1 << BITS)
+        return out
+
+    def each(self, flat: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """The parts of an array beside features that belong to these texts."""
+        return np.concatenate([flat[self.bounds[i] : self.bounds[i + 1]] for i in texts])
+
+
+def nnpu_fit(sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
+    """A model by stochastic gradients (Adam) of the non-negative risk; positive and unlabelled number texts of the sample."""
     rng = np.random.default_rng(seed)
     n_p, n_u = len(positive), len(unlabelled)
-    of_p, of_u = (np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << BITS) for rows in (positive, unlabelled))
+    of_p, of_u = sample.counts(positive), sample.counts(unlabelled)
     use = of_p + of_u >= min(LEAST_TEXTS, max(1, n_p // 20))
-    place = np.cumsum(use) - 1
-    scale = np.abs(np.log((of_p + 1) / (n_p + 2)) - np.log((of_u + 1) / (n_u + 2)))[use]
-    rows = [place[r[use[r]]] for r in [*positive, *unlabelled]]
-    values = [scale[r] / np.sqrt(max(1e-6, (scale[r] ** 2).sum())) for r in rows]
-    w, b = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
+    scale = np.where(use, np.abs(np.log((of_p + 1) / (n_p + 2)) - np.log((of_u + 1) / (n_u + 2))), 0).astype(np.float32)
+    place = np.maximum(np.cumsum(use) - 1, 0).astype(np.int32)[sample.features]
+    value = scale[sample.features]
+    size = np.diff(sample.bounds)
+    length = np.sqrt(np.maximum(np.add.reduceat(np.append(value * value, np.float32(0)), sample.bounds[:-1]) * (size > 0), 1e-6))
+    w, b = np.zeros(max(1, int(use.sum()))), float(np.log(prior / (1 - prior)))
     adam_w, adam_b = _Adam(len(w), RATE), _Adam(1, RATE)
     steps = max(8, n_u // BATCH)
     for _ in range(EPOCHS):
-        order_p, order_u = rng.permutation(n_p), n_p + rng.permutation(n_u)
+        order_p, order_u = rng.permutation(positive), rng.permutation(unlabelled)
         for pick_p, pick_u in zip(np.array_split(np.resize(order_p, max(n_p, steps)), steps), np.array_split(order_u, steps), strict=True):
             if not len(pick_u):
                 continue
             pick = np.concatenate([pick_p, pick_u])
-            feature, value = (np.concatenate([part[i] for i in pick]) for part in (rows, values))
-            doc = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            g = risk_slopes(np.bincount(doc, w[feature] * value, minlength=len(pick)) + b, len(pick_p), prior)
-            w = w - adam_w.step(np.bincount(feature, g[doc] * value, minlength=len(w)) + DECAY * w)
+            doc = np.repeat(np.arange(len(pick)), size[pick])
+            feature, values = sample.each(place, pick), sample.each(value, pick) / length[pick][doc]
+            g = risk_slopes(np.bincount(doc, w[feature] * values, minlength=len(pick)) + b, len(pick_p), prior)
+            w = w - adam_w.step(np.bincount(feature, g[doc] * values, minlength=len(w)) + DECAY * w)
             b -= float(adam_b.step(np.array([g.sum()]))[0])
-    weights, squares = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    weights[use], squares[use] = w * scale, scale**2
-    return Model(weights, squares, b)
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    weights[use] = w[: int(use.sum())] * scale[use]
+    return Model(weights, scale**2, b)
 
 
-def _calibrated(model: Model, positive: list[np.ndarray], unlabelled: list[np.ndarray], parts: np.ndarray, prior: float) -> Model:
+def _calibrated(model: Model, sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, part: np.ndarray, prior: float) -> Model:
     """The model with slope and offset that least the risk of logits of texts by models learned from the other parts; a text is in one part wherever it stands."""
-    rows, k = [*positive, *unlabelled], len(positive)
-    z = np.zeros(len(rows))
-    for part in range(PARTS):
-        others, mine = np.flatnonzero(parts != part), np.flatnonzero(parts == part)
-        other = nnpu_fit([rows[i] for i in others if i < k], [rows[i] for i in others if i >= k], prior)
-        z[mine] = other.logits(np.concatenate([rows[i] for i in mine]), np.array([len(rows[i]) for i in mine]))
+    every = np.append(positive, unlabelled)
+    z = np.zeros(len(every))
+    for n in range(PARTS):
+        other = nnpu_fit(sample, positive[part[positive] != n], unlabelled[part[unlabelled] != n], prior)
+        mine = np.flatnonzero(part[every] == n)
+        for at in range(0, len(mine), 512):
+            texts = every[mine[at : at + 512]]
+            z[mine[at : at + 512]] = other.logits(sample.each(sample.features, texts), np.diff(sample.bounds)[texts])
     line, adam = np.array([1.0, 0.0]), _Adam(2, 0.02)
     for _ in range(3000):
-        g = risk_slopes(line[0] * z + line[1], k, prior)
+        g = risk_slopes(line[0] * z + line[1], len(positive), prior)
         line = line - adam.step(np.array([(g * z).sum(), g.sum()]))
     return replace(model, slope=float(max(line[0], 0.1)), offset=float(line[1]))
 
@@ -172,14 +196,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"), "text")
     rows = texts.mapInArrow(_extract, "toxic int, part int, features array<int>").toArrow()
     toxic, part = (rows.column(c).to_numpy() for c in ("toxic", "part"))
-    features = [f.values.to_numpy() for f in rows.column("features").combine_chunks()] if rows.num_rows else []
     positive, unlabelled = (np.flatnonzero(toxic == n) for n in (1, 0))
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
-    groups = [features[i] for i in positive], [features[i] for i in unlabelled]
-    model = nnpu_fit(*groups, prior)
+        none = np.zeros(1 << BITS, dtype=np.float32)
+        return Model(none, none, float(np.log(prior / (1 - prior))))
+    lists = rows.column("features").combine_chunks()
+    sample = Sample(lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())))
+    model = nnpu_fit(sample, positive, unlabelled, prior)
     every = all(len(np.unique(part[g])) == PARTS for g in (positive, unlabelled))
-    return _calibrated(model, *groups, part[np.append(positive, unlabelled)], prior) if every else model
+    return _calibrated(model, sample, positive, unlabelled, part, prior) if every else model
 
 
 def _score(model: Model, series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,8 +220,7 @@ def _score(model: Model, series: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def score_toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a score of each whole text."""
-    small = replace(model, weights=model.weights.astype(np.float32), squares=model.squares.astype(np.float32))
-    sent = docs.sparkSession.sparkContext.broadcast(small)  # twice 2**BITS floats
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # twice 2**BITS floats
 
     @F.pandas_udf("double")
     def scored(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
