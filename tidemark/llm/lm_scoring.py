@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 7, 2
 ROWS = 1 << 16
 ENTRIES = 1 << 22
 HEAD = 1 << 20
-DEEP, SPACING = 12, 64
+DEEP, SPACING = 12, 128
 EDGE = 0xFF
 #: Stands for the end token among the hashes of words.
 END = np.uint64(0x5E17_0FF1_7E97_0EED)
@@ -308,7 +308,7 @@ def _score(sent):
 
 def _deep_changes(scored: DataFrame, counts: DataFrame, rare: DataFrame) -> DataFrame:
     """(row, change): what deep and rare contexts change of the texts' scores by frequent short contexts."""
-    branch = written(counts.where(F.col("kind") == _BRANCH).select("key", "branch", F.col("n").alias("c")), "branches")
+    branch = counts.where(F.col("kind") == _BRANCH).select("key", "branch", F.col("n").alias("c"))
     # A context of one branch needs no totals.
     forks = branch.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("k"))
     forks = written(forks.where("k > 1"), "forks")
