@@ -32,11 +32,14 @@ MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 THRESHOLD = 0.7
 BITS = 21
-EPOCHS = 12
+#: Gradient steps in all, however small the sample is, and unlabelled texts of each.
+STEPS = 1200
 BATCH = 128
 PARTS = 3
 RATE = 0.02
 DECAY = 1e-5
+#: One unlabelled text in so many is added as a text without words.
+BLANK = 16
 #: Texts of the sample that a feature must be in.
 LEAST_TEXTS = 5
 #: Bytes of the word beginnings that count as features beside whole words.
@@ -150,7 +153,7 @@ def nnpu_fit(sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, prior
     w, b = np.zeros(max(1, int(use.sum()))), float(np.log(prior / (1 - prior)))
     adam_w, adam_b = _Adam(len(w), RATE), _Adam(1, RATE)
     steps = max(8, n_u // BATCH)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // steps)):
         order_p, order_u = rng.permutation(positive), rng.permutation(unlabelled)
         for pick_p, pick_u in zip(np.array_split(np.resize(order_p, max(n_p, steps)), steps), np.array_split(order_u, steps), strict=True):
             if not len(pick_u):
@@ -158,7 +161,9 @@ def nnpu_fit(sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, prior
             pick = np.concatenate([pick_p, pick_u])
             doc = np.repeat(np.arange(len(pick)), size[pick])
             feature, values = sample.each(place, pick), sample.each(value, pick) / length[pick][doc]
-            g = risk_slopes(np.bincount(doc, w[feature] * values, minlength=len(pick)) + b, len(pick_p), prior)
+            # Some unlabelled texts without a known word, so that these are told by the prior, not by what is between the classes.
+            z = np.append(np.bincount(doc, w[feature] * values, minlength=len(pick)), np.zeros(-(-len(pick_u) // BLANK))) + b
+            g = risk_slopes(z, len(pick_p), prior)
             w = w - adam_w.step(np.bincount(feature, g[doc] * values, minlength=len(w)) + DECAY * w)
             b -= float(adam_b.step(np.array([g.sum()]))[0])
     weights = np.zeros(1 << BITS, dtype=np.float32)
@@ -169,13 +174,15 @@ def nnpu_fit(sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, prior
 def _calibrated(model: Model, sample: Sample, positive: np.ndarray, unlabelled: np.ndarray, part: np.ndarray, prior: float) -> Model:
     """The model with slope and offset that least the risk of logits of texts by models learned from the other parts; a text is in one part wherever it stands."""
     every = np.append(positive, unlabelled)
-    z = np.zeros(len(every))
+    z, blank = np.zeros(len(every)), []
     for n in range(PARTS):
         other = nnpu_fit(sample, positive[part[positive] != n], unlabelled[part[unlabelled] != n], prior)
         mine = np.flatnonzero(part[every] == n)
         for at in range(0, len(mine), 512):
             texts = every[mine[at : at + 512]]
             z[mine[at : at + 512]] = other.logits(sample.each(sample.features, texts), np.diff(sample.bounds)[texts])
+        blank += [other.bias] * -(-int((part[unlabelled] == n).sum()) // BLANK)
+    z = np.append(z, blank)
     line, adam = np.array([1.0, 0.0]), _Adam(2, 0.02)
     for _ in range(3000):
         g = risk_slopes(line[0] * z + line[1], len(positive), prior)
