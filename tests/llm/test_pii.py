@@ -38,7 +38,7 @@ def texts():
     noise = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(300)]
     pieces = ["a@b.c", "a@b.c.@d.e", "x@y-z.com+q@r.s", "1.2.3.4", "1.2.3.4.5.6.7.8", "00255.0.0.256", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111 1111 1111 1112", "+49 (30) 1234-567", "+1", "+12345678", "é", "𝕏", ".", " "]
     mixed = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
-    long = ["x" * 150_000, "1" * 150_000, "1 " * 60_000, "+1" + " " * 150_000, "a@b.c " * 20_000, ".1" * 60_000, "a@" * 50_000, "𝕏 1.2.3.4, " * 5_000, "a@b" + ".c" * 60_000]
+    long = ["x" * 5000, "1" * 5000, "1 " * 60_000, "+1" + " " * 150_000, "a@b.c " * 20_000, ".1" * 60_000, "a@" * 50_000, "𝕏 1.2.3.4, " * 5_000, "a@b" + ".c" * 60_000]
     return [None, "", " \n", *noise, *mixed, *long]
 
 
@@ -53,6 +53,13 @@ def test_base_spans(spark, texts):
     assert sum(map(len, found.values())) > 1000
 
 
+def test_long_runs_are_read_once(spark):
+    """Patterns as they are written would go over these from each of their characters; Python's do, so what is found is stated."""
+    docs = spark.createDataFrame([(1, "x" * 2_000_000), (2, "1" * 2_000_000 + " 1.2.3.4"), (3, "1." * 1_000_000), (4, "x" * 2_000_000 + "@y.z")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert not found[1] and [tuple(s)[:3] for s in found[2]] == [("ip", 2_000_001, 2_000_008)] and len(found[3]) == 250_000 and [tuple(s)[:3] for s in found[4]] == [("email", 0, 2_000_004)]
+
+
 def test_checksums_and_context(spark):
     cases = [
         ("transfer to DE89 3704 0044 0532 0130 00 today", [("iban", 12, 39)]), ("DE89370400440532013001", []), ("XDE89370400440532013000", []), ("GB82WEST12345698765432 please", [("iban", 0, 22)]),

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontamination, lines, lm_scoring, near, oracles, packing, phrases, pii, quality, runs, secrets, toxicity, urls
+from tidemark.llm import decontamination, lines, lm_scoring, near, oracles, packing, phrases, pii, quality, runs, search, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -15,10 +15,11 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op11_pii": pii.op11_pii,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_ranked_search": search.op13_ranked_search,
 }
 
 ORACLES = {
     "op1_url_filters": urls.ORACLE, "op3_repeated_phrases": oracles.REPEATED_PHRASES, "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op5_line_spread": oracles.LINE_SPREAD, "op7_quality_rules": quality.ORACLE,
-    "op11_pii": pii.ORACLE, "op12_periodic_runs": runs.ORACLE,
+    "op11_pii": pii.ORACLE, "op12_periodic_runs": runs.ORACLE, "op13_ranked_search": search.ORACLE,
 }
