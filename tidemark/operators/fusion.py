@@ -12,32 +12,6 @@ from tidemark.functions.texts import ball_factor, hierarchy_depth, poincare_dist
 from tidemark.operators.retrieval import by_tenant, top_k_per_query
 
 
-def _planes(dims: int, bits: int, table: int) -> list[list[float]]:
-    """Normals of random planes, drawn from a seed that the table's number sets."""
-    import numpy as np
-
-    return np.random.default_rng(1000 + table).standard_normal((bits, dims)).tolist()
-
-
-def cosine_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dims: int, tables: int = 12, bits: int = 4) -> DataFrame:
-    """Approximate top k: vectors that share the sides of random planes in some table, ranked exactly.
-
-    Queries also look into the buckets one plane away. Buckets are join keys, so none is held in one task whole.
-    """
-    def side(vector: Column, table: int) -> Column:
-        planes = _planes(dims, bits, table)
-        return sum((F.when(dot(vector, F.array(*map(F.lit, p))) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0))
-
-    keys = lambda v: F.array(*[F.struct(F.lit(t).alias("t"), side(v, t).alias("b")) for t in range(tables)])
-    stored = vectors.select(F.col("vec_id").alias("id"), "tenant", F.explode(keys(F.col("vector"))).alias("key")).select("id", "tenant", "key.t", "key.b")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "tenant", F.explode(keys(F.col("vector"))).alias("key"))
-    near = F.array(F.col("key.b"), *[F.bitwise_xor("key.b", F.lit(1 << i)) if hasattr(F, "bitwise_xor") else F.col("key.b").bitwiseXOR(F.lit(1 << i)) for i in range(bits)])
-    asked = asked.select("query_id", "tenant", F.col("key.t").alias("t"), F.explode(near).alias("b"))
-    pairs = asked.join(stored, ["tenant", "t", "b"]).where("id <> query_id").select("query_id", "id").distinct()
-    scored = pairs.join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(vectors.select(F.col("vec_id").alias("id"), "vector"), "id")
-    return top_k_per_query(scored.select("query_id", "id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score")), k)
-
-
 def upsert_vectors(log: DataFrame) -> DataFrame:
     """The vectors left after a log of upserts and deletes (op): the last entry of each id counts."""
     last = log.groupBy("vec_id").agg(F.max(F.struct("seq", "op", "vector")).alias("last"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import cosine
+from tidemark.operators.vector_index import dealt, exact_topk, top_k_per_query
 
 # Words that carry no topic.
 STOP_WORDS = (
@@ -17,28 +16,17 @@ STOP_WORDS = (
     "though", "into", "through", "during", "before", "after", "above", "below", "between", "then", "once", "here", "there", "s", "t", "don", "didn", "doesn", "isn", "wasn", "aren", "weren",
     "won", "hasn", "hadn",
 )
-#: Parts into which a tenant's vectors are dealt; each query meets each part, so that a large tenant is no single task.
-PARTS = 16
-
-
-def top_k_per_query(scored: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """The k best of each query (query_id, id, score); equal scores go by id."""
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    scored = scored if min_score is None else scored.where(F.col("score") >= min_score)
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def by_tenant(queries: DataFrame, items: DataFrame, ident: str) -> DataFrame:
-    """Every query with every item of its tenant: an exact search of a stated set of queries, dealt by tenant and part."""
-    asked = queries.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
-    return asked.join(items.withColumn("part", F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int")), ["tenant", "part"]).drop("part")
+    """Every query (query_id, tenant) with every item of its tenant: an exact search of a stated set of queries, in parts by the tenant's size."""
+    left, right = dealt(queries, items, ["tenant"], "query_id", ident)
+    return left.join(right, ["tenant", "part", "turn"]).drop("part", "turn")
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact top k by cosine among vectors of the query's tenant."""
-    q = queries.select(F.col("vec_id").alias("query_id"), "tenant", F.col("vector").alias("q"))
-    scored = by_tenant(q, vectors.select(F.col("vec_id").alias("id"), "tenant", "vector"), "id").where("id <> query_id")
-    return top_k_per_query(scored.select("query_id", "id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score")), k)
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, same_tenant: bool = True) -> DataFrame:
+    """Exact top k by cosine among vectors of the query's tenant, or of all tenants; with min_score only those that reach it."""
+    return exact_topk(queries, vectors, k, min_score, same_tenant)
 
 
 def all_words(text: str):

@@ -12,7 +12,7 @@ from tidemark.operators import episodes as E
 from tidemark.operators import facts as K
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
-from tidemark.plans import agents, attention, audits, core, fusion, gaps, hybrid, imports, policies, resolution, stateful  # noqa: F401
+from tidemark.plans import agents, attention, audits, core, fusion, gaps, hybrid, imports, policies, resolution, similarity, stateful  # noqa: F401
 from tidemark.plans.registry import AS_OF as _AS_OF
 from tidemark.plans.registry import NOW as _NOW
 from tidemark.plans.registry import ORACLES, QUERIES, query

@@ -77,13 +77,6 @@ def _(spark, d):
 _PAIRS = f"{X.VECTORS_SQL}, p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.vector AS q, v.vector AS v FROM vectors q JOIN vectors v USING (tenant) WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"
 
 
-@query("vec2_cosine_topk_lsh")
-def _(spark, d):
-    v = X.vectors(spark, d)
-    dims = v.select(F.size("vector")).first()
-    return M.cosine_topk_lsh(v.where("vec_id % 20 = 0"), v, 5, dims[0] if dims else 1)
-
-
 _OPS = "SELECT vec_id % 400 AS vec_id, vec_id AS seq, CASE WHEN vec_id % 9 = 0 THEN 'delete' ELSE 'upsert' END AS op"
 
 
