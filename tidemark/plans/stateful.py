@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
+from tidemark.streaming import ordered as O
 from tidemark.streaming import stateful as V
 from tidemark.streaming import windows as Z
 
@@ -50,21 +51,45 @@ def _(spark, d):
 
 
 # Assertions come in three turns; what is closed and changed is the same as over the whole table.
+def _typed(spark, d):
+    return X.assertions(spark, d).selectExpr("cast(user_id AS bigint) AS user_id", "source", "label", "cast(edge_id AS bigint) AS edge_id", "target", "cast(ingested_at AS timestamp) AS ingested_at")
+
+
 def _asserted(spark, d):
-    return Z.in_turns(X.assertions(spark, d).selectExpr("cast(user_id AS bigint) AS user_id", "source", "label", "cast(edge_id AS bigint) AS edge_id", "target", "cast(ingested_at AS timestamp) AS ingested_at"), "ingested_at")
+    return Z.in_turns(_typed(spark, d), "ingested_at")
 
 
 @query("str1_stream_supersede", f"""WITH {X.FACTS_SQL} SELECT 'added' AS change, edge_id, CAST(NULL AS BIGINT) AS closed_by, ingested_at AS happened_at FROM facts
 UNION ALL SELECT 'superseded', edge_id, invalidated_by, invalid_at FROM facts WHERE invalid_at IS NOT NULL""")
 def _(spark, d):
-    out = Z.run_to_end(V.stream_supersede(_asserted(spark, d)), "append")
+    out = Z.run_to_end(O.stream_fact_changes(_asserted(spark, d)), "append").where("change IN ('added', 'superseded')")
     return out.select("change", "edge_id", F.col("other_id").alias("closed_by"), F.col("at").cast("timestamp_ntz").alias("happened_at"))
 
 
 @query("str2_stream_belief_changes", f"""WITH {X.ASSERTIONS_SQL}, b AS (SELECT *, lag(target) OVER w AS old_target, lag(edge_id) OVER w AS old_edge_id FROM assertions WINDOW w AS (PARTITION BY user_id, source, label ORDER BY ingested_at, edge_id))
 SELECT edge_id AS new_edge_id, old_edge_id, old_target, target AS new_target, ingested_at AS changed_at FROM b WHERE lower(old_target) <> lower(target)""")
 def _(spark, d):
-    out = Z.run_to_end(V.stream_belief_changes(_asserted(spark, d)), "append")
+    out = Z.run_to_end(O.stream_fact_changes(_asserted(spark, d)), "append").where("change = 'changed'")
+    return out.select(F.col("edge_id").alias("new_edge_id"), F.col("other_id").alias("old_edge_id"), "old_target", "new_target", F.col("at").cast("timestamp_ntz").alias("changed_at"))
+
+
+def _last(spark, d, kinds: str):
+    """The last word on each edge, of a stream whose facts come in no order of time."""
+    late = Z.in_any_order(_typed(spark, d), "edge_id")
+    out = Z.run_to_end(O.stream_fact_changes(late, "400 days"), "append").where(f"change IN ({kinds})")
+    return out.groupBy("edge_id").agg(F.max_by(F.struct("change", "other_id", "old_target", "new_target", "at"), "version").alias("last")).select("edge_id", "last.*")
+
+
+@query("str1_late_facts", f"WITH {X.FACTS_SQL} SELECT edge_id, invalidated_by AS closed_by, invalid_at AS closed_at FROM facts WHERE invalid_at IS NOT NULL")
+def _(spark, d):
+    out = _last(spark, d, "'superseded', 'corrected'")
+    return out.select("edge_id", F.col("other_id").alias("closed_by"), F.col("at").cast("timestamp_ntz").alias("closed_at"))
+
+
+@query("str2_late_facts", f"""WITH {X.ASSERTIONS_SQL}, b AS (SELECT *, lag(target) OVER w AS old_target, lag(edge_id) OVER w AS old_edge_id FROM assertions WINDOW w AS (PARTITION BY user_id, source, label ORDER BY ingested_at, edge_id))
+SELECT edge_id AS new_edge_id, old_edge_id, old_target, target AS new_target, ingested_at AS changed_at FROM b WHERE lower(old_target) <> lower(target)""")
+def _(spark, d):
+    out = _last(spark, d, "'changed', 'unchanged'").where("change = 'changed'")
     return out.select(F.col("edge_id").alias("new_edge_id"), F.col("other_id").alias("old_edge_id"), "old_target", "new_target", F.col("at").cast("timestamp_ntz").alias("changed_at"))
 
 
@@ -97,6 +122,34 @@ def _(spark, d):
     return Z.run_to_end(Z.stream_retry(attempts, 3))
 
 
+# Attempts of a user's deliveries; the stream's watermark ends an hour before the last of them.
+_ATTEMPTS = "user_id * 4 + event_id % 4"
+_RETRIES = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY t, success DESC) AS rn FROM (SELECT {_ATTEMPTS} AS delivery_id, event_type = 'purchase' AS success, ts AS t, date_trunc('millisecond', max(ts) OVER () - INTERVAL 1 HOUR) AS until FROM events) WHERE t < until),
+s AS (SELECT delivery_id, rn, t, success, until, CAST(1 AS BIGINT) AS n FROM a WHERE rn = 1
+UNION ALL SELECT a.delivery_id, a.rn, a.t, a.success, a.until, CASE WHEN s.success OR s.n >= 3 THEN 1 ELSE s.n + 1 END FROM s JOIN a ON a.delivery_id = s.delivery_id AND a.rn = s.rn + 1),
+w AS (SELECT *, lead(t) OVER (PARTITION BY delivery_id ORDER BY rn) AS next, t + to_hours(CAST(20 * pow(2, n - 1) AS INTEGER)) AS due FROM s)
+SELECT delivery_id, n AS attempts, CASE WHEN success THEN 'delivered' ELSE 'dead_letter' END AS outcome, t AS "at" FROM w WHERE success OR n >= 3
+UNION ALL SELECT delivery_id, n, 'retry', due FROM w WHERE NOT success AND n < 3 AND (due < next OR next IS NULL) AND due < until"""
+
+
+def _attempts(spark, d):
+    return X.table(spark, d, "events").selectExpr(f"cast({_ATTEMPTS} AS bigint) AS delivery_id", "event_type = 'purchase' AS success", "cast(ts AS timestamp) AS at")
+
+
+@query("str8_retry_timers", _RETRIES)
+def _(spark, d):
+    stream = Z.in_turns(_attempts(spark, d), "at", 4)
+    out = Z.run_to_end(O.stream_retry_timers(stream, 3, 20 * 3_600_000, "1 hour"), "append")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("str8_retry_replay", _RETRIES)
+def _(spark, d):
+    rows = _attempts(spark, d)
+    last = rows.agg(F.unix_millis(F.max("at") - F.expr("INTERVAL 1 HOUR"))).first()[0]
+    return O.retries_of_table(rows, (last or 0) * 1000, 3, 20 * 3_600_000).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 def _feedback(spark, d):
     """Ratings of -1 to 1 that users give: the query is the vector of their own number, the item the event's."""
     v = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))

@@ -34,42 +34,6 @@ def over_table(rows: DataFrame, keys: list[str], step: Step, schema: str) -> Dat
     return rows.groupBy(*keys).applyInPandas(lambda pdf: step(None, pdf)[1], schema)
 
 
-FACTS = "change string, user_id long, source string, label string, edge_id long, other_id long, old_target string, new_target string, at timestamp"
-FACT_STATE = "edge_id long, target string"
-
-
-def supersede_step(before: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """Added facts, the facts that they close, and changes of belief, for one slot. State: the active fact.
-
-    added: edge_id. superseded: edge_id is closed by other_id. changed: edge_id says another object than other_id did, in any case of letters.
-    """
-    out, active = [], before
-    for r in rows.sort_values(["ingested_at", "edge_id"]).itertuples(index=False):
-        own = (r.user_id, r.source, r.label)
-        out.append(("added", *own, r.edge_id, None, None, r.target, r.ingested_at))
-        if active is not None:
-            out.append(("superseded", *own, active[0], r.edge_id, active[1], r.target, r.ingested_at))
-            if active[1].lower() != r.target.lower():
-                out.append(("changed", *own, r.edge_id, active[0], active[1], r.target, r.ingested_at))
-        active = (int(r.edge_id), r.target)
-    found = pd.DataFrame(out, columns=["change", "user_id", "source", "label", "edge_id", "other_id", "old_target", "new_target", "at"])
-    found["other_id"] = found["other_id"].astype("Int64")
-    return active, found
-
-
-SLOT = ["user_id", "source", "label"]
-
-
-def stream_supersede(facts: DataFrame) -> DataFrame:
-    """Events added and superseded of a stream of assertions (user_id, source, label, edge_id, target, ingested_at)."""
-    return over_stream(facts, SLOT, supersede_step, FACTS, FACT_STATE).where("change <> 'changed'")
-
-
-def stream_belief_changes(facts: DataFrame) -> DataFrame:
-    """Events of a stream of assertions where a slot's object changes."""
-    return over_stream(facts, SLOT, supersede_step, FACTS, FACT_STATE).where("change = 'changed'")
-
-
 BREAKER = "webhook_id long, delivery_id long, decision string, state string"
 BREAKER_STATE = "failures int, state string, opened_micros long"
 

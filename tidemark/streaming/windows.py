@@ -17,6 +17,14 @@ def stream_files(spark: SparkSession, folder: str, names: str = "*.parquet", fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
+def in_any_order(df: DataFrame, key: str, turns: int = 3) -> DataFrame:
+    """A stream of a table's rows that come in so many batches, each row in a turn that its key's hash names: late rows abound."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/turns-{uuid.uuid4().hex}"
+    for turn in range(turns):
+        df.where(F.pmod(F.xxhash64(key), F.lit(turns)) == turn).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
 def in_turns(df: DataFrame, ts: str, turns: int = 3) -> DataFrame:
     """A stream of a table's rows that come in so many batches, in order of time: the table is rewritten turn by turn in the shared folder."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/turns-{uuid.uuid4().hex}"
@@ -92,7 +100,14 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
         last.append(epoch)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    # State in RocksDB may outgrow memory, and state with timers needs it; a query that has started keeps what it was started with.
+    store, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(store)
+    spark.conf.set(store, provider)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store, before)
     query.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
