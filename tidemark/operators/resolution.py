@@ -121,22 +121,3 @@ def questions(radar: DataFrame, facts: DataFrame, now: Column, least: float = 0.
     return worst.join(texts, ["user_id", "source", "label"]).select(
         "user_id", "source", "label", "severity", clarification_question(F.col("source"), F.col("label"), F.col("targets")).alias("question"), (now + F.make_dt_interval(F.lit(days))).alias("expires_at"),
     )
-
-
-def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(src, dst, length, path) of the fewest undirected hops; of equals the path of least nodes. The same node has length 0."""
-    from tidemark.operators.graph import _both_ways, cut
-
-    links = cut(_both_ways(edges).toDF("at", "next"))
-    front = cut(pairs.select("src", "dst").distinct().withColumns({"at": F.col("src"), "path": F.array("src")}))
-    seen = front.select("src", "dst", "at")
-    done = front.where("at = dst")
-    for _ in range(depth):
-        open_ = front.join(done.select("src", "dst"), ["src", "dst"], "left_anti")
-        step = open_.join(links, "at").select("src", "dst", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        step = step.join(seen, ["src", "dst", "at"], "left_anti")
-        front = cut(step.groupBy("src", "dst", "at").agg(F.min("path").alias("path")))
-        if front.isEmpty():
-            break
-        seen, done = cut(seen.unionByName(front.select("src", "dst", "at"))), cut(done.unionByName(front.where("at = dst")))
-    return done.select("src", "dst", (F.size("path") - 1).alias("length"), F.concat_ws(">", F.transform("path", lambda n: n.cast("string"))).alias("path"))

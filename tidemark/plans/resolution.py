@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import analytics as A
+from tidemark.operators import paths as P
 from tidemark.operators import resolution as R
 from tidemark.plans.registry import AS_OF, NOW, age, query
 from tidemark.sources import fixtures as X
@@ -107,9 +108,25 @@ def _(spark, d):
     return R.questions(A.conflict_radar(f, at(X.NOW)), f, at(X.NOW))
 
 
-# Any two users are less than 8 hops apart in the given tables, so that SQL need not go further.
-@query("grf2_shortest_path", f"""WITH RECURSIVE {X.GRAPH_SQL}, b AS (SELECT src, dst FROM graph_edges UNION SELECT dst, src FROM graph_edges), p AS (SELECT DISTINCT src, CAST((src * 11 + 3) % 150 AS BIGINT) AS dst FROM graph_edges),
-w AS (SELECT src AS s, src AS at, 0 AS depth FROM p UNION SELECT s, b.dst, depth + 1 FROM w JOIN b ON b.src = w.at WHERE depth < 8) SELECT p.src, p.dst, CAST(min(depth) AS INTEGER) AS length FROM p JOIN w ON w.s = p.src AND w.at = p.dst GROUP BY p.src, p.dst""")
+_EDGES = """graph_facts AS (SELECT CAST(event_id AS BIGINT) AS edge_id, CAST(user_id AS BIGINT) AS src, CAST(1000000000 + day(ts) * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS BIGINT) AS dst FROM events)"""
+_PATHS = f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS a, dst AS b FROM graph_facts UNION SELECT dst, src FROM graph_facts), p AS (SELECT DISTINCT src, CAST((src * 11 + 3) % 150 AS BIGINT) AS dst FROM graph_facts),
+far AS (SELECT DISTINCT dst AS t, dst AS node, 0 AS depth FROM p UNION SELECT far.t, b.b, depth + 1 FROM far JOIN b ON b.a = far.node WHERE depth < 20),
+d AS (SELECT t, node, min(depth) AS d FROM far GROUP BY t, node), n AS (SELECT x.t, b.a AS node, min(b.b) AS next FROM b JOIN d x ON x.node = b.a JOIN d y ON y.t = x.t AND y.node = b.b AND y.d = x.d - 1 GROUP BY x.t, b.a),
+e AS (SELECT least(src, dst) AS low, greatest(src, dst) AS high, min(edge_id) AS edge_id FROM graph_facts GROUP BY ALL),
+s AS (SELECT p.src, p.dst, p.src AS node, d.d AS rest, 0 AS hop, CAST(NULL AS BIGINT) AS last FROM p JOIN d ON d.t = p.dst AND d.node = p.src UNION ALL SELECT s.src, s.dst, n.next, s.rest - 1, hop + 1, s.node FROM s JOIN n ON n.t = s.dst AND n.node = s.node WHERE s.rest > 0)"""
+
+
+@query("grf2_shortest_path", f"{_PATHS} SELECT src, dst, CAST(max(hop) AS INTEGER) AS length FROM s GROUP BY src, dst")
 def _(spark, d):
-    edges = X.graph_edges(spark, d)
-    return R.shortest_paths(edges.select("src").distinct().withColumn("dst", (F.col("src") * 11 + 3) % 150), edges).select("src", "dst", "length")
+    return _paths(spark, d).select("src", "dst", "length")
+
+
+@query("grf2_path_edges", f"""{_PATHS} SELECT src, dst, CAST(max(hop) AS INTEGER) AS length, string_agg(node, '>' ORDER BY hop) AS path, coalesce(string_agg(edge_id, ',' ORDER BY hop), '') AS edges
+FROM s LEFT JOIN e ON e.low = least(s.node, s.last) AND e.high = greatest(s.node, s.last) GROUP BY src, dst""")
+def _(spark, d):
+    return _paths(spark, d)
+
+
+def _paths(spark, d):
+    edges = X.graph_facts(spark, d)
+    return P.shortest_paths(edges.select("src").distinct().withColumn("dst", (F.col("src") * 11 + 3) % 150), edges)

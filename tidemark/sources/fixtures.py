@@ -69,6 +69,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("long").alias("src"), (F.lit(1_000_000_000).cast("long") + F.dayofmonth("ts") * 100 + k).alias("dst"))
 
 
+def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the id of each event as edge_id."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select(F.col("event_id").cast("long").alias("edge_id"), F.col("user_id").cast("long").alias("src"), (F.lit(1_000_000_000).cast("long") + F.dayofmonth("ts") * 100 + k).alias("dst"))
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("delivery_id"), F.col("user_id").alias("webhook_id"), (F.col("event_type") != "error").alias("delivered"), (1 + F.col("event_id") % 4).alias("attempts"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
