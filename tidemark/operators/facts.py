@@ -6,11 +6,18 @@ deleted, by the next assertion on their (user_id, source, label) in the order of
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.vector_index import dealt
+
 SLOT = ("user_id", "source", "label")
+#: Facts of one slot and time bucket that meet in one task, about.
+FACTS_OF_A_PART = 1 << 13
 
 
 def valid_at(t: Column) -> Column:
@@ -156,17 +163,62 @@ def change_events(facts: DataFrame, episodes: DataFrame, start: Column, end: Col
     return out.unionByName(part(episodes.where(inside("created_at")), "episode_added", "episode_id"))
 
 
+def sweep(ids: list[int], starts: list[int], ends: list[int | None], objects: list[str], beginners: set[int]) -> tuple[list[int], list[int]]:
+    """Pairs of intervals [start, end) with different objects of which one is a beginner that starts while the other is active.
+
+    Starts are taken in order; what has ended by then leaves the active set, which is kept by object, so that each start
+    meets only those of other objects: work is in proportion to the intervals and the pairs that come out.
+    """
+    active: dict[str, set[int]] = {}
+    ending: list[tuple[int, int, str]] = []
+    low, high = [], []
+    for start, ident, end, name in sorted(zip(starts, ids, ends, objects, strict=True), key=lambda x: (x[0], x[1])):
+        while ending and ending[0][0] <= start:
+            _, gone, of = heapq.heappop(ending)
+            active[of].discard(gone)
+            if not active[of]:
+                del active[of]
+        if ident in beginners:
+            for other, held in active.items():
+                if other != name:
+                    low += [min(x, ident) for x in held]
+                    high += [max(x, ident) for x in held]
+        active.setdefault(name, set()).add(ident)
+        if end is not None:
+            heapq.heappush(ending, (end, ident, name))
+    return low, high
+
+
 def contradictions(facts: DataFrame, horizon: Column, bucket_days: int = 7) -> DataFrame:
     """Pairs of facts of one slot with different objects whose validity overlaps.
 
-    Facts meet in the time buckets that they span, so distant parts of a slot's history never do; a pair counts in the
-    first bucket that both span. Open facts reach to the horizon, which no fact begins after.
+    A pair is found where the later of the two begins: in the time bucket of that start, among the facts that span the bucket. There
+    a sweep over starts and ends gives out only facts of different objects. A slot's bucket of many facts is dealt into
+    parts of both, so that none is one task's work. Open facts reach to the horizon, which no fact begins after.
     """
-    spans = _spans(facts, horizon, bucket_days).withColumn("first", _bucket(F.col("valid_at"), bucket_days))
-    a, b = (spans.select(*SLOT, "bucket", *(F.col(c).alias(f"{c}{n}") for c in ("edge_id", "target", "valid_at", "invalid_at", "first"))) for n in "12")
-    overlap = (F.col("invalid_at1").isNull() | (F.col("valid_at2") < F.col("invalid_at1"))) & (F.col("invalid_at2").isNull() | (F.col("valid_at1") < F.col("invalid_at2")))
-    pairs = a.join(b, [*SLOT, "bucket"]).where((F.col("edge_id1") < F.col("edge_id2")) & (F.col("bucket") == F.greatest("first1", "first2")))
-    return pairs.where((F.lower("target1") != F.lower("target2")) & overlap).select("user_id", "label", F.col("edge_id1").alias("id1"), F.col("edge_id2").alias("id2"))
+    keys, fields = [*SLOT, "bucket"], ("edge_id", "object", "start", "stop")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    clean = facts.where("edge_id is not null and target is not null and valid_at is not null and (invalid_at is null or invalid_at > valid_at)")
+    clean = clean.withColumns({"object": F.lower("target"), "start": micros("valid_at"), "stop": micros("invalid_at")})
+    spans = _spans(clean, horizon, bucket_days).select(*keys, *fields)
+    begun = clean.withColumn("bucket", _bucket(F.col("valid_at"), bucket_days)).select(*keys, *(F.col(c).alias(f"new_{c}") for c in fields))
+    left, right = dealt(begun, spans, keys, "new_edge_id", "edge_id", FACTS_OF_A_PART, FACTS_OF_A_PART)
+
+    def meet(new: pa.Table, held: pa.Table) -> pa.Table:
+        who = new.column("new_edge_id").to_pylist()
+        both = {i: (s, e, o) for t, p in ((held, ""), (new, "new_")) for i, s, e, o in zip(*(t.column(p + c).to_pylist() for c in ("edge_id", "start", "stop", "object")), strict=True)}
+        others, ids = set(held.column("edge_id").to_pylist()), list(both)
+        low, high = sweep(ids, *([both[i][k] for i in ids] for k in range(3)), set(who))
+        # A pair of two beginners is given out where the earlier one is dealt.
+        kept = [(a, b) for a, b in zip(low, high, strict=True) if (a if (both[a][0], a) < (both[b][0], b) else b) in others]
+        of = {i: n for n, i in enumerate(who)}
+        rows = pa.array([of[a if (both[a][0], a) > (both[b][0], b) else b] for a, b in kept], pa.int64())
+        return pa.table({"user_id": new.column("user_id").take(rows), "label": new.column("label").take(rows), "id1": pa.array([a for a, _ in kept], pa.int64()), "id2": pa.array([b for _, b in kept], pa.int64())})
+
+    parts = [*keys, "part", "turn"]
+    kinds = {f.name: f.dataType.simpleString() for f in facts.schema.fields}
+    shape = f"user_id {kinds['user_id']}, label {kinds['label']}, id1 long, id2 long"
+    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInArrow(meet, shape)
 
 
 def edge_reinforcement(accesses: DataFrame) -> DataFrame:

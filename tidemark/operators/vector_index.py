@@ -42,7 +42,8 @@ def dealt(queries: DataFrame, items: DataFrame, keys: list[str], query_id: str,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(parts, keys).join(turns, keys).withColumn("turn", place(query_id, "turns")).withColumn("part", every("parts"))
     right = items.join(parts, keys).join(turns, keys).withColumn("part", place(ident, "parts")).withColumn("turn", every("turns"))
-    return left.drop("parts", "turns"), right.drop("parts", "turns")
+    right = right.drop("parts", "turns")
+    return left.drop("parts", "turns"), right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own, where both tables come from one
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
