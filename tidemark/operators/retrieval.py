@@ -5,17 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.vector_index import dealt, exact_topk, top_k_per_query
-
-# Words that carry no topic.
-STOP_WORDS = (
-    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
-    "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "it", "its", "this", "that", "these", "those", "i", "me", "my", "we", "our",
-    "you", "your", "he", "him", "his", "she", "her", "they", "them", "their", "what", "which", "who", "whom", "where", "when", "why", "how", "all", "each", "every", "both", "few", "more",
-    "most", "other", "some", "such", "no", "not", "only", "same", "so", "than", "too", "very", "just", "any", "about", "up", "out", "if", "because", "as", "while", "although", "since",
-    "though", "into", "through", "during", "before", "after", "above", "below", "between", "then", "once", "here", "there", "s", "t", "don", "didn", "doesn", "isn", "wasn", "aren", "weren",
-    "won", "hasn", "hadn",
-)
+from tidemark.operators.fulltext import STOP_WORDS, all_words, fulltext_topk, keywords  # noqa: F401
+from tidemark.operators.vector_index import dealt, exact_topk, top_k_per_query  # noqa: F401
 
 
 def by_tenant(queries: DataFrame, items: DataFrame, ident: str) -> DataFrame:
@@ -29,32 +20,6 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     return exact_topk(queries, vectors, k, min_score, same_tenant)
 
 
-def all_words(text: str):
-    return F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda w: w != "")
-
-
-def keywords(text: str):
-    """The words of a query that carry a topic; all of them if none does."""
-    words = all_words(text)
-    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
-
-
-def fulltext_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over an OR of the query's keywords, squashed to s / (s + 1). Only terms of queries are counted; texts that are null are no documents."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(keywords("text"))).alias("term"))
-    words = docs.where("text is not null").select("doc_id", all_words("text").alias("words"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    n, mean = (total.select(c).scalar() for c in ("n", "mean"))
-    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = tf.join(weighted, "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("s"))
-    return top_k_per_query(scored.select("query_id", "id", F.round(F.col("s") / (F.col("s") + 1), 6).alias("score")), k)
-
-
 def rrf(ranked: DataFrame, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list, id, rank)."""
     return ranked.groupBy("query_id", "id").agg(F.round(F.sum(1 / (c + F.col("rank"))), 6).alias("score"))

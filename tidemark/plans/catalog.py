@@ -12,7 +12,7 @@ from tidemark.operators import episodes as E
 from tidemark.operators import facts as K
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
-from tidemark.plans import agents, attention, audits, core, fusion, gaps, hybrid, imports, policies, resolution, similarity, stateful  # noqa: F401
+from tidemark.plans import agents, attention, audits, core, fulltext, fusion, gaps, hybrid, imports, policies, resolution, similarity, stateful  # noqa: F401
 from tidemark.plans.registry import AS_OF as _AS_OF
 from tidemark.plans.registry import NOW as _NOW
 from tidemark.plans.registry import ORACLES, QUERIES, query
@@ -259,21 +259,6 @@ def _(spark, d):
     return R.rrf(best.select("query_id", "id", "rank").unionByName(by_id))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
-_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}0-9]+'), lambda w: w <> '')"
-_KEPT = f"list_filter({{0}}, lambda w: NOT list_contains({_STOP}, w))"
-
-
-@query("fts2_fulltext_topk", f"""WITH dk AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dk),
-q AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS w FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(CASE WHEN len({_KEPT.format("w")}) > 0 THEN {_KEPT.format("w")} ELSE w END) AS term FROM q),
-t AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM dk), tf AS (SELECT doc_id, l, term, count(*)::DOUBLE AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
-s AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))) AS s FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
-r AS (SELECT query_id, id, round(s / (s + 1), 6) AS score FROM s), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 10""")
-def _(spark, d):
-    asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.fulltext_topk(asked, X.table(spark, d, "documents").select("doc_id", "text"), 10)
-
-
 # Graph
 
 

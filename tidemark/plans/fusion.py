@@ -65,12 +65,6 @@ def _(spark, d):
     return X.table(spark, d, "pages").select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("text_sha256"), T.doc_title(F.col("html")).alias("title"))
 
 
-@query("fts1_keywords", f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}0-9]+'), lambda x: x <> '') AS w FROM conversations), k AS (SELECT *, list_filter(w, lambda x: NOT list_contains({_phrases(R.STOP_WORDS)}, x)) AS k FROM w)
-SELECT conv_id, turn, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END, ' ') AS keywords FROM k""")
-def _(spark, d):
-    return X.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(R.keywords("text"), " ").alias("keywords"))
-
-
 # Vectors
 
 

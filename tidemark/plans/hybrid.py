@@ -19,7 +19,7 @@ SQL = f"""WITH {X.FACTS_SQL}{X.ENTITIES_SQL}, {X.EPISODES_SQL}, n AS (SELECT cou
 i0 AS (SELECT CAST(user_id AS BIGINT) AS user_id, 'fact' AS kind, CAST(edge_id AS VARCHAR) AS id, fact AS text, edge_id % n AS v FROM facts, n UNION ALL SELECT user_id, 'entity', name, name, (user_id * 31 + CAST(substr(name, 2) AS BIGINT)) % n FROM entities, n UNION ALL SELECT user_id, 'episode', CAST(episode_id AS VARCHAR), content, episode_id % n FROM episodes, n),
 items AS (SELECT i0.*, vector FROM i0 JOIN emb ON vec_id = v),
 q AS (SELECT event_id AS query_id, CAST(user_id AS BIGINT) AS user_id, vector, CASE WHEN event_id % 3 = 2 THEN ts END AS as_of, ['current', 'recent', 'historical'][event_id % 3 + 1] AS intent, CASE event_id % 3 WHEN 0 THEN 0.2 ELSE 0.55 END::DOUBLE AS weight,
-  CASE event_id % 3 WHEN 0 THEN [event_type, 'v' || k] WHEN 1 THEN ['changed', 'recently', event_type, 'v' || k] ELSE ['history', event_type, 'v' || k, '2024'] END AS terms
+  CASE event_id % 3 WHEN 0 THEN [event_type, 'v' || k] WHEN 1 THEN ['changed', 'recently', event_type, 'v' || k] ELSE ['history', event_type, 'v' || k] END AS terms
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS k FROM events WHERE event_id % 20 = 0), n JOIN emb ON vec_id = event_id % n),
 vs AS (SELECT query_id, kind, id, round(list_dot_product(q.vector, i.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(i.vector, i.vector))), 6) AS score FROM q JOIN items i USING (user_id)),
 w AS (SELECT user_id, kind, id, {_WORDS} AS w FROM items), total AS (SELECT kind, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY kind), qt AS (SELECT query_id, user_id, unnest(terms) AS term FROM q),
