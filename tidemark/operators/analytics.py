@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import age_days, effective_confidence, tier_for_age
+from tidemark.operators.percentiles import exact_percentiles
 from tidemark.operators.facts import SLOT, facts_current
 
 
@@ -102,11 +103,18 @@ def webhook_stats(deliveries: DataFrame, now: Column, window_days: int = 7, most
     return out.withColumn("failure_rate", F.round(F.when(F.col("recent") > 0, F.col("recent_failures") / F.col("recent")).otherwise(0.0), 6)).drop("recent")
 
 
-def span_usage(spans: DataFrame, accuracy: int = 100_000) -> DataFrame:
-    """Calls, tokens, error rate and latency by user, model and operation, with all subtotals. Percentiles are from mergeable sketches: ranks are right to 1 in accuracy."""
-    p50, p95 = (F.round(F.percentile_approx("latency", p, accuracy), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95))
+def span_usage(spans: DataFrame) -> DataFrame:
+    """Calls, tokens, error rate and latency by user, model and operation, with all subtotals. Percentiles are exact, linear between ranks."""
+    by = ["user_id", "model", "operation"]
     rate = F.round(F.count_if(~F.col("success")) / F.count("*"), 6).alias("error_rate")
-    return spans.cube("user_id", "model", "operation").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), rate, p50, p95)
+    out = spans.cube(*by).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), rate, F.grouping_id().cast("int").alias("level"))
+    # Each row once for each set of columns that are summed over, with those null, as cube has it.
+    sets = F.explode(F.array(*map(F.lit, range(2 ** len(by))))).alias("level")
+    each = spans.select(*by, "latency", sets)
+    each = each.select("latency", "level", *(F.when(F.col("level").bitwiseAND(1 << (len(by) - 1 - n)) == 0, F.col(c)).alias(c) for n, c in enumerate(by)))
+    spent = exact_percentiles(each, [*by, "level"], "latency", {"p50": 0.5, "p95": 0.95})
+    spent = spent.select(F.struct(*by, "level").alias("g"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return out.withColumn("g", F.struct(*by, "level")).join(spent, "g", "left").select(*by, "calls", "tokens", "error_rate", "p50", "p95")
 
 
 def compression_report(vectors: DataFrame, now: Column) -> DataFrame:

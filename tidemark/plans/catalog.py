@@ -183,7 +183,7 @@ def _(spark, d):
 
 
 @query("agg17_span_usage", """WITH s AS (SELECT user_id, 'm' || (user_id % 3) AS model, event_type AS operation, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, value AS latency, event_type <> 'error' AS success FROM events)
-SELECT user_id, model, operation, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(count(*) FILTER (NOT success)::DOUBLE / count(*), 6) AS error_rate, round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.95), 6) AS p95 FROM s GROUP BY CUBE (user_id, model, operation)""")
+SELECT user_id, model, operation, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(count(*) FILTER (NOT success)::DOUBLE / count(*), 6) AS error_rate, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95 FROM s GROUP BY CUBE (user_id, model, operation)""")
 def _(spark, d):
     e = X.table(spark, d, "events")
     spans = e.select("user_id", F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("event_type").alias("operation"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("latency"), (F.col("event_type") != "error").alias("success"))
