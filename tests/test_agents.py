@@ -61,3 +61,39 @@ def test_embeddings(spark):
     df = spark.createDataFrame([("Red fox",), ("fox RED",), (None,), ("",)], "t string")
     a, b, c, d = (r.vector for r in models.embed(df, "t", models.hashing_embedder).collect())
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(c) and not any(d)
+
+
+def test_upserts_leave_other_folders_alone(spark, tmp_path):
+    """Two upserts in a row: what they don't touch keeps its files, byte by byte and name by name; a repeated batch changes no row."""
+    folder = str(tmp_path / "table")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    table = lambda: {r["id"]: r["v"] for r in exports.read_buckets(spark, folder).collect()}
+    exports.create_buckets(spark.createDataFrame([(i, "old") for i in range(300)] + [(None, "old")], "id long, v string"), ["id"], folder, 16)
+    before, want = files(), {i: "old" for i in range(300)} | {None: "old"}
+    for rows in ([(7, "x", 1), (7, "y", 2), (1000, "new", 1)], [(None, "z", 1), (8, "w", 5)]):
+        batch = spark.createDataFrame(rows, "id long, v string, seq int")
+        touched = exports.upsert_buckets(batch, ["id"], "seq", folder, 16)
+        want |= {i: v for i, v, _ in rows}
+        after = files()
+        assert table() == want and 0 < len(touched) <= 2
+        kept = {p for p in before if int(p.parent.name.split("=")[1]) not in touched}
+        assert kept and all(after[p] == before[p] for p in kept) and not any(p in after for p in before if p not in kept)
+        exports.upsert_buckets(batch, ["id"], "seq", folder, 16)
+        assert table() == want
+        before = files()
+    assert exports.upsert_buckets(batch.where("false"), ["id"], "seq", folder, 16) == [] and files() == before
+
+
+def test_signals_by_grams(spark):
+    from tidemark.operators import agents
+
+    proposals = [(1, 10, "We should deploy the service", "stable core"), (1, 11, "Don't rollback", None), (2, 20, None, None), (1, 12, "𝕏 éé ab", "")]
+    events = [(1, 1, "deployment failed"), (1, 2, "never deploy this"), (1, 3, "the core service"), (1, 4, "no"), (1, 5, None), (2, 6, "deploy"), (1, 7, "𝕏"), (1, 8, "éé"), (1, 9, "rollback rollback")]
+    found = agents.conflict_signals(spark.createDataFrame(proposals, "agent_id long, proposal_id long, proposal string, candidate_core string"), spark.createDataFrame(events, "agent_id long, event_id long, signal string")).collect()
+    want = set()
+    for agent, p, text, core in proposals:
+        about = f"{text or ''} {core or ''}".lower()
+        for other, e, signal in events:
+            if agent == other and any(len(w.encode()) > 3 and w in about for w in (signal or "").lower().split()):
+                want.add((p, e))
+    assert {(r["proposal_id"], r["event_id"]) for r in found} == want and len(found) == len(want) and {(12, 7), (12, 8)} <= want

@@ -37,16 +37,40 @@ def _any(text: Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p))
 
 
+GRAM = 4
+
+
+def _grams(chars: Column) -> Column:
+    """All parts of GRAM characters, and the shorter ones of more than three bytes, since a word of so many may have fewer characters.
+
+    chars: a column of a text's characters, not an expression that each part would compute anew.
+    """
+
+    def of(n: int) -> Column:
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(at, lambda i: F.concat(*(F.element_at(chars, i + k) for k in range(n))))
+        return parts if n == GRAM else F.filter(parts, lambda p: F.octet_length(p) > 3)
+
+    return F.array_distinct(F.concat(*(of(n) for n in range(1, GRAM + 1))))
+
+
 def conflict_signals(proposals: DataFrame, events: DataFrame) -> DataFrame:
     """(proposal_id, event_id, conflicting) of each event of the proposal's agent that shares a word of over 3 bytes with it.
 
-    A word is shared if some word of the proposal or of its candidate contains it. Null texts count as empty.
+    A word is shared if some word of the proposal or of its candidate contains it. Null texts count as empty. Words that an agent's events have
+    meet the proposals that have their first characters, by an index of these; only such pairs of a word and a proposal are
+    compared, once for all events with the word.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    about = proposals.select("agent_id", "proposal_id", low(F.col("proposal")).alias("p"), F.concat_ws(" ", low(F.col("proposal")), low(F.col("candidate_core"))).alias("about"))
-    both = about.join(events.select("agent_id", "event_id", low(F.col("signal")).alias("s")), "agent_id")
-    shared = F.exists(F.split("s", r"\s+"), lambda w: (F.octet_length(w) > 3) & F.contains(F.col("about"), w))
-    return both.where(shared).select("proposal_id", "event_id", (_any(F.col("s"), SIGNAL_NEGATIONS) != _any(F.col("p"), PROPOSAL_NEGATIONS)).alias("conflicting"))
+    about = proposals.select("agent_id", "proposal_id", _any(low(F.col("proposal")), PROPOSAL_NEGATIONS).alias("denies"), F.concat_ws(" ", low(F.col("proposal")), low(F.col("candidate_core"))).alias("about"))
+    said = events.select("agent_id", "event_id", low(F.col("signal")).alias("s"))
+    words = F.filter(F.array_distinct(F.split("s", r"\s+")), lambda w: F.octet_length(w) > 3)
+    spoken = said.select("agent_id", "event_id", _any(F.col("s"), SIGNAL_NEGATIONS).alias("negates"), F.explode(words).alias("word"))
+    index = about.select("agent_id", "proposal_id", F.split("about", "").alias("chars")).select("agent_id", "proposal_id", F.explode(_grams(F.col("chars"))).alias("gram"))
+    asked = spoken.select("agent_id", "word", F.substring("word", 1, GRAM).alias("gram")).distinct()
+    near = asked.join(index, ["agent_id", "gram"]).select("agent_id", "proposal_id", "word")
+    shared = near.join(about, ["agent_id", "proposal_id"]).where(F.contains(F.col("about"), F.col("word"))).select("agent_id", "proposal_id", "denies", "word")
+    return spoken.join(shared, ["agent_id", "word"]).select("proposal_id", "event_id", (F.col("negates") != F.col("denies")).alias("conflicting")).distinct()
 
 
 def conflict_analysis(proposals: DataFrame, events: DataFrame) -> DataFrame:

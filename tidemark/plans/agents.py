@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import models as M
@@ -9,6 +11,7 @@ from tidemark.operators import agents as A
 from tidemark.plans.registry import NOW, query
 from tidemark.sources import exports
 from tidemark.sources import fixtures as X
+from tidemark.sources.shared import shared_folder
 
 
 def _list(values: list[str]) -> str:
@@ -61,12 +64,34 @@ def _(spark, d):
     return a.select("edge_id", "root", A.allowlist_proof_ok(F.col("label"), F.col("siblings"), told).alias("ok"))
 
 
-@query("snk1_merge_upsert", f"""WITH {X.ASSERTIONS_SQL}, b AS (SELECT user_id, label, arg_max(confidence, edge_id) AS confidence FROM assertions WHERE edge_id % 3 = 0 GROUP BY ALL),
-t AS (SELECT user_id, label, max(confidence) + 1 AS confidence FROM assertions WHERE edge_id % 2 = 0 GROUP BY ALL) SELECT user_id, label, round(confidence, 6) AS confidence FROM (SELECT * FROM b UNION ALL SELECT * FROM t ANTI JOIN b USING (user_id, label))""")
-def _(spark, d):
+_UPSERT = f"""WITH {X.ASSERTIONS_SQL}, b AS (SELECT user_id, label, edge_id % 3 AS turn, arg_max(confidence, edge_id) AS confidence FROM assertions WHERE edge_id % 3 < 2 GROUP BY ALL),
+t AS (SELECT user_id, label, max(confidence) + 1 AS confidence, -1 AS turn FROM assertions GROUP BY user_id, label)
+SELECT user_id, label, round(arg_max(confidence, turn), 6) AS confidence FROM (SELECT user_id, label, turn, confidence FROM b UNION ALL SELECT user_id, label, turn, confidence FROM t) GROUP BY user_id, label"""
+
+
+def _turns(spark, d):
+    """What all assertions say by user and label, and two batches of them."""
     a = X.assertions(spark, d).select("edge_id", "user_id", "label", "confidence")
-    target = a.where("edge_id % 2 = 0").groupBy("user_id", "label").agg((F.max("confidence") + 1).alias("confidence"))
-    return exports.merge_upsert(target, a.where("edge_id % 3 = 0"), ["user_id", "label"], "edge_id").withColumn("confidence", F.round("confidence", 6))
+    return a.groupBy("user_id", "label").agg((F.max("confidence") + 1).alias("confidence")), a.where("edge_id % 3 = 0"), a.where("edge_id % 3 = 1")
+
+
+@query("snk1_merge_upsert", _UPSERT)
+def _(spark, d):
+    target, *batches = _turns(spark, d)
+    for batch in batches:
+        target = exports.merge_upsert(target, batch, ["user_id", "label"], "edge_id")
+    return target.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("snk1_bucket_upsert", _UPSERT)
+def _(spark, d):
+    """The same into files, of which each batch rewrites only the folders that it touches."""
+    folder = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    target, *batches = _turns(spark, d)
+    exports.create_buckets(target, ["user_id", "label"], folder, 16)
+    for batch in batches:
+        exports.upsert_buckets(batch, ["user_id", "label"], "edge_id", folder, 16)
+    return exports.read_buckets(spark, folder).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("snk3_evidence_bundle", f"""WITH {X.ASSERTIONS_SQL} SELECT user_id AS subject, CAST(to_json(struct_pack(subject := user_id, facts := coalesce(list(struct_pack(id := edge_id, detail := fact) ORDER BY edge_id) FILTER (scope <> 'stable'), []),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_folder
+
 
 def merge_upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     """target with the rows of batch put in place of those of the same keys; of a key's rows in batch the one last in `order` counts.
@@ -26,6 +30,39 @@ def upsert_files(target: DataFrame, batch: DataFrame, keys: list[str], order: st
     return target.sparkSession.read.schema(target.schema).parquet(path)
 
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def create_buckets(target: DataFrame, keys: list[str], folder: str, buckets: int = 64) -> None:
+    """target as a table in folders by the hash of its keys, for upsert_buckets."""
+    target.select("*", _bucket(keys, buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+
+
+def read_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).drop("bucket")
+
+
+def upsert_buckets(batch: DataFrame, keys: list[str], order: str, folder: str, buckets: int = 64) -> list[int]:
+    """merge_upsert into the table in folder, of which only the folders that batch touches are read and written; returns those.
+
+    What they will hold is written beside the table first, then put in place by an overwrite of just these partitions. A batch that is
+    repeated, as foreachBatch may, changes nothing. Null keys are a key like any other.
+    """
+    spark = batch.sparkSession
+    table = spark.read.parquet(folder)
+    batch = batch.select(*[c for c in table.columns if c != "bucket"], *([] if order in table.columns else [order]))
+    touched = sorted(r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect())
+    if not touched:
+        return touched
+    held = table.where(F.col("bucket").isin(touched)).drop("bucket")
+    staged = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    merge_upsert(held, batch, keys, order).write.parquet(staged)
+    merged = spark.read.schema(held.schema).parquet(staged).select("*", _bucket(keys, buckets)).hint("rebalance", "bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return touched
+
+
 def _section(name: str) -> Column:
     mine = F.filter("rows", lambda r: r["section"] == name)
     return F.transform(mine, lambda r: F.struct(r["id"].alias("id"), r["detail"].alias("detail"))).alias(name)
