@@ -204,21 +204,34 @@ def contradictions(facts: DataFrame, horizon: Column, bucket_days: int = 7) -> D
     begun = clean.withColumn("bucket", _bucket(F.col("valid_at"), bucket_days)).select(*keys, *(F.col(c).alias(f"new_{c}") for c in fields))
     left, right = dealt(begun, spans, keys, "new_edge_id", "edge_id", FACTS_OF_A_PART, FACTS_OF_A_PART)
 
+    parts = [*keys, "part", "turn"]
+    # Small parts share a task's call: about FACTS_OF_A_PART facts go into one.
+    call = F.pmod(F.xxhash64(*parts), F.lit(max(1, clean.count() // FACTS_OF_A_PART))).alias("call")
+    unit = F.to_json(F.struct(*parts)).alias("unit")
+    left = left.select(call, unit, "user_id", "label", *(f"new_{c}" for c in fields))
+    right = right.select(call, unit, *fields)
+
     def meet(new: pa.Table, held: pa.Table) -> pa.Table:
-        who = new.column("new_edge_id").to_pylist()
-        both = {i: (s, e, o) for t, p in ((held, ""), (new, "new_")) for i, s, e, o in zip(*(t.column(p + c).to_pylist() for c in ("edge_id", "start", "stop", "object")), strict=True)}
-        others, ids = set(held.column("edge_id").to_pylist()), list(both)
-        low, high = sweep(ids, *([both[i][k] for i in ids] for k in range(3)), set(who))
-        # A pair of two beginners is given out where the earlier one is dealt.
-        kept = [(a, b) for a, b in zip(low, high, strict=True) if (a if (both[a][0], a) < (both[b][0], b) else b) in others]
-        of = {i: n for n, i in enumerate(who)}
-        rows = pa.array([of[a if (both[a][0], a) > (both[b][0], b) else b] for a, b in kept], pa.int64())
-        return pa.table({"user_id": new.column("user_id").take(rows), "label": new.column("label").take(rows), "id1": pa.array([a for a, _ in kept], pa.int64()), "id2": pa.array([b for _, b in kept], pa.int64())})
+        units: dict[str, tuple[dict, set, set]] = {}
+        for table, prefix, which in ((held, "", 0), (new, "new_", 1)):
+            for u, ident, start, stop, name in zip(*(table.column(c).to_pylist() for c in ("unit", *(prefix + f for f in ("edge_id", "start", "stop", "object")))), strict=True):
+                both, *sides = units.setdefault(u, ({}, set(), set()))
+                both[ident] = (start, stop, name)
+                sides[which].add(ident)
+        place = {x: n for n, x in enumerate(zip(new.column("unit").to_pylist(), new.column("new_edge_id").to_pylist(), strict=True))}
+        rows, pairs = [], []
+        for u, (both, others, beginners) in units.items():
+            ids = list(both)
+            for a, b in zip(*sweep(ids, *([both[i][k] for i in ids] for k in range(3)), beginners), strict=True):
+                early, late = (a, b) if (both[a][0], a) < (both[b][0], b) else (b, a)
+                if early in others:  # else both begin here, and the pair is given out where the earlier one is dealt
+                    rows.append(place[u, late])
+                    pairs.append((a, b))
+        slots = new.take(pa.array(rows, pa.int64()))
+        return pa.table({"user_id": slots.column("user_id"), "label": slots.column("label"), "id1": pa.array([a for a, _ in pairs], pa.int64()), "id2": pa.array([b for _, b in pairs], pa.int64())})
 
-    parts = [*keys, "part", "turn"]
     kinds = {f.name: f.dataType.simpleString() for f in facts.schema.fields}
-    shape = f"user_id {kinds['user_id']}, label {kinds['label']}, id1 long, id2 long"
-    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInArrow(meet, shape)
+    return left.groupBy("call").cogroup(right.groupBy("call")).applyInArrow(meet, f"user_id {kinds['user_id']}, label {kinds['label']}, id1 long, id2 long")
 
 
 def edge_reinforcement(accesses: DataFrame) -> DataFrame:

@@ -12,11 +12,10 @@ from tidemark.sources.shared import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df through a reliable checkpoint in the folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df as a table in the folder that the session names: it is computed once, no lost executor costs it, and its size is known to what reads it."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Nodes of more links than this are hubs; there are at most two edges for HUB times their number, so a table of them may be broadcast.

@@ -28,6 +28,21 @@ def _share(bins: int) -> Column:
     return F.when(many, between(_magnitude)).otherwise(between(lambda x: x / 2))
 
 
+def _sorted(known: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """The percentiles of (g, v) where every group may be sorted as it is: nothing is counted, and one shuffle does."""
+    counts = ~F.isnan("v") & F.col("v").isNotNull()
+    every = W.partitionBy("g", "counts")
+    ranked = known.withColumn("counts", counts).withColumns({"k": F.row_number().over(every.orderBy("v")) - 1, "n": F.count("*").over(every)})
+
+    def at(share: float) -> Column:
+        r = F.lit(float(share)) * (F.col("n") - 1)
+        pick = lambda rank: F.max(F.when(F.col("counts") & (F.col("k") == rank), F.col("v")))
+        part = F.max(F.when(F.col("counts"), r - F.floor(r)))
+        return pick(F.floor(r)) + (pick(F.ceil(r)) - pick(F.floor(r))) * part
+
+    return ranked.groupBy("g").agg(*(at(p).alias(n) for n, p in shares.items()))
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = BINS, few: int = FEW) -> DataFrame:
     """keys and a column for each of shares (name: share from 0 to 1): percentiles of value, linear between neighbouring ranks.
 
@@ -35,10 +50,14 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
 
     A rank is sought by its range of values: the range is cut into `bins` parts, which are counted (partial counts meet, not
     values), and the part that holds the rank is the next range, with the least and the greatest value in it. Once it holds `few` values or one value
-    only, those are sorted. So no task sees a group's values together, and ranks are exact.
+    only, those are sorted. Where no group has more than `few` values, all are sorted at once. So no task sees a group's values together, and ranks are exact.
     """
     group = F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)))
-    known = cut(rows.select(group.alias("g"), F.col(value).cast("double").alias("v")))
+    known = rows.select(group.alias("g"), F.col(value).cast("double").alias("v"))
+    largest = known.where("v is not null and not isnan(v)").groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    if largest <= few:
+        return _sorted(known, shares).select(*(F.col(f"g.k{n}").alias(k) for n, k in enumerate(keys)), *shares)
+    known = cut(known)
     numbers = known.where("v is not null and not isnan(v)")
     sizes = cut(known.groupBy("g").agg(*(f(F.when(~F.isnan("v"), F.col("v"))).alias(n) for f, n in ((F.count, "size"), (F.min, "lo"), (F.max, "hi")))))
     ranks = F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("size") - 1)).alias("r")) for n, p in shares.items()))
