@@ -11,6 +11,9 @@
    (width + 1) / 2 words; every window holds one of them whole, and around a block that is found the
    windows are compared word for word. Words under windows found so go; without the automaton none would.
 
+A shard that turns out too large is cut within its task by the anchors of another hash, and so on, so what
+automata and sets of windows hold is bounded whatever one anchor brings along.
+
 Segments of an anchor with more than FEW of them and more than one in HOT of all could overfill a shard.
 Their windows are counted by 128-bit hashes instead; those that occur once are located by the
 aggregate itself, all others go. So a passage that a third of the documents hold collapses before the
@@ -39,6 +42,8 @@ WIDTH = 35
 GRAM = 8
 #: Text of the segments of one shard, about; what is built from it takes some twenty times as much memory.
 SHARD_BYTES = 4 << 20
+#: A shard may turn out larger, by chance or by one frequent anchor; beyond so many times SHARD_BYTES it is cut by further anchors, CUTS deep at most.
+LARGE, CUTS = 8, 4
 #: Bytes of a segment, about.
 SEGMENT_BYTES = 280
 HOT = 1 << 20
@@ -60,11 +65,13 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """The windows of the texts of a slice: word positions, runs of neighbours with one anchor, and the runs' texts and anchors."""
 
-    def __init__(self, parts: _text.Words, width: int) -> None:
+    def __init__(self, parts: _text.Words, width: int, cut: int = 0) -> None:
+        """cut: which of several independent hashes names the anchor."""
         self.at = self.run = self.first = np.zeros(0, dtype=np.int64)
         self.anchor = np.zeros(0, dtype=np.uint64)
         if len(parts.hash) >= width:
             self.at, grams = np.flatnonzero(parts.whole(width)), parts.grams(GRAM)
+            grams = _text.mix(grams ^ np.uint64(cut)) if cut else grams
             if len(self.at):
                 place = sliding_argmin(grams, width - GRAM + 1)[self.at]
                 new = np.append(True, (np.diff(place) != 0) | (np.diff(self.at) != 1))
@@ -218,8 +225,33 @@ class Passages:
         return out
 
 
-def _located(rows: list[tuple], width: int) -> pa.RecordBatch:
+def _cuts(rows: list[tuple], width: int, cut: int, n: int) -> Iterator[list[tuple]]:
+    """The segments of a shard in n parts, one after another, by the anchor of another hash; equal windows fall to one part."""
+    for which in range(n):
+        out = []
+        for some in range(0, len(rows), 4096):
+            batch = rows[some : some + 4096]
+            data = np.frombuffer(b"".join(text for *_, text in batch), dtype=np.uint8)
+            parts = _text.words(data, np.cumsum([0, *(len(text) for *_, text in batch)]))
+            windows = Windows(parts, width, cut)
+            runs = np.flatnonzero(windows.anchor % np.uint64(n) == which)
+            a, b = windows.at[windows.first[runs]], windows.at[np.append(windows.first[1:], len(windows.at))[runs] - 1] + width - 1
+            low, high, doc = parts.start[a].tolist(), parts.end[b].tolist(), windows.doc[runs].tolist()
+            text, before = data.tobytes(), parts.bounds[windows.doc[runs]]
+            for d, skip, x, y in zip(doc, (a - before).tolist(), low, high, strict=True):
+                key, check, pos, _ = batch[d]
+                out.append((key, check, pos + skip, text[x:y]))
+        if out:
+            yield out
+
+
+def _located(rows: list[tuple], width: int, most: int, cut: int = 1) -> Iterator[pa.RecordBatch]:
     """(key, check, first, last) of the words under recurring windows, from the segments (key, check, pos, text) of a shard."""
+    size = sum(len(text) for *_, text in rows)
+    if size > most and cut <= CUTS:
+        for part in _cuts(rows, width, cut, -(-2 * size // most)):
+            yield from _located(part, width, most, cut + 1)
+        return
     passages = Passages(width)
     lines = [passages.spelled(text) for *_, text in rows]
     for line in lines:
@@ -227,10 +259,10 @@ def _located(rows: list[tuple], width: int) -> pa.RecordBatch:
     passages.compile()
     found = [(key, check, pos + a, pos + b) for (key, check, pos, _), line in zip(rows, lines, strict=True) for a, b in passages.covered(line)]
     key, check, first, last = zip(*found, strict=True) if found else ((), (), (), ())
-    return _batch(key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), first=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()))
+    yield _batch(key=pa.array(key, pa.int64()), check=pa.array(check, pa.int64()), first=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()))
 
 
-def _locate(width: int):
+def _locate(width: int, most: int):
     """What _located finds, shard by shard; rows come in order of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +271,11 @@ def _locate(width: int):
             for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     if rows:
-                        yield _located(rows, width)
+                        yield from _located(rows, width, most)
                     shard, rows = s, []
                 rows.append(row)
         if rows:
-            yield _located(rows, width)
+            yield from _located(rows, width, most)
 
     return run
 
@@ -304,7 +336,7 @@ def drop_repeated_phrases(docs: DataFrame, width: int = WIDTH, with_text: bool =
     single = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
     single = single.groupBy("key").agg(F.collect_list(F.col("h1").bitwiseXOR(F.col("h2"))).alias("single"))
     parts = marked.mapInArrow(_emit_segments(width, shards, sent), "shard int, key long, check long, pos int, text binary")
-    found = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_locate(width), "key long, check long, first int, last int")
+    found = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_locate(width, LARGE * shard_bytes), "key long, check long, first int, last int")
     gone = found.groupBy("key").agg(F.collect_list(F.struct("check", "first", "last")).alias("gone"))
     out = marked.join(single.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left").select(*every, "lone", "single", "gone")
     out = out.mapInArrow(_emit_kept(width, sent), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
