@@ -72,8 +72,16 @@ def test_automata_locate_what_recurs():
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     shared = text(50)
     rows = [(n, 0, 10 * n, " ".join(t).encode()) for n, t in enumerate([text(20) + shared + text(9), text(60), text(3) + shared[5:45] + text(8), text(34)])]
-    found = sorted(map(tuple, phrases._located(rows, 35).to_pandas()[["key", "first", "last"]].to_numpy().tolist()))
-    assert found == [(0, 25, 65), (2, 23, 63)]
+
+    def located(rows, most=1 << 20):
+        return sorted({(b["key"], n) for part in phrases._located(rows, 35, most) for b in part.to_pylist() for n in range(b["first"], b["last"])})
+
+    want = [(0, n) for n in range(25, 65)] + [(2, n) for n in range(23, 63)]
+    assert located(rows) == want
+    assert located(rows, 100) == want  # a shard that is too large is cut by further anchors
+    assert located(rows, 1) == want  # what can't be cut is done as a whole
+    same = [(n, 0, 0, " ".join(shared).encode()) for n in range(30)]
+    assert located(same, 2000) == [(n, k) for n in range(30) for k in range(50)]
 
     class NoAutomaton(phrases.Passages):
         def compile(self):
@@ -83,7 +91,7 @@ def test_automata_locate_what_recurs():
     whole = phrases.Passages
     try:
         phrases.Passages = NoAutomaton
-        assert phrases._located(rows, 35).num_rows == 0
+        assert not located(rows)
     finally:
         phrases.Passages = whole
 
@@ -168,6 +176,39 @@ def test_twins_in_a_dense_family(spark):
     assert found == {n: find(n) for n in range(len(rows))} and len(set(found.values())) < len(rows) - 100
 
 
+def test_a_family_below_the_threshold_is_not_compared_in_full(spark):
+    """Of 400 texts with four edits each nearly all pairs stay under the threshold; every pair that reaches it is listed, and of all others under one in 25."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for n in range(400):
+        row = list(rows[rng.randrange(n)] if n % 10 == 9 else base)
+        for at in rng.sample(range(200), 1 if n % 10 == 9 else 4):
+            row[at] = f"own{n}x{at}"
+        rows.append(row)
+    sets = [set(zip(r, r[1:], r[2:])) for r in rows]
+    want = {(a, b) for b in range(400) for a in range(b) for both in [len(sets[a] & sets[b])] if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)}
+    texts = spark.createDataFrame([(n, " ".join(r)) for n, r in enumerate(rows)], "node long, text string")
+    pairs = near._exact_pairs(texts.select("node", texts["node"].alias("c")), texts, 3, 85)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert want and want <= found and len(found) < len(rows) * (len(rows) - 1) / 2 / 25
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_sketches_never_exceed_the_difference(percent):
+    """Bits in which two sketches differ are no more than the shingles in which their texts do."""
+    rng = random.Random(percent)
+    base = [f"t{i}" for i in range(120)]
+    rows = [" ".join(f"e{rng.random()}" if rng.random() < 0.04 else w for w in base[: rng.randrange(1, 121)]) for _ in range(60)] + [""]
+    grams, bounds = near.shingle_sets(*near._text.utf8(near.pa.array(rows)), 3)
+    bits = near.parities(grams, np.repeat(np.arange(len(rows)), np.diff(bounds)), len(rows)).view(np.uint64)
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = (set(grams[bounds[n] : bounds[n + 1]].tolist()) for n in (a, b))
+            unlike = int(np.bitwise_count(bits[a] ^ bits[b]).sum())
+            assert unlike <= len(x ^ y) and (unlike - len(x ^ y)) % 2 == 0
+
+
 def test_components_of_a_path(spark):
     found = near.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()
     assert {r["id"] for r in found} == set(range(31)) and {r["component"] for r in found} == {0}
@@ -245,6 +286,20 @@ def test_secret_ledger_grows_by_unseen_blobs_only(spark, tmp_path):
     assert secrets.read_ledger(spark, path).count() == 7
 
 
+@pytest.mark.parametrize("files", [1, 6])
+def test_repeated_rows_are_one_blob(spark, tmp_path, files):
+    """However often a row comes again, its text is scanned once; with few new blobs too, where a filter comes first."""
+    path, kind = str(tmp_path / "ledger"), "path string, text string"
+    rows = [(None, "token=abcdefgh")] * 40 + [("x", "other")]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, kind).repartition(files), path).collect()
+    assert len(found) == 41 and sum(r["n_assign"] for r in found) == 40
+    assert secrets.read_ledger(spark, path).count() == 2
+    rows += [(None, "secret: 123456789")] * 5
+    found = secrets.scan_secrets(spark.createDataFrame(rows, kind).repartition(files), path).collect()
+    assert len(found) == 46 and sum(r["n_assign"] for r in found) == 45
+    assert secrets.read_ledger(spark, path).count() == 3
+
+
 def test_secrets_against_brute_force(spark, tmp_path):
     """By the letter: runs of characters, one after another, without the operator's patterns."""
     rng = random.Random(12)

@@ -2,7 +2,7 @@
 
 A blob is a text named by its SHA-256. The ledger is a table with one row for each pair of blob and
 rule version that has been scanned; a scan reads only the texts of pairs that it lacks, one text for
-each blob however many paths hold it, appends what it finds, and joins findings back to all paths.
+each blob however many paths and repeated rows hold it, appends what it finds, and joins findings back to all paths.
 Where few blobs are new, a Bloom filter of those keeps the texts of all others from being shuffled.
 
 A null text counts as empty. Rows are never merged: repeated rows and rows without an id each get
@@ -75,22 +75,22 @@ def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RUL
     """
     spark = versions.sparkSession
     named = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    # One path per blob is elected from hashes alone; texts move only for the elected.
-    paths = named.select("path", "blob", F.xxhash64("path", "blob").alias("row"))
-    todo = paths.groupBy("blob").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    paths = named.select("path", "blob")
+    todo = paths.groupBy("blob").agg(F.count("*").alias("n"))
     known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob")
     todo = written(todo.join(known, "blob", "left_anti"), "unseen-blobs")
-    texts = named.select(F.xxhash64("path", "blob").alias("row"), "blob", "text")
+    texts = named.select("blob", "text")
     count = todo.agg(F.count("*").alias("new"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if count["new"] and FEW_NEW * count["rows"] < paths.count():
         bits = min(MAX_BITS, max(64, 10 * count["new"]))
         level = Level(bits, 0)
         level.arrays = written(bit_arrays(todo.select(F.lit(0).alias("shard"), F.col("blob").alias("key")), level, 1), "unseen-filter")
         texts = texts.where(level.has(F.col("blob"), 0))
-    texts = texts.join(todo.select("row", "blob").hint("shuffle_hash"), ["row", "blob"], "left_semi")
+    # Equal texts shrink to one in each task before the shuffle, so a blob in a third of all rows is no hot key.
+    texts = texts.dropDuplicates(["blob"]).join(todo.select("blob").hint("shuffle_hash"), "blob", "left_semi")
     work = texts.select("blob", F.lit(rule_version).alias("rule_version"), "text")
     work.mapInPandas(_scan, LEDGER).write.mode("append").parquet(ledger_path)
-    return paths.select("path", "blob")
+    return paths
 
 
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
 def scan_secrets(versions: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, findings...) for every row of `versions` (path, text)."""
     paths = update_ledger(versions, ledger_path, rule_version)
-    # Repeated rows elect the same row, so a blob may be scanned twice: its findings are equal.
+    # A task that is run twice, or a call that failed, may leave a blob in the ledger twice: its findings are equal.
     found = read_ledger(versions.sparkSession, ledger_path).where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
     found = written(found, "findings")  # so that the join below can split a blob with many paths
     return paths.join(found, "blob")
