@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,21 +45,26 @@ def merge_maps(deltas: DataFrame) -> DataFrame:
     return out.where(~F.col("last.deleted")).select("resource", "field", F.col("last.value").alias("value"))
 
 
-def _latest(items: DataFrame) -> DataFrame:
+def latest(items: DataFrame) -> DataFrame:
+    """The row of each key with the latest (wall, counter, node); of equal stamps the largest value."""
     last = F.max(F.struct("wall", "counter", "node", "value"))
     return items.groupBy("key").agg(last.alias("last")).select("key", "last.*")
 
 
+def key_prefix(size: int) -> Column:
+    return F.substring(F.sha2("key", 256), 1, size)
+
+
 def prefix_digests(items: DataFrame, size: int = 2) -> DataFrame:
     """(prefix, digest): for each beginning of the keys' hashes a sum of row hashes, which any order of merging leaves the same."""
-    prefix = F.substring(F.sha2("key", 256), 1, size)
+    prefix = key_prefix(size)
     row = F.conv(F.substring(F.sha2(F.concat_ws("|", "key", "wall", "counter", "node", "value"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return items.groupBy(prefix.alias("prefix")).agg(F.sum(row).alias("digest"))
 
 
 def anti_entropy(local: DataFrame, remote: DataFrame, size: int = 2) -> DataFrame:
     """The merged state (key, wall, counter, node, value) of two replicas. Only remote rows under prefixes whose digests differ are fetched."""
-    mine, theirs = _latest(local), _latest(remote)
+    mine, theirs = latest(local), latest(remote)
     differ = prefix_digests(mine, size).toDF("prefix", "d1").join(prefix_digests(theirs, size).toDF("prefix", "d2"), "prefix", "full").where(~F.col("d1").eqNullSafe(F.col("d2"))).select("prefix")
-    fetched = theirs.withColumn("prefix", F.substring(F.sha2("key", 256), 1, size)).join(differ, "prefix", "left_semi").drop("prefix")
-    return _latest(mine.unionByName(fetched))
+    fetched = theirs.withColumn("prefix", key_prefix(size)).join(differ, "prefix", "left_semi").drop("prefix")
+    return latest(mine.unionByName(fetched))

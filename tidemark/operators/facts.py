@@ -163,6 +163,24 @@ def change_events(facts: DataFrame, episodes: DataFrame, start: Column, end: Col
     return out.unionByName(part(episodes.where(inside("created_at")), "episode_added", "episode_id"))
 
 
+# How a user's changes are named in the summary line, in its order.
+CHANGES = {"fact_added": "added facts", "fact_superseded": "superseded facts", "confidence_shifted": "confidence deltas", "head_advanced": "head changes", "episode_added": "added episodes"}
+
+
+def change_report(facts: DataFrame, episodes: DataFrame, start: str, end: str) -> DataFrame:
+    """(user_id, change, id, delta, summary): the change_events of (start, end] as one list, and a row `summary` of each user who has any, with a line that counts them by kind.
+
+    An end that is not after the start is an error. Users without changes have no rows.
+    """
+    if end <= start:
+        raise ValueError("the end must lie after the start")
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    events = change_events(facts, episodes, lo, hi)
+    counted = F.concat_ws(", ", *[F.format_string(f"%d {told}", F.count_if(F.col("change") == name)) for name, told in CHANGES.items()])
+    lines = events.groupBy("user_id").agg(counted.alias("summary")).withColumn("change", F.lit("summary"))
+    return events.unionByName(lines, allowMissingColumns=True)
+
+
 def sweep(ids: list[int], starts: list[int], ends: list[int | None], objects: list[str], beginners: set[int]) -> tuple[list[int], list[int]]:
     """Pairs of intervals [start, end) with different objects of which one is a beginner that starts while the other is active.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import extraction as E
@@ -12,7 +14,10 @@ from tidemark.operators import vectors as V
 from tidemark.plans.registry import age, query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import at
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import read_table
+from tidemark.streaming import replicas
+from tidemark.streaming.windows import in_any_order
 
 
 @query("src1_read_table", "SELECT event_id, user_id, event_type, ts, value, CAST(0 AS BIGINT) AS attempts, false AS delivered, false AS dead_letter, CAST(1 AS INTEGER) AS classification FROM events")
@@ -109,10 +114,32 @@ def _(spark, d):
 _ITEMS = "i AS (SELECT 'u' || user_id || ':' || event_type AS key, event_type, 'n' || (event_id % 3) AS node, epoch_us(ts) // 1000 AS wall, event_id % 5 AS counter, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value, event_id FROM events)"
 
 
-@query("str15_anti_entropy", f"""WITH {_ITEMS}, m AS (SELECT event_id % 2 AS side, key, max((wall, counter, node, value)) AS top FROM i GROUP BY ALL),
-a AS (SELECT key, max(top) AS top FROM m GROUP BY key) SELECT key, top[1] AS wall, top[2] AS counter, top[3] AS node, top[4] AS value FROM a""".replace("top[1]", "struct_extract_at(top, 1)").replace("top[2]", "struct_extract_at(top, 2)").replace("top[3]", "struct_extract_at(top, 3)").replace("top[4]", "struct_extract_at(top, 4)"))
-def _(spark, d):
+def _field(sql: str) -> str:
+    for i in range(1, 5):
+        sql = sql.replace(f"top[{i}]", f"struct_extract_at(top, {i})")
+    return sql
+
+
+_MERGED = _field(f"""WITH {_ITEMS}, m AS (SELECT event_id % 2 AS side, key, max((wall, counter, node, value)) AS top FROM i GROUP BY ALL),
+a AS (SELECT key, max(top) AS top FROM m GROUP BY key) SELECT key, top[1] AS wall, top[2] AS counter, top[3] AS node, top[4] AS value FROM a""")
+
+
+def _replicas(spark, d):
     e = X.table(spark, d, "events")
     rows = e.select(F.concat(F.lit("u"), "user_id", F.lit(":"), "event_type").alias("key"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node"), F.unix_millis(F.col("ts").cast("timestamp")).alias("wall"), (F.col("event_id") % 5).alias("counter"), F.get_json_object("props", "$.k").cast("long").alias("value"), "event_id")
-    local, remote = rows.where("event_id % 2 = 0").drop("event_id"), rows.where("event_id % 2 = 1").drop("event_id")
-    return crdt.anti_entropy(local, remote)
+    return rows.where("event_id % 2 = 0").drop("event_id"), rows.where("event_id % 2 = 1").drop("event_id")
+
+
+@query("str15_anti_entropy", _MERGED)
+def _(spark, d):
+    return crdt.anti_entropy(*_replicas(spark, d))
+
+
+@query("str15_stream_anti_entropy", _MERGED)
+def _(spark, d):
+    """The same of a stored replica, to which the other one's rows come as a stream in no order of time."""
+    local, remote = _replicas(spark, d)
+    folder = f"{shared_folder(spark)}/replica-{uuid.uuid4().hex}"
+    replicas.create_replica(local, folder, 1)
+    replicas.stream_anti_entropy(in_any_order(remote, "wall"), folder, f"{folder}-state", 1)
+    return replicas.read_replica(spark, folder)

@@ -103,7 +103,12 @@ def _(spark, d):
     return M.hyperbolic_rerank(found).select("query_id", "id", "score")
 
 
-@query("fus2_mmr")
+@query("fus2_mmr", f"""WITH RECURSIVE {_PAIRS}, s AS (SELECT query_id, id, round({_COS.format('q', 'v')}, 6) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM s),
+t AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0.0 END AS rel FROM r WHERE rn <= 10),
+c AS (SELECT DISTINCT query_id, 0 AS pick, CAST(-1 AS BIGINT) AS id, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[]) AS rels FROM t
+UNION ALL SELECT query_id, pick + 1, id, list_append(ids, id), list_append(rels, rel) FROM (SELECT c.query_id, c.pick, c.ids, c.rels, CAST(t.id AS BIGINT) AS id, t.rel,
+row_number() OVER (PARTITION BY c.query_id ORDER BY round(0.7::DOUBLE * t.rel - 0.3::DOUBLE * coalesce(list_max(list_transform(c.rels, lambda x: 1 - abs(t.rel - x))), 0.0), 9) DESC, t.id) AS place
+FROM c JOIN t ON c.query_id = t.query_id WHERE c.pick < 5 AND NOT list_contains(c.ids, CAST(t.id AS BIGINT))) WHERE place = 1) SELECT query_id, id, CAST(pick AS INTEGER) AS pick FROM c WHERE pick > 0""")
 def _(spark, d):
     return M.mmr(_top(spark, d, 10), 5)
 

@@ -129,13 +129,23 @@ def _(spark, d):
     return U.replay(sent, sent.select("webhook_id").distinct().withColumn("after_id", F.lit(200)), 4, delivered=None, dead_letter=True).select("webhook_id", "delivery_id", "rank")
 
 
+_CHANGES = f"""SELECT 'fact_added' AS change, CAST(user_id AS BIGINT) AS user_id, edge_id AS id, CAST(NULL AS DOUBLE) AS delta FROM facts WHERE ingested_at > {T1} AND ingested_at <= {T2} UNION ALL SELECT 'fact_superseded', user_id, edge_id, NULL FROM facts WHERE invalid_at > {T1} AND invalid_at <= {T2}
+UNION ALL SELECT 'confidence_shifted', user_id, edge_id, shift FROM s WHERE ingested_at > {T1} AND ingested_at <= {T2} AND shift <> 0 UNION ALL SELECT c, user_id, episode_id, NULL FROM episodes, (VALUES ('head_advanced'), ('episode_added')) v(c) WHERE created_at > {T1} AND created_at <= {T2}"""
+
+
 @query("set2_change_events", f"""WITH {X.FACTS_SQL}, {X.EPISODES_SQL}, s AS (SELECT *, round(confidence - lag(confidence) OVER (PARTITION BY user_id, source, label ORDER BY ingested_at, edge_id), 6) AS shift FROM facts)
-SELECT 'fact_added' AS change, CAST(user_id AS BIGINT) AS user_id, edge_id AS id, CAST(NULL AS DOUBLE) AS delta FROM facts WHERE ingested_at > {T1} AND ingested_at <= {T2} UNION ALL SELECT 'fact_superseded', user_id, edge_id, NULL FROM facts WHERE invalid_at > {T1} AND invalid_at <= {T2}
-UNION ALL SELECT 'confidence_shifted', user_id, edge_id, shift FROM s WHERE ingested_at > {T1} AND ingested_at <= {T2} AND shift <> 0 UNION ALL SELECT c, user_id, episode_id, NULL FROM episodes, (VALUES ('head_advanced'), ('episode_added')) v(c) WHERE created_at > {T1} AND created_at <= {T2}""")
+{_CHANGES}""")
 def _(spark, d):
     return K.change_events(X.facts(spark, d), X.episodes(spark, d), at(X.T1), at(X.T2))
 
 
+@query("set2_change_report", f"""WITH {X.FACTS_SQL}, {X.EPISODES_SQL}, s AS (SELECT *, round(confidence - lag(confidence) OVER (PARTITION BY user_id, source, label ORDER BY ingested_at, edge_id), 6) AS shift FROM facts), e AS ({_CHANGES})
+SELECT *, CAST(NULL AS VARCHAR) AS summary FROM e UNION ALL SELECT 'summary', user_id, NULL, NULL, count(*) FILTER (change = 'fact_added') || ' added facts, ' || count(*) FILTER (change = 'fact_superseded') || ' superseded facts, '
+|| count(*) FILTER (change = 'confidence_shifted') || ' confidence deltas, ' || count(*) FILTER (change = 'head_advanced') || ' head changes, ' || count(*) FILTER (change = 'episode_added') || ' added episodes' FROM e GROUP BY user_id""")
+def _(spark, d):
+    return K.change_report(X.facts(spark, d), X.episodes(spark, d), X.T1, X.T2)
+
+
 @query("snk4_purge_sessions", f"WITH {X.EPISODES_SQL} SELECT 'episodes' AS \"table\", count(*) AS removed FROM episodes WHERE session_id % 3 = 0")
 def _(spark, d):
     said = X.episodes(spark, d)
