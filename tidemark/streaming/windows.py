@@ -11,10 +11,12 @@ from tidemark.functions.scalars import episode_backoff_ms
 from tidemark.sources.shared import shared_folder
 
 
-def stream_files(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
-    """A stream of the parquet files of a folder whose names fit, with the schema that they have."""
-    schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
+def stream_files(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of a table of a folder, a parquet file or a folder of such files, with the schema that it has; all files are one batch unless a batch has fewer."""
+    path = f"{folder.rstrip('/')}/{name}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    # As a pattern, since a stream takes no path of one file.
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def in_any_order(df: DataFrame, key: str, turns: int = 3) -> DataFrame:
