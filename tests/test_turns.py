@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.plans.catalog import QUERIES
+from tidemark.streaming import stateful as V
 from tidemark.streaming import windows as Z
 
 DATA = "/root/testdata/sf0.001"
@@ -13,3 +14,11 @@ def test_a_stream_reads_a_table_of_many_files(spark, tmp_path):
     spark.read.parquet(f"{DATA}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     found = [sorted(map(tuple, QUERIES["str3_stream_heads"](spark, d).collect())) for d in (DATA, str(tmp_path))]
     assert found[0] and found[0] == found[1]
+
+
+def test_turns_of_many_files_come_in_order(spark):
+    """Each turn is one batch, however many files it has, so that a breaker sees deliveries in their order."""
+    table = spark.range(3000).select((F.col("id") % 7).alias("webhook_id"), F.col("id").alias("delivery_id"), (F.col("id") % 11 > 5).alias("delivered"), F.timestamp_seconds(F.col("id") * 60).alias("created_at"))
+    stream, later = Z.in_turns(table.repartition(5), "created_at")
+    got = Z.run_to_end(V.circuit_breaker(stream, 2, 7200), "append", later)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, V.circuit_breaker(table, 2, 7200).collect())) and got.count() == 3000

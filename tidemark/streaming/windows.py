@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +22,29 @@ def stream_files(spark: SparkSession, folder: str, name: str, files_per_batch: i
 
 
 def in_any_order(df: DataFrame, key: str, turns: int = 3) -> DataFrame:
-    """A stream of a table's rows that come in so many batches, each row in a turn that its key's hash names: late rows abound."""
+    """A stream of a table's rows that come in so many batches at most, each row in a turn that its key's hash names: late rows abound."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/turns-{uuid.uuid4().hex}"
     for turn in range(turns):
         df.where(F.pmod(F.xxhash64(key), F.lit(turns)) == turn).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // turns))).parquet(path)
 
 
-def in_turns(df: DataFrame, ts: str, turns: int = 3) -> DataFrame:
-    """A stream of a table's rows that come in so many batches, in order of time: the table is rewritten turn by turn in the shared folder."""
+def in_turns(df: DataFrame, ts: str, turns: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream of a table's rows in the order of time, and what writes its later turns, for `run_to_end`.
+
+    A turn may be many files, in no order, so it has to be one batch: the next one is written when the stream has read all that is there.
+    """
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/turns-{uuid.uuid4().hex}"
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
     first, last = df.agg(F.min(stamp), F.max(stamp)).first()
     first, width = first or 0, max(1, -(-((last or 0) - (first or 0) + 1) // turns))
-    for turn in range(turns):
+
+    def write(turn: int) -> None:
         df.where(F.floor((stamp - first) / width) == turn).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    write(0)
+    return spark.readStream.schema(df.schema).parquet(path), [partial(write, turn) for turn in range(1, turns)]
 
 
 def window_counts(events: DataFrame, ts: str, kind: str, width: str, lateness: str) -> DataFrame:
@@ -89,10 +98,11 @@ def event_fanout(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return events.join(live, "user_id").where(F.array_contains("types", F.col("event_type"))).select("event_id", "subscription_id")
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "complete", later: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """The full result after all present files. Each batch writes a version of its own, so that a repeated batch overwrites itself.
 
-    In complete mode the last version is the result, in append mode all of them are.
+    In complete mode the last version is the result, in append mode all of them are. Each of `later` brings further files once those before are read;
+    the stream goes on from its checkpoint.
     """
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -107,10 +117,12 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     before = spark.conf.get(store)
     spark.conf.set(store, provider)
     try:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+        for bring in (None, *later):
+            if bring:
+                bring()
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
-    query.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
     versions = [max(last)] if mode == "complete" else sorted(set(last))
