@@ -127,3 +127,29 @@ def test_neighbourhoods(spark):
     for depth, most in ((11, 5), (1, 501), (1, 0)):
         with pytest.raises(ValueError):
             graph.bfs(seeds, edges, depth, most)
+
+
+@pytest.mark.parametrize("most", [3, 20, 500])
+def test_neighbourhoods_read_no_more_of_a_hub_than_fits(spark, monkeypatch, most):
+    """Reached nodes are the least ones of the nearest, and no table holds more of a node's neighbours than a seed may take."""
+    rng, sizes, cut = random.Random(most), [], graph.cut
+    pairs = graph_of(rng, 40, 90) + [(7, 1000 + i) for i in range(3000)]
+    near = adjacent(pairs)
+
+    def counted(df):
+        sizes.append((out := cut(df)).select(F.max(F.size("near")) if "near" in out.columns else F.count("*")).first()[0])
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    table = spark.createDataFrame(pairs, "src long, dst long")
+    found = graph.bfs(spark.range(12).withColumnRenamed("id", "node"), table, 3, most).collect()
+    got = {(r["seed"], r["node"], r["depth"]) for r in found}
+    want = set()
+    for seed in range(12):
+        seen, front = {seed}, [seed]
+        want.add((seed, seed, 0))
+        for hop in range(1, 4):
+            front = sorted({y for x in front for y in near[x]} - seen)[: most - len(seen)]
+            seen |= set(front)
+            want |= {(seed, y, hop) for y in front}
+    assert got == want and len(found) == len(want) and max(sizes) <= 12 * most
