@@ -153,3 +153,17 @@ def test_neighbourhoods_read_no_more_of_a_hub_than_fits(spark, monkeypatch, most
             seen |= set(front)
             want |= {(seed, y, hop) for y in front}
     assert got == want and len(found) == len(want) and max(sizes) <= 12 * most
+
+
+def test_pairs_of_one_end_share_its_search(spark, monkeypatch):
+    """300 leaves of a hub look for one node two hops behind it: no table has more rows than there are links, both ways."""
+    sizes, cut = [], paths.cut
+
+    def counted(df):
+        sizes.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(paths, "cut", counted)
+    edges = spark.createDataFrame([(10 + i, 1, i) for i in range(400)] + [(1, 2, 900), (2, 3, 901)], "src long, dst long, edge_id long")
+    found = paths.shortest_paths(edges.where("edge_id < 300").selectExpr("src", "3L AS dst"), edges).collect()
+    assert {r["path"] for r in found} == {f"{10 + i}>1>2>3" for i in range(300)} and max(sizes) <= 2 * 402
