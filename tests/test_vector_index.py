@@ -69,3 +69,31 @@ def test_odd_vectors(spark, tmp_path):
     I.build_index(odd.where("false"), str(tmp_path / "b"))
     assert I.search_index(odd, odd, str(tmp_path / "b"), 5).count() == 0
     assert retrieval.cosine_topk(odd.where("false"), odd, 3).count() == 0
+
+
+def test_a_part_holds_few_scores_at_once(rows, monkeypatch):
+    """However many queries and items a part has, no more than BLOCK scores are in memory; the results are those of all at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "BLOCK", 2000)
+    seen = []
+    score = lambda q, v: seen.append(len(q) * len(v)) or I.cosines(q, v)
+    vector = lambda name, some: pa.table({name: [r[0] for r in some], "q" if name == "query_id" else "vector": [r[2] for r in some]})
+    found = I._exact(6, score, 0.5)(vector("query_id", rows[::20]), vector("id", rows)).to_pylist()
+    want = {w[:3] for w in best(rows, rows[::20], 6, 0.5, False)}
+    assert {(r["query_id"], r["id"], r["score"]) for r in found} == want and max(seen) <= 2000 and sum(seen) == 45 * 900
+
+
+def test_contradictions_by_parts(spark, rows, vectors, monkeypatch):
+    """Alike in the first four dimensions and unlike in the rest, whatever parts the vectors are dealt into; nothing is compared pair by pair."""
+    from tidemark.operators import fusion
+
+    monkeypatch.setattr(I.dealt, "__defaults__", (40, 7))
+    cos = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    want = set()
+    for a, t, x in rows[::20]:
+        scored = sorted((-round(cos(x[:4], y[:4]) - cos(x[4:], y[4:]), 6), b) for b, u, y in rows if b != a and u == t)
+        want |= {(a, b, -s, n) for n, (s, b) in enumerate(scored[:3], 1)}
+    found = fusion.contradiction_rank(vectors.where("vec_id % 20 = 0"), vectors, 4, 3)
+    assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in found.collect()} == want
+    assert "CoGroup" in found._jdf.queryExecution().toString()
