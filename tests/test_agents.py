@@ -97,3 +97,21 @@ def test_signals_by_grams(spark):
             if agent == other and any(len(w.encode()) > 3 and w in about for w in (signal or "").lower().split()):
                 want.add((p, e))
     assert {(r["proposal_id"], r["event_id"]) for r in found} == want and len(found) == len(want) and {(12, 7), (12, 8)} <= want
+
+
+def test_pieces_go_back_in_small_batches(spark, monkeypatch):
+    """A batch's texts and pieces aren't held together: of many texts each batch given back has few characters, and no text is read before its turn."""
+    import pyarrow as pa
+
+    from tidemark.functions import extraction
+
+    monkeypatch.setattr(models, "GIVEN", 500)
+    docs = spark.createDataFrame([(n, f"Some words here. {n} " * 40 if n % 5 else None) for n in range(60)], "doc_id long, text string")
+    given = {}
+    for name, chunk in (("fixed", models.chunk_fixed), ("structural", extraction.chunk_structural)):
+        frame = type("Frame", (), {"dtypes": docs.dtypes, "select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: run})()
+        batches = list(chunk(frame, 200, **({"overlap": 20} if name == "fixed" else {}))(iter([pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])])))
+        assert len(batches) > 10 and max(sum(map(len, b.column("text").to_pylist())) for b in batches) < 500 + 1000
+        given[name] = sorted(map(tuple, (r.values() for b in batches for r in b.to_pylist())))
+        found = chunk(docs, 200, **({"overlap": 20} if name == "fixed" else {}))
+        assert sorted(map(tuple, found.collect())) == given[name] and len({r[0] for r in given[name]}) == 48

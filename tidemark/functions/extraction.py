@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.models import pieces_of
+
 _FEW = 50
 
 
@@ -59,18 +61,11 @@ def structural_pieces(text: str, size: int) -> Iterator[tuple[str, int, str | No
 def chunk_structural(docs: DataFrame, size: int = 1500) -> DataFrame:
     """(doc_id, chunk_index, page, section, char_offset, char_count, text): pieces that end at headings or beyond `size` bytes. Null and blank texts give no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (doc_id, n, page, section, at, len(body.encode()), body)
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for n, (body, page, section, at) in enumerate(structural_pieces(text or "", size))
-            ]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "page", "section", "char_offset", "char_count", "text"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_index int, page int, section string, char_offset long, char_count long, text string")
+    def pieces(text: str) -> Iterator[tuple]:
+        for n, (body, page, section, at) in enumerate(structural_pieces(text, size)):
+            yield n, page, section, at, len(body.encode()), body
+
+    return pieces_of(docs, pieces, "chunk_index int, page int, section string, char_offset long, char_count long, text string")
 
 
 Extractor = Callable[[str], list[tuple[str, str, str]]]

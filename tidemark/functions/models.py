@@ -3,14 +3,50 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of pieces that are given back at once, about.
+GIVEN = 1 << 20
+
+
+def pieces_of(docs: DataFrame, pieces: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+    """doc_id and what pieces gives for each text of docs (doc_id, text), as columns of schema of which the last is a piece's text; null texts are empty ones.
+
+    Texts become Python's one at a time, and pieces go back after GIVEN characters, so a task holds no batch's texts and pieces together.
+    """
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    fields = [(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.schema([("doc_id", batch.schema.field("doc_id").type), *fields])
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                ident = doc_id.as_py()
+                for piece in pieces(text.as_py() or ""):
+                    rows.append((ident, *piece))
+                    held += len(piece[-1])
+                    if held >= GIVEN:
+                        yield _batch(rows, out)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows, out)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _cuts(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     at, n = 0, len(text)
     while at < n:
@@ -28,16 +64,12 @@ def chunk_fixed(docs: DataFrame, size: int = 1500, overlap: int = 200) -> DataFr
     if not 0 <= overlap < 0.8 * size:
         raise ValueError("overlap must be less than 0.8 * size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                pieces = [(a, text[a:b].strip()) for a, b in _cuts(text or "", size, overlap)]
-                pieces = [(a, t) for a, t in pieces if t]
-                if pieces:
-                    yield pd.DataFrame({"doc_id": [doc_id] * len(pieces), "chunk_index": range(len(pieces)), "char_offset": [a for a, _ in pieces], "char_count": [len(t.encode()) for _, t in pieces], "text": [t for _, t in pieces]})
+    def pieces(text: str) -> Iterator[tuple]:
+        bodies = ((at, text[at:end].strip()) for at, end in _cuts(text, size, overlap))
+        for n, (at, body) in enumerate((at, body) for at, body in bodies if body):
+            yield n, at, len(body.encode()), body
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_index int, char_offset long, char_count long, text string")
+    return pieces_of(docs, pieces, "chunk_index int, char_offset long, char_count long, text string")
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
