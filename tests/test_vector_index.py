@@ -97,3 +97,11 @@ def test_contradictions_by_parts(spark, rows, vectors, monkeypatch):
     found = fusion.contradiction_rank(vectors.where("vec_id % 20 = 0"), vectors, 4, 3)
     assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in found.collect()} == want
     assert "CoGroup" in found._jdf.queryExecution().toString()
+
+
+def test_contradictions_without_vectors_come_last(spark):
+    from tidemark.operators import fusion
+
+    some = spark.createDataFrame([(1, 1, [1.0, 0.0, 1.0]), (2, 1, None), (3, 1, [1.0, 0.0, -1.0]), (4, 1, None), (5, 2, [1.0, 1.0, 1.0])], "vec_id long, tenant int, vector array<double>")
+    found = fusion.contradiction_rank(some.where("vec_id < 3"), some, 1, 2).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found) == [(1, 1, 3, 2.0), (1, 2, 2, None), (2, 1, 1, None), (2, 2, 3, None)]
