@@ -155,6 +155,22 @@ def test_neighbourhoods_read_no_more_of_a_hub_than_fits(spark, monkeypatch, most
     assert got == want and len(found) == len(want) and max(sizes) <= 12 * most
 
 
+def test_induced_edges_of_a_node_that_all_seeds_reach(spark, monkeypatch):
+    """300 seeds reach a hub of 3,000 links and three of its leaves: its links aren't made for each seed, and parts have a bounded number of rows."""
+    asked, dealt = [], graph.dealt
+    monkeypatch.setattr(graph, "ROWS", 500)
+    monkeypatch.setattr(graph, "dealt", lambda df, rows, *keys: asked.append(rows) or dealt(df, rows, *keys))
+    edges = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(1, 3000)] + [(5, 5), (9, 0), (0, 1), (1, 0)]
+    reach = {s: {0, s, s + 1, s + 2} for s in range(1, 301)}
+    reached = spark.createDataFrame([(s, x, 1) for s, nodes in reach.items() for x in nodes], "seed long, node long, depth int")
+    found = graph.induced_edges(reached, spark.createDataFrame(edges, "src long, dst long"))
+    want = {(s, a, b) for s, nodes in reach.items() for a, b in set(edges) if a in nodes and b in nodes}
+    got = [(r["seed"], r["src"], r["dst"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and 0 < max(asked) < 2 * len(want)
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 1000 < len(want)
+    assert graph.induced_edges(reached.where("false"), spark.createDataFrame(edges, "src long, dst long")).count() == 0
+
+
 def test_pairs_of_one_end_share_its_search(spark, monkeypatch):
     """300 leaves of a hub look for one node two hops behind it: no table has more rows than there are links, both ways."""
     sizes, cut = [], paths.cut
