@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.operators import percentiles
 from tidemark.operators.percentiles import exact_percentiles
 
 
@@ -31,3 +32,21 @@ def test_percentiles(spark, bins, few):
             want.append(a + (b - a) * (r - math.floor(r)))
         assert np.allclose(found[key], want, rtol=1e-12, atol=0), key
     assert exact_percentiles(table.where("false"), ["size"], "v", shares).count() == 0
+
+
+def test_small_groups_beside_a_large_one(spark, monkeypatch):
+    """Only the large group's values are stored and counted; 500 small groups, and one of nulls, are sorted or known at once."""
+    sizes, cut = [], percentiles.cut
+
+    def counted(df):
+        sizes.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(percentiles, "cut", counted)
+    rng = random.Random(3)
+    groups = {i: [rng.gauss(0, 9) for _ in range(20)] for i in range(500)} | {500: [rng.gauss(0, 9) for _ in range(3000)], 501: []}
+    rows = [(k, x) for k, values in groups.items() for x in values] + [(i % 502, None) for i in range(4000)]
+    found = exact_percentiles(spark.createDataFrame(rows, "size long, v double"), ["size"], "v", {"p50": 0.5, "p95": 0.95}, 16, 100).collect()
+    assert len(found) == 502 and max(sizes) <= 3000
+    for r in found:
+        assert [r["p50"], r["p95"]] == ([None, None] if r["size"] == 501 else pytest.approx(list(np.quantile(groups[r["size"]], [0.5, 0.95]))))

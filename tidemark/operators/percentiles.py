@@ -28,17 +28,15 @@ def _share(bins: int) -> Column:
     return F.when(many, between(_magnitude)).otherwise(between(lambda x: x / 2))
 
 
-def _sorted(known: DataFrame, shares: dict[str, float]) -> DataFrame:
+def _sorted(numbers: DataFrame, shares: dict[str, float]) -> DataFrame:
     """The percentiles of (g, v) where every group may be sorted as it is: nothing is counted, and one shuffle does."""
-    counts = ~F.isnan("v") & F.col("v").isNotNull()
-    every = W.partitionBy("g", "counts")
-    ranked = known.withColumn("counts", counts).withColumns({"k": F.row_number().over(every.orderBy("v")) - 1, "n": F.count("*").over(every)})
+    every = W.partitionBy("g")
+    ranked = numbers.withColumns({"k": F.row_number().over(every.orderBy("v")) - 1, "n": F.count("*").over(every)})
 
     def at(share: float) -> Column:
         r = F.lit(float(share)) * (F.col("n") - 1)
-        pick = lambda rank: F.max(F.when(F.col("counts") & (F.col("k") == rank), F.col("v")))
-        part = F.max(F.when(F.col("counts"), r - F.floor(r)))
-        return pick(F.floor(r)) + (pick(F.ceil(r)) - pick(F.floor(r))) * part
+        pick = lambda rank: F.max(F.when(F.col("k") == rank, F.col("v")))
+        return pick(F.floor(r)) + (pick(F.ceil(r)) - pick(F.floor(r))) * F.max(r - F.floor(r))
 
     return ranked.groupBy("g").agg(*(at(p).alias(n) for n, p in shares.items()))
 
@@ -48,20 +46,33 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
 
     Null and NaN values don't count; a group without others has null percentiles. Null keys are keys like any other.
 
-    A rank is sought by its range of values: the range is cut into `bins` parts, which are counted (partial counts meet, not
-    values), and the part that holds the rank is the next range, with the least and the greatest value in it. Once it holds `few` values or one value
-    only, those are sorted. Where no group has more than `few` values, all are sorted at once. So no task sees a group's values together, and ranks are exact.
+    Groups of `few` values or less are sorted as they are, whatever others there are. Of the rest there are at most a `few`-th of the rows, so a table
+    of them is broadcast and their values are not shuffled.
     """
     group = F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)))
     known = rows.select(group.alias("g"), F.col(value).cast("double").alias("v"))
-    largest = known.where("v is not null and not isnan(v)").groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    if largest <= few:
-        return _sorted(known, shares).select(*(F.col(f"g.k{n}").alias(k) for n, k in enumerate(keys)), *shares)
-    known = cut(known)
+    sizes = cut(known.groupBy("g").agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("size")))
+    large = sizes.where(F.col("size") > few).select("g")
     numbers = known.where("v is not null and not isnan(v)")
-    sizes = cut(known.groupBy("g").agg(*(f(F.when(~F.isnan("v"), F.col("v"))).alias(n) for f, n in ((F.count, "size"), (F.min, "lo"), (F.max, "hi")))))
+    out = sizes.where("size = 0").select("g", *(F.lit(None).cast("double").alias(n) for n in shares))
+    if large.isEmpty():
+        out = out.unionByName(_sorted(numbers, shares))
+    else:
+        out = out.unionByName(_sorted(numbers.join(F.broadcast(large), "g", "left_anti"), shares))
+        out = out.unionByName(_counted(cut(numbers.join(F.broadcast(large), "g", "left_semi")), shares, bins, few))
+    return out.select(*(F.col(f"g.k{n}").alias(k) for n, k in enumerate(keys)), *shares)
+
+
+def _counted(numbers: DataFrame, shares: dict[str, float], bins: int, few: int) -> DataFrame:
+    """The percentiles of (g, v) for few groups of many values.
+
+    A rank is sought by its range of values: the range is cut into `bins` parts, which are counted (partial counts meet, not
+    values), and the part that holds the rank is the next range, with the least and the greatest value in it. Once it holds `few` values or one value
+    only, those are sorted. So no task sees a group's values together, and ranks are exact.
+    """
+    sizes = cut(numbers.groupBy("g").agg(F.count("v").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     ranks = F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("size") - 1)).alias("r")) for n, p in shares.items()))
-    asked = cut(sizes.where("size > 0").select("g", "size", "lo", "hi", F.explode(ranks).alias("a")).select("g", "size", "lo", "hi", "a.name", "a.r"))
+    asked = cut(sizes.select("g", "size", "lo", "hi", F.explode(ranks).alias("a")).select("g", "size", "lo", "hi", "a.name", "a.r"))
     want = asked.select("g", "lo", "hi", F.lit(0).cast("long").alias("before"), "size", F.explode(F.array(F.floor("r"), F.ceil("r"))).alias("k")).distinct()
     done = None
     for number in range(ROUNDS + 1):
@@ -74,16 +85,15 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
             break
         ranges = want.select(*_RANGE).distinct()
         part = F.least(F.floor(F.coalesce(_share(bins), F.lit(0.0)) * bins), F.lit(bins - 1))
-        counted = numbers.join(ranges, "g").where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*_RANGE, part.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counted = numbers.join(F.broadcast(ranges), "g").where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*_RANGE, part.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
         upto = F.sum("c").over(W.partitionBy(*_RANGE).orderBy("bin"))
         found = want.join(counted.withColumn("upto", upto), _RANGE).where((F.col("k") >= F.col("before") + F.col("upto") - F.col("c")) & (F.col("k") < F.col("before") + F.col("upto")))
         want = found.select("g", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("before") + F.col("upto") - F.col("c")).alias("before"), F.col("c").alias("size"), "k")
     done = cut(done)
-    few_left = numbers.join(done.where("lo < hi").select(*_RANGE, "before").distinct(), "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    few_left = numbers.join(F.broadcast(done.where("lo < hi").select(*_RANGE, "before").distinct()), "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
     place = F.row_number().over(W.partitionBy(*_RANGE).orderBy("v")) - 1 + F.col("before")
     sorted_ = few_left.withColumn("k", place).join(done.select(*_RANGE, "k").distinct(), [*_RANGE, "k"], "left_semi").select("g", "k", F.col("v").alias("x"))
     at = sorted_.unionByName(done.where("lo = hi").select("g", "k", F.col("lo").alias("x"))).groupBy("g", "k").agg(F.first("x").alias("x"))
     both = asked.select("g", "name", "r", F.floor("r").alias("k")).join(at.withColumnRenamed("x", "a"), ["g", "k"]).drop("k").withColumn("k", F.ceil("r")).join(at.withColumnRenamed("x", "b"), ["g", "k"])
     value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("r") - F.floor("r"))
-    out = both.groupBy("g").agg(*(F.max(F.when(F.col("name") == n, value_at)).alias(n) for n in shares))
-    return sizes.select("g").join(out, "g", "left").select(*(F.col(f"g.k{n}").alias(k) for n, k in enumerate(keys)), *shares)
+    return both.groupBy("g").agg(*(F.max(F.when(F.col("name") == n, value_at)).alias(n) for n in shares))
