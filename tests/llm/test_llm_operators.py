@@ -209,6 +209,38 @@ def test_sketches_never_exceed_the_difference(percent):
             assert unlike <= len(x ^ y) and (unlike - len(x ^ y)) % 2 == 0
 
 
+@pytest.mark.parametrize("percent", [50, 85])
+def test_few_pairs_below_the_threshold_meet_as_whole_texts(spark, monkeypatch, percent):
+    """Of all pairs of a family of many lengths, those that go on to be confirmed are all that reach the threshold and few others."""
+    rng = random.Random(percent)
+    base = [f"t{i}" for i in range(700)]
+    rows = [" ".join(f"e{rng.random()}" if rng.random() < edits else w for w in base[: rng.choice([1, 2, 3, 40, 150, 300, 560, 640, 700])]) for edits in (0, 0.01, 0.03, 0.1, 0.2) for _ in range(30)]
+    sets = [{tuple(r.split()[i : i + 3]) for i in range(max(1, len(r.split()) - 2))} for r in rows]
+    grams, bounds = near.shingle_sets(*near._text.utf8(near.pa.array(rows)), 3)
+    assert np.diff(bounds).tolist() == [len(x) for x in sets]
+    ends = [(a, b) for b in range(len(rows)) for a in range(b)]
+    want = {(a, b) for a, b in ends for both in [len(sets[a] & sets[b])] if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)}
+    texts = spark.createDataFrame(list(enumerate(rows)), "node long, text string").mapInArrow(near._sketched(3), "node long, text string, n long, sketch binary")
+    pairs = spark.createDataFrame(ends, "a long, b long")
+    assert {tuple(r) for r in near._confirmed(pairs, texts, 3, percent, "links").collect()} == want
+    monkeypatch.setattr(near, "_confirm", lambda k, percent: lambda batches: (b.select(["a", "b"]) for b in batches))
+    found = {tuple(r) for r in near._confirmed(pairs, texts, 3, percent, "possible").collect()}
+    assert want <= found and len(found - want) < len(ends) / 25
+
+
+def test_signatures_are_the_least_hashes():
+    """Those of parts of sets that are worked on together are those of each set alone."""
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 5, 0, near.BLOCK + 7, 3, near.BLOCK // 2, near.BLOCK // 2, 9, 0]
+    bounds = np.append(0, np.cumsum(sizes))
+    grams = rng.integers(0, 2**64, bounds[-1], dtype=np.uint64)
+    found = near.minima(grams, bounds)
+    for n, size in enumerate(sizes):
+        mine = grams[bounds[n] : bounds[n + 1]]
+        want = [int(((mine * f + a) >> np.uint64(32)).min()) if size else 0 for f, a in zip(near._FACTOR, near._ADDEND)]
+        assert found[n].tolist() == want
+
+
 def test_components_of_a_path(spark):
     found = near.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()
     assert {r["id"] for r in found} == set(range(31)) and {r["component"] for r in found} == {0}
